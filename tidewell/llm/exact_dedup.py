@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read
+from tidewell.llm.common import partitions, read
 
 #: Distinct digests that one bucket, and so one filter and one task group, is planned to hold.
 BUCKET_KEYS = 50_000
@@ -119,7 +119,7 @@ def deduplicate(docs: DataFrame, is_new: Column, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(is_new, F.lit(True)).alias("new"))
     rows = rows.withColumn("digest", F.sha2("text", 256))
-    buckets = max(1, -(-docs.count() // bucket_keys))
+    buckets = max(partitions(spark), -(-docs.count() // bucket_keys))
     light = rows.select("id", "digest", "new")
     old, batch = (entries(light.filter(c), buckets) for c in (~F.col("new"), F.col("new")))
     screened = batch.groupBy("bucket").cogroup(snapshot_filters(old).groupBy("bucket")).applyInPandas(screen, batch.schema.simpleString()[7:-1].replace(":", " ") + ", maybe boolean")

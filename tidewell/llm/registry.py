@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, url_filter
+from tidewell.llm import decontaminate, exact_dedup, language_id, quality, url_filter
 
 _MODULES = {
+    "op1_quality_classifier": quality,
     "op3_url_filter": url_filter,
+    "op5_language_id": language_id,
     "op7_exact_dedup": exact_dedup,
+    "op9_decontaminate": decontaminate,
 }
 
 
