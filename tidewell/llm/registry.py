@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, exact_dedup, language_id, quality, url_filter
+from tidewell.llm import decontaminate, exact_dedup, language_id, near_dedup, quality, url_filter
 
 _MODULES = {
     "op1_quality_classifier": quality,
     "op3_url_filter": url_filter,
+    "op4_minhash_near_dedup": near_dedup,
     "op5_language_id": language_id,
     "op7_exact_dedup": exact_dedup,
     "op9_decontaminate": decontaminate,
