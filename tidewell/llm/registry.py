@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, exact_dedup, language_id, near_dedup, quality, url_filter
+from tidewell.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, url_filter
 
 _MODULES = {
     "op1_quality_classifier": quality,
+    "op2_sentencepiece": sentencepiece_codec,
     "op3_url_filter": url_filter,
     "op4_minhash_near_dedup": near_dedup,
     "op5_language_id": language_id,
     "op7_exact_dedup": exact_dedup,
+    "op8_line_dedup": line_dedup,
     "op9_decontaminate": decontaminate,
 }
 
