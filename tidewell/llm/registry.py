@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, url_filter
+from tidewell.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, url_filter
 
 _MODULES = {
     "op1_quality_classifier": quality,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_url_filter": url_filter,
     "op4_minhash_near_dedup": near_dedup,
     "op5_language_id": language_id,
+    "op6_suffix_dedup": suffix_dedup,
     "op7_exact_dedup": exact_dedup,
     "op8_line_dedup": line_dedup,
     "op9_decontaminate": decontaminate,
