@@ -6,16 +6,19 @@ variants with one character deleted as hashed keys, equal variants are joined, t
 earliest line stays.
 
 As an edit lies in one half of a line, lines within one edit share the other half: only lines that meet another in such
-a half emit variants, and only for the half that may differ. No pair within one edit is lost by that.
+a half emit variants, and only for the half that may differ. No pair within one edit is lost by that. Which halves are
+shared is counted first; a bitmap of those then screens the lines in a second scan, so that few leave their task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, read
@@ -23,7 +26,9 @@ from tidewell.llm.common import cut, read
 #: Shorter lines are never compared and always stay.
 MIN_CHARS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-VARIANTS = "v long, pos int, digest binary, place struct<no_id:boolean,id:{id},line:int,tid:bigint>"
+PLACE = "place struct<no_id:boolean,id:{id},line:int,tid:bigint>"
+#: Bits of the screen that lines pass before they leave their task, less one; its size never grows.
+SCREEN_MASK = (1 << 24) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,15 +46,60 @@ def neighbourhood(line: str) -> tuple[int, np.ndarray]:
     return int(mix(sums[n:] * BASE + np.uint64(n))[0]), mix(sums[:n] * BASE + (sums[n] - sums[1:]) + np.uint64(n - 1))
 
 
-def halves(line: Column) -> Column:
-    """(m, side, hash) keys under which lines within one edit meet: m is the longer line's length, its half stays equal."""
-    n = F.length(line)
-    keys = []
+def half_keys(line: str) -> list[tuple[int, int, int]]:
+    """(m, side, hash) keys under which lines within one edit meet: m is the longer line's length, one half stays equal."""
+    n, keys = len(line), []
     for m in (n, n + 1):
-        h = F.floor(m / 2).cast("int")
-        keys.append(F.struct(m.alias("m"), F.lit(1).alias("side"), F.xxhash64(F.substring(line, F.lit(1), h)).alias("h")))  # the first half is equal: an edit at h or later
-        keys.append(F.struct(m.alias("m"), F.lit(0).alias("side"), F.xxhash64(F.substring(line, n - (m - h) + 1, m - h)).alias("h")))
-    return F.array(*keys)
+        h = m // 2
+        for side, part in ((1, line[:h]), (0, line[n - (m - h) :])):  # 1: the first half is equal, the edit is at h or later
+            keys.append((m, side, xxhash.xxh3_64_intdigest(f"{m} {side} {part}".encode("utf-8", "surrogatepass")) - (1 << 63)))
+    return keys
+
+
+def all_keys(min_chars: int):
+    """key and line hash of each line's halves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                keys, hashes = [], []
+                for text in batch["text"].iloc[at : at + 512]:
+                    for line in text.split("\n"):
+                        if len(line) >= min_chars:
+                            keys += [k for _, _, k in half_keys(line)]
+                            hashes += [xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)] * 4
+                yield pd.DataFrame({"key": keys, "line": hashes}, dtype="int64")
+
+    return run
+
+
+def screened_lines(min_chars: int, screen):
+    """Lines with a key that passes the screen: digest, place, text and keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = screen.value
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                out = []
+                for r in batch.iloc[at : at + 512].itertuples():
+                    for i, line in enumerate(r.text.split("\n")):
+                        if len(line) >= min_chars:
+                            keys = [k for k in half_keys(line) if bits[(k[2] & SCREEN_MASK) >> 3] >> (k[2] & 7) & 1]
+                            if keys:
+                                place = {"no_id": pd.isna(r.id), "id": None if pd.isna(r.id) else r.id, "line": i, "tid": r.tid}
+                                out.append((hashlib.md5(line.encode("utf-8", "surrogatepass")).digest(), place, line, [{"m": m, "side": side, "key": k} for m, side, k in keys]))
+                yield pd.DataFrame(out, columns=["digest", "place", "line", "keys"])
+
+    return run
+
+
+def screen_of(keys: DataFrame):
+    """A bitmap of keys, as a broadcast variable of SCREEN_BITS whatever their number; where it fills up, it only screens less."""
+    bit = F.col("key").bitwiseAND(SCREEN_MASK)
+    words = keys.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    screen = np.zeros((SCREEN_MASK + 1) // 32, dtype="<u4")
+    screen[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return keys.sparkSession.sparkContext.broadcast(screen.view(np.uint8))
 
 
 def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,23 +119,22 @@ def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def places(rows: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line of min_chars or more: its place (id, line number), digest and text."""
+    """A row for each line of min_chars or more: its place (id, line number) and digest."""
     lines = rows.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.length("text") >= min_chars)
     place = F.struct(F.isnull("id").alias("no_id"), "id", "line", "tid")
-    return lines.select(place.alias("place"), F.unhex(F.md5("text")).alias("digest"), "text")
+    return lines.select(place.alias("place"), F.unhex(F.md5("text")).alias("digest"))
 
 
 def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
     """Digests of lines that have an earlier line one edit away."""
-    first = places(rows, min_chars).select("digest", "place", halves(F.col("text")).alias("keys")).groupBy("digest").agg(F.min("place").alias("place"), F.first("keys").alias("keys"))
-    keyed = first.select("digest", "place", F.explode("keys").alias("key"))
-    met = keyed.select("key", "digest").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    wanted = cut(keyed.join(met, "key").groupBy("digest", "place").agg(F.collect_set(F.struct("key.m", "key.side")).alias("met")))
-    by_text = wanted.groupBy("place.id", "place.tid").agg(F.collect_list(F.struct("digest", "place", "met")).alias("wanted"))
-    same = rows["id"].eqNullSafe(by_text["id"]) & (rows["tid"] == by_text["tid"])
-    lines = rows.join(by_text, same).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.*", F.expr("lines[w.place.line]").alias("line")).dropDuplicates(["digest"])
-    lines = cut(lines)
-    near = lines.mapInPandas(variants, VARIANTS.format(id=dict(rows.dtypes)["id"]))
+    keys = rows.select("text").mapInPandas(all_keys(min_chars), "key long, line long")
+    met = cut(keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key"))
+    kind = dict(rows.dtypes)["id"]
+    seen = rows.mapInPandas(screened_lines(min_chars, screen_of(met)), f"digest binary, {PLACE.format(id=kind)}, line string, keys array<struct<m:int,side:int,key:long>>")
+    distinct = seen.groupBy("digest").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("keys").alias("keys"))
+    exploded = distinct.select("digest", "place", "line", F.inline("keys")).join(met, "key")
+    lines = cut(exploded.groupBy("digest").agg(F.first("place").alias("place"), F.first("line").alias("line"), F.collect_set(F.struct("m", "side")).alias("met")))
+    near = lines.mapInPandas(variants, f"v long, pos int, digest binary, {PLACE.format(id=kind)}")
 
     # A key's lines differ in one character at most: their number is bounded by the alphabet and the length, not by the corpus.
     by_v = near.groupBy("v").agg(F.min(F.when(F.col("pos") < 0, F.struct("place", "digest"))).alias("shorter"), F.min(F.when(F.col("pos") >= 0, F.struct("place", "digest"))).alias("longer"))
@@ -109,7 +158,7 @@ def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    lines = places(rows, min_chars).select("place", "digest")
+    lines = places(rows, min_chars)
     first = lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     if max_edits:
         near = near_earlier(rows, min_chars).withColumn("near", F.lit(True))
