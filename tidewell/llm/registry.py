@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, url_filter
+from tidewell.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, url_filter
 
 _MODULES = {
     "op1_quality_classifier": quality,
@@ -14,6 +14,7 @@ _MODULES = {
     "op7_exact_dedup": exact_dedup,
     "op8_line_dedup": line_dedup,
     "op9_decontaminate": decontaminate,
+    "op10_license_scan": license_scan,
 }
 
 
