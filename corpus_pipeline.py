@@ -1,11 +1,73 @@
-"""The corpus pipeline: stages of training-data operators over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each calling one training-data operator.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and gets all that the one before it kept; ``run`` writes each stage's result as
+Parquet to the session's shared folder and reads it again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
+from tidewell.llm.common import read
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier, trained on all labels, takes for low quality."""
+    weights = quality.fit(docs, read(spark, sf_dir, "labels"), F.lit(True))
+    return quality.score(docs, weights, score_col="quality score").filter(F.col("quality score") >= quality.CUTOFF).select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated lines out of texts, and drop documents of which nothing but white space is left by that."""
+    out = line_dedup.deduplicate_lines(docs)
+    return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    found = near_dedup.near_duplicates(docs)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the benchmark contaminates."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of each text, with a check that they decode to it."""
+    coded = sentencepiece_codec.encode(docs)
+    return coded.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("minhash near-dedup", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("sentencepiece", token_stage),
+]
+
+#: The classifier and the tokeniser have no SQL; each stage has its own tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
