@@ -18,10 +18,10 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import read
 
@@ -33,10 +33,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A word is a run of spaces and what follows up to the next space or line feed: no piece has a space behind another
 #: character, and none a line feed (which Model checks).
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Texts are encoded in batches of so many characters at most (one text at least).
-BATCH_CHARS = 2_000_000
+#: Texts are encoded in batches of so many characters at most (and one text more).
+BATCH_CHARS = 4_000_000
 #: Words whose ids, and pairs of pieces whose test, a task remembers.
-MEMO_WORDS, MEMO_PAIRS = 400_000, 1 << 20
+MEMO_WORDS, MEMO_PAIRS = 500_000, 1 << 22
 
 
 def code_hash(c: np.ndarray) -> np.ndarray:
@@ -88,6 +88,8 @@ class Model:
         self.maybe = np.zeros(1 << 18, dtype=bool)  # low bits of the keys
         self.maybe[self.keys & np.uint64((1 << 18) - 1)] = True
         self.memo_pair, self.memo_ok = np.full(MEMO_PAIRS, -1), np.zeros(MEMO_PAIRS, dtype=bool)
+        near = {p[i : i + 2] for k, p in enumerate(self.pieces) if self.kinds[k] == NORMAL for i in range(len(p) - 1)}
+        self.pairs = np.array(sorted(ord(a) << 21 | ord(b) for a, b in near) or [-1], dtype=np.int64)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
         self.floor = float(self.scores[normal].min()) - 10.0  # what an unknown character costs
@@ -170,7 +172,7 @@ class Model:
         """Ids and lengths of the piece that ends at each position on the best path to it, for rows of code points."""
         rows, n = codes.shape
         c, powers = code_hash(codes), np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]))
-        last, back = np.full((rows, n + 1), -1), np.ones((rows, n + 1), dtype=np.int64)
+        last, back = np.full((rows, n + 1), -1, dtype=np.int32), np.ones((rows, n + 1), dtype=np.int32)
         score = np.full((rows, n + 1), -np.inf)
         score[:, 0] = 0
         for end in range(1, n + 1):
@@ -191,7 +193,7 @@ class Model:
                     ok = np.ones(len(at), dtype=bool)
                     inner = np.flatnonzero((before >= 0) & (start > 0))
                     if len(inner):
-                        ok[inner] = self.compatible(before[inner] * len(self.pieces) + piece[inner])
+                        ok[inner] = self.compatible(before[inner].astype(np.int64) * len(self.pieces) + piece[inner])
                     value = np.where(ok, score[at, start] + 1.0, -np.inf)
                 else:
                     value = score[at, start] + self.scores[piece]
@@ -214,26 +216,46 @@ class Model:
         return ok
 
     def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
+        """Ids of each word, by a Viterbi over all words of a length together."""
         lengths, out = np.array([len(w) for w in words]), [None] * len(words)
         for n in np.unique(lengths):
             every = np.flatnonzero(lengths == n)
-            for at in np.array_split(every, 1 + len(every) * int(n) // 4_000_000):
+            for at in np.array_split(every, 1 + len(every) * int(n) // 2_000_000):
                 if not len(at):
                     continue
                 codes = codes_of([words[i] for i in at], n)
                 last, back = self.viterbi(codes)
-                found, where = np.zeros((len(at), n), dtype=np.int64), np.full(len(at), n)
+                found, where = np.zeros((len(at), n), dtype=np.int32), np.full(len(at), n)
                 used = np.zeros((len(at), n), dtype=bool)
                 while (live := np.flatnonzero(where > 0)).size:  # follow the backpointers of all rows together
                     end = where[live]
                     found[live, end - 1], used[live, end - 1] = last[live, end], True
                     where[live] = end - back[live, end]
-                unknown = (found < 0).any(axis=1)
-                for k, i in enumerate(at):
-                    out[i] = found[k][used[k]] if not unknown[k] else self.with_bytes(found[k], used[k], words[i])
+                unknown = (found < 0).any(axis=1).tolist()
+                ends = np.cumsum(used.sum(axis=1)).tolist()
+                ids, begin = found[used], 0
+                for k, i in enumerate(at.tolist()):
+                    out[i] = ids[begin : ends[k]] if not unknown[k] else self.with_bytes(found[k], used[k], words[i])
+                    begin = ends[k]
         return out
 
+    def remember(self, words: list[str], memo: dict[str, bytes]) -> None:
+        """Put the ids of new words into memo. Between two characters that no piece has next to each other a word is cut
+        first, which changes no path: its parts repeat far more often than it."""
+        joined = "".join(words)
+        codes = codes_of([joined], len(joined))[0].astype(np.int64)
+        pair = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        starts = np.concatenate([[True], self.pairs[at] != pair])
+        first = np.cumsum([0, *map(len, words[:-1])])
+        starts[first] = True
+        begin = np.flatnonzero(starts)
+        parts = [joined[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(joined)], strict=True)]
+        new = [p for p in dict.fromkeys(parts) if p not in memo]
+        memo.update((p, i.astype(np.int32).tobytes()) for p, i in zip(new, self.words(new), strict=True))
+        where = [*np.searchsorted(begin, first).tolist(), len(parts)]
+        memo.update((w, b"".join([memo[p] for p in parts[a:b]])) for w, a, b in zip(words, where, where[1:], strict=False) if b > a + 1)
+
     def with_bytes(self, found: np.ndarray, used: np.ndarray, word: str) -> np.ndarray:
         """Characters without a piece become their bytes' pieces, or the unknown piece where the model has none."""
         ids: list[int] = []
@@ -246,13 +268,14 @@ class Model:
                 ids.append(self.unknown)
         return np.array(ids, dtype=np.int64)
 
-    def encode(self, texts: Sequence[str], memo: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
-        """Ids of each text; each distinct word is encoded once. An empty text has none."""
+    def encode(self, texts: Sequence[str], memo: dict[str, bytes] | None = None) -> list[np.ndarray]:
+        """Ids of each text; each distinct word is encoded once, and remembered in memo. An empty text has none."""
         memo = {} if memo is None else memo
         split = [WORD.findall((SPACE if self.dummy_prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
         new = list({w for ws in split for w in ws if w not in memo})
-        memo.update(zip(new, self.words(new), strict=True))
-        return [np.concatenate([memo[w] for w in ws]) if ws else np.zeros(0, dtype=np.int64) for ws in split]
+        if new:
+            self.remember(new, memo)
+        return [np.frombuffer(b"".join([memo[w] for w in ws]), dtype=np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.__dict__.get("_bytes_of")
@@ -269,27 +292,28 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     cannot hold, are replaced. The model file is read on the driver and shipped with the job.
     """
     content = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    added = T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
 
-    @F.pandas_udf(f"{ids_col} array<int>, {decoded_col} string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = Model.load(content.value), {}
-        for texts in batches:
-            ids: list = []
-            at = 0
-            texts = texts.tolist()
-            while at < len(texts):
+        for batch in batches:
+            column, at = batch.column(batch.schema.get_field_index(text_col)), 0
+            while at < len(batch):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH_CHARS):
-                    size += len(texts[end] or "")
+                while end < len(batch) and (end == at or size < BATCH_CHARS):
+                    size += len(column[end].as_py() or "")
                     end += 1
-                ids += model.encode([t or "" for t in texts[at:end]], memo)
+                texts = column.slice(at, end - at).to_pylist()
+                ids = model.encode([t or "" for t in texts], memo)
+                offsets = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array([t is None for t in texts]))
+                decoded = pa.array([None if t is None else model.decode(i) for t, i in zip(texts, ids, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, lists, decoded], names=[*batch.schema.names, ids_col, decoded_col])
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
                 at = end
-            yield pd.DataFrame({ids_col: [None if t is None else i.astype(np.int32) for t, i in zip(texts, ids, strict=True)], decoded_col: [None if t is None else model.decode(i) for t, i in zip(texts, ids, strict=True)]})
 
-    coded = docs.withColumn("coded ", run(F.col(text_col)))
-    return coded.withColumns({c: F.col("coded ")[c] for c in (ids_col, decoded_col)}).drop("coded ")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,18 +70,25 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each anchor: anchor, hash of its segment, id, tid, and its place: position, offsets of the first and last start before it."""
-    for batch in batches:
-        for i in range(0, len(batch), 256):
-            part, out = batch.iloc[i : i + 256], []
-            for text in part["text"]:
-                data = encode(text)
-                a, p, lo, hi = anchors(data)
-                seg = np.fromiter((xxhash.xxh3_64_intdigest(data[x : y + LENGTH]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(a))
-                out.append((a.view(np.int64), seg.view(np.int64), (p << 16) | ((p - lo) << 8) | (p - hi)))
-            n = [len(x[0]) for x in out]
-            yield pd.DataFrame({"anchor": np.concatenate([x[0] for x in out]), "seg": np.concatenate([x[1] for x in out]), "id": part["id"].repeat(n).array, "tid": part["tid"].repeat(n).array, "at": np.concatenate([x[2] for x in out])})
+def find_anchors(places: bool):
+    """A row for each anchor; with its place: hash of its segment, id, tid, position and the offsets of the first and last start before it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part, out = batch.iloc[i : i + 256], []
+                for text in part["text"]:
+                    data = encode(text)
+                    a, p, lo, hi = anchors(data)
+                    seg = np.fromiter((xxhash.xxh3_64_intdigest(data[x : y + LENGTH]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(a)) if places else a
+                    out.append((a.view(np.int64), seg.view(np.int64), (p << 16) | ((p - lo) << 8) | (p - hi)))
+                found = pd.DataFrame({"anchor": np.concatenate([x[0] for x in out])})
+                if places:
+                    n = [len(x[0]) for x in out]
+                    found = found.assign(seg=np.concatenate([x[1] for x in out]), id=part["id"].repeat(n).array, tid=part["tid"].repeat(n).array, at=np.concatenate([x[2] for x in out]))
+                yield found
+
+    return run
 
 
 def starts(at: int) -> tuple[int, int]:
@@ -160,9 +167,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     kind = dict(rows.dtypes)["id"]
-    every = rows.mapInPandas(find_anchors, f"anchor long, seg long, id {kind}, tid long, at long")
-    often = every.groupBy("anchor").agg(F.count("*").alias("often")).filter("often > 1").select("anchor")
-    met = cut(every.join(often, "anchor"))
+    often = cut(rows.select("text").mapInPandas(find_anchors(False), "anchor long").groupBy("anchor").agg(F.count("*").alias("often")).filter("often > 1").select("anchor"))
+    met = cut(rows.mapInPandas(find_anchors(True), f"anchor long, seg long, id {kind}, tid long, at long").join(often, "anchor"))
     segments = met.groupBy("anchor", "seg").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "tid", "at")))
     mixed = segments.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter("different > 1 AND least = 1")
     wanted = segments.join(mixed, "anchor").select("anchor", "seg", "id", "tid", "at", "n", (F.col("different") > most).alias("crowded"))
