@@ -1,6 +1,6 @@
 """Queries over the analytics tables."""
 
-from tidewell.plans import aggregates, relational
+from tidewell.plans import aggregates, relational, retrieval
 from tidewell.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "relational"]
+__all__ = ["QUERIES", "SQL", "aggregates", "relational", "retrieval"]
