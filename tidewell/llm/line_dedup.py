@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, read
@@ -52,7 +52,7 @@ def half_keys(line: str) -> list[tuple[int, int, int]]:
     for m in (n, n + 1):
         h = m // 2
         for side, part in ((1, line[:h]), (0, line[n - (m - h) :])):  # 1: the first half is equal, the edit is at h or later
-            keys.append((m, side, xxhash.xxh3_64_intdigest(f"{m} {side} {part}".encode("utf-8", "surrogatepass")) - (1 << 63)))
+            keys.append((m, side, xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), 2 * m + side) - (1 << 63)))
     return keys
 
 
@@ -102,20 +102,27 @@ def screen_of(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(screen.view(np.uint8))
 
 
-def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A line's own hash at position -1 where a longer line may match, and its variants in the halves that may differ."""
-    for batch in batches:
-        for r in batch.itertuples():
-            own, without = neighbourhood(r.line)
+def variants():
+    """A pandas UDF of a line and its met (m, side): its own hash at position -1 where a longer line may match, and its
+    variants with the character at a position deleted, in the halves that may differ."""
+
+    @F.pandas_udf("v array<long>, pos array<int>")
+    def run(lines: pd.Series, met: pd.Series) -> pd.DataFrame:
+        out = []
+        for line, keys in zip(lines, met, strict=True):
+            own, without = neighbourhood(line)
             n, at = len(without), set()
-            for key in r.met:
+            for key in keys:
                 if key["m"] == n:
                     at.update(range(n // 2, n) if key["side"] else range(n // 2))
                 else:
                     at.add(-1)
             at = np.array(sorted(at), dtype=np.int32)
             v = np.where(at < 0, np.uint64(own), without[np.maximum(at, 0)])
-            yield pd.DataFrame({"v": v.view(np.int64), "pos": at, "digest": [r.digest] * len(at), "place": [r.place] * len(at)})
+            out.append((v.view(np.int64), at))
+        return pd.DataFrame(out, columns=["v", "pos"])
+
+    return run
 
 
 def places(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -134,14 +141,14 @@ def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
     distinct = seen.groupBy("digest").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("keys").alias("keys"))
     exploded = distinct.select("digest", "place", "line", F.inline("keys")).join(met, "key")
     lines = cut(exploded.groupBy("digest").agg(F.first("place").alias("place"), F.first("line").alias("line"), F.collect_set(F.struct("m", "side")).alias("met")))
-    near = lines.mapInPandas(variants, f"v long, pos int, digest binary, {PLACE.format(id=kind)}")
-
-    # A key's lines differ in one character at most: their number is bounded by the alphabet and the length, not by the corpus.
-    by_v = near.groupBy("v").agg(F.min(F.when(F.col("pos") < 0, F.struct("place", "digest"))).alias("shorter"), F.min(F.when(F.col("pos") >= 0, F.struct("place", "digest"))).alias("longer"))
-    by_pos = near.filter("pos >= 0").groupBy("v", "pos").agg(F.min(F.struct("place", "digest")).alias("equal"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    indel = near.join(by_v.filter("shorter IS NOT NULL AND longer IS NOT NULL"), "v").select("digest", "place", F.when(F.col("pos") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("other"))
-    swap = near.join(by_pos, ["v", "pos"]).select("digest", "place", F.col("equal").alias("other"))
-    earlier = indel.unionByName(swap).filter("other.place < place").select("digest", F.col("other.digest").alias("other")).distinct()
+    near = lines.select("digest", "place", variants()("line", "met").alias("n")).select("digest", "place", F.inline(F.arrays_zip(F.col("n.v").alias("v"), F.col("n.pos").alias("pos"))))
+
+    # Lines under one key differ in one character at most: their number is bounded by the alphabet and the length, not by
+    # the corpus. All three windows share one exchange by v.
+    me, by_v = F.struct("place", "digest"), Window.partitionBy("v")
+    found = near.select("digest", "place", "pos", F.min(F.when(F.col("pos") < 0, me)).over(by_v).alias("shorter"), F.min(F.when(F.col("pos") >= 0, me)).over(by_v).alias("longer"), F.min(me).over(Window.partitionBy("v", "pos")).alias("equal"))
+    others = F.when(F.col("pos") < 0, F.array("longer")).otherwise(F.array("shorter", "equal"))
+    earlier = found.select("digest", "place", F.explode(F.filter(others, lambda o: o["place"] < F.col("place"))).alias("other")).select("digest", F.col("other.digest").alias("other")).distinct()
     text = lines.select("digest", "line")
     verified = earlier.join(text, "digest").join(text.select(F.col("digest").alias("other"), F.col("line").alias("other_line")), "other")
     return verified.filter(F.levenshtein("line", "other_line", 1) >= 0).select("digest").distinct()
@@ -165,7 +172,7 @@ def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_
         first = first.join(near, "digest", "left")
     else:
         first = first.withColumn("near", F.lit(False))
-    some = first.filter("n > 1 OR near")
+    some = cut(first.filter("n > 1 OR near"))  # of its own, so that Spark can split the join at a line that very many texts have
     gone = lines.join(some, "digest").filter(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first")))
     gone = gone.select("place.id", "place.tid", "place.line").groupBy("id", "tid").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"id": "gone_id", "tid": "gone_tid"})
     docs = docs.withColumn("tid ", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("lines ", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
