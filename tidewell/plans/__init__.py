@@ -1,6 +1,6 @@
 """Queries over the analytics tables."""
 
-from tidewell.plans import aggregates, relational, retrieval, understanding
+from tidewell.plans import aggregates, relational, retrieval, streams, understanding
 from tidewell.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "relational", "retrieval", "understanding"]
+__all__ = ["QUERIES", "SQL", "aggregates", "relational", "retrieval", "streams", "understanding"]
