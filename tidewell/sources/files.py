@@ -24,7 +24,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """path, section number, title and body of Markdown files with ``## `` headings."""
     parts = F.filter(F.split("text", r"(?m)^## "), lambda s: F.trim(s) != "")
-    return read_texts(spark, path).select("path", F.posexplode(parts).alias("section", "part")).select("path", "section", F.regexp_extract("part", r"^([^\n]*)", 1).alias("title"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
+    return read_texts(spark, path).select("path", F.posexplode(parts).alias("section", "part")).select("path", "section", F.regexp_extract("part", r"^([^\n]*)", 1).alias("title"), F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
