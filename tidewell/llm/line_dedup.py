@@ -175,11 +175,14 @@ def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_
     some = cut(first.filter("n > 1 OR near"))  # of its own, so that Spark can split the join at a line that very many texts have
     gone = lines.join(some, "digest").filter(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first")))
     gone = gone.select("place.id", "place.tid", "place.line").groupBy("id", "tid").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"id": "gone_id", "tid": "gone_tid"})
-    docs = docs.withColumn("tid ", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("lines ", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.withColumn("tid ", F.xxhash64(text))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (docs["tid "] == gone["gone_tid"]), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines ") - 1), F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get("lines ", i))
-    joined = joined.withColumns({"n_lines": F.size("lines ").cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    return joined.withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop("tid ", "lines ", "gone", "gone_id", "gone_tid")
+    lines = F.split(text, "\n")
+    # The outer transform binds the lines once for all of their numbers.
+    kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))[0]
+    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    return joined.withColumns(counts | {text_col: F.when(F.size("gone") > 0, kept).otherwise(F.col(text_col))}).drop("tid ", "gone", "gone_id", "gone_tid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
