@@ -28,7 +28,7 @@ COORDINATES = 64
 #: A link at the similarity bound is lost with at most this probability.
 MISS = 1e-9
 #: Members of one block; a task group holds two blocks and the central member.
-BLOCK = 1024
+BLOCK = 256
 
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
