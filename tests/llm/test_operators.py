@@ -358,3 +358,17 @@ def test_license_scan(spark):
     df = spark.createDataFrame([(*f[:2], "d", "b") for f in files], "path string, text string, dir string, best string")
     same(license_scan.scan_licenses(df).drop("own_score"), [(f[0], *f[2:]) for f in files])
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_license_scan_weighs_ordinary_words_by_their_frequency(spark):
+    """Words outside the templates have real document frequencies, so that a notice among ordinary words is found."""
+    notice = "You may use it as it was released under the MIT License"
+    files = [(f"f{i}", "It may be as it was, you use it so; the rest is here.") for i in range(400)] + [("n", notice)]
+    words = [[w for w in re.split("[^a-z0-9]+", t.lower()) if w] for _, t in files]
+    df = Counter(w for ws in words for w in set(ws))
+    vector = lambda ws: {w: k * (np.log((1 + len(files)) / (1 + df[w])) + 1) for w, k in Counter(ws).items()}
+    a, b = vector(words[-1]), vector("released under the mit license".split())
+    cosine = sum(x * b.get(w, 0) for w, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = license_scan.scan_licenses(spark.createDataFrame(files, "path string, text string")).filter("own_license IS NOT NULL").collect()
+    assert [(r["path"], r["own_license"]) for r in got] == [("n", "MIT")]
+    assert got[0]["own_score"] == pytest.approx(cosine, abs=2e-6)

@@ -1,8 +1,9 @@
 """Licence detection by sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-All of it is DataFrame expressions. Each sentence of a file is compared with each template over the templates' terms;
-document frequencies are counted over the whole corpus. A sentence is only scored if it has one of the terms without
-which no template could be near enough: by Cauchy-Schwarz, the other terms alone stay under the threshold.
+All of it is DataFrame expressions. Each sentence of a file is compared with each template; document frequencies of all
+words are counted over the whole corpus. A sentence is only scored if it has one of the terms without which no template
+could be near enough: by Cauchy-Schwarz, the other terms alone stay under the threshold, whatever the sentence's other
+words weigh. Equal sentences are scored once; their words are joined with the frequencies for the sentence's norm.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, UPPER, ascii_lower, read
+from tidewell.llm.common import LOWER, UPPER, ascii_lower, cut, read
 
 #: (licence, notice). The usual one-sentence notices.
 TEMPLATES = (
@@ -52,21 +53,23 @@ def tokens(text: str) -> list[str]:
 VOCABULARY = sorted({t for _, notice in TEMPLATES for t in tokens(notice)})
 
 
-def document_frequencies(files: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
-    """Documents, and of each template term those that have it: one row for each term comes to the driver."""
-    words = F.split(ascii_lower(F.col(text_col)), "[^a-z0-9]+")
-    found = files.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, VOCABULARY)))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
-    return files.count(), {r["term"]: r["n"] for r in found}
+def document_frequencies(files: DataFrame, text_col: str) -> DataFrame:
+    """term and n, the documents that have it, of every word of the corpus; added up within each task first."""
+    words = F.array_distinct(F.split(ascii_lower(F.col(text_col)), "[^a-z0-9]+"))
+    return files.select(F.explode(words).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def weights(n: int, frequency: dict[str, int]) -> tuple[dict[str, float], float]:
-    """idf of each template term, and of a term that no document has."""
-    idf = lambda df: math.log((1 + n) / (1 + df)) + 1
-    return {t: idf(frequency.get(t, 0)) for t in VOCABULARY}, idf(0)
+def weights(n: int, frequency: dict[str, int]) -> dict[str, float]:
+    """idf of each template term."""
+    return {t: math.log((1 + n) / (1 + frequency.get(t, 0))) + 1 for t in VOCABULARY}
 
 
-def scorer(idf: dict[str, float], other: float, min_cosine: float) -> tuple[Column, callable]:
-    """The terms of which a sentence needs one, as a pattern, and score(sentence) -> array of (cosine, licence)."""
+def words_of(sentence: Column) -> Column:
+    return F.regexp_extract_all(sentence, F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def scorer(idf: dict[str, float], min_cosine: float) -> tuple[Column, callable]:
+    """The terms of which a sentence needs one, as a pattern, and score(sentence, norm) -> array of (cosine, licence)."""
     needed: set[str] = set()
     made = []
     for name, notice in TEMPLATES:
@@ -79,22 +82,40 @@ def scorer(idf: dict[str, float], other: float, min_cosine: float) -> tuple[Colu
             if rest >= (0.999 * min_cosine * norm) ** 2:
                 needed.add(t)
         made.append(F.struct(F.lit(name).alias("name"), F.lit(norm).alias("norm"), F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w[t] * idf[t]).alias("w")) for t in sorted(w))).alias("terms")))
-    known = F.create_map(*(F.lit(x) for t in VOCABULARY for x in (t, idf[t])))
     templates = F.array(*made)
 
-    def score(sentence: Column) -> Column:
+    def score(sentence: Column, norm: Column) -> Column:
         def of_words(words: Column) -> Column:
             count = lambda term: F.size(F.filter(words, lambda y: y == term))
-            squares = F.transform(F.array_distinct(words), lambda x: F.pow(count(x) * F.coalesce(F.try_element_at(known, x), F.lit(other)), F.lit(2.0)))
-            norm = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
             dot = lambda t: F.aggregate(t["terms"], F.lit(0.0), lambda a, x: a + x["w"] * count(x["term"]))
             return F.transform(templates, lambda t: F.struct(F.round(dot(t) / (t["norm"] * norm), 6).alias("score"), t["name"].alias("license")))
 
-        return F.flatten(F.transform(F.array(F.regexp_extract_all(sentence, F.lit(f"({TOKEN})"), F.lit(1))), of_words))
+        return F.flatten(F.transform(F.array(words_of(sentence)), of_words))
 
     return "(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")($|[^a-z0-9])", score
 
 
+def best_licenses(files: DataFrame, text_col: str, min_cosine: float) -> DataFrame:
+    """tid (digest of the lower-cased text) and best (score, the less the better, and license) of texts that have one."""
+    n, counts = files.count(), cut(document_frequencies(files, text_col))
+    needs, score = scorer(weights(n, {r["term"]: r["n"] for r in counts.filter(F.col("term").isin(VOCABULARY)).collect()}), min_cosine)
+    sentences = F.split(F.regexp_replace(ascii_lower(F.col(text_col)), BREAK, "$1\n"), "\n")
+    near = F.array_distinct(F.filter(sentences, lambda s: s.rlike(needs)))
+    found = cut(files.select(text_id(text_col), F.explode(near).alias("sentence")).withColumn("sid", F.unhex(F.md5("sentence"))))
+    distinct = cut(found.groupBy("sid").agg(F.first("sentence").alias("sentence")))
+    words = distinct.select("sid", F.explode(words_of(F.col("sentence"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"))
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1
+    norms = words.join(counts, "term").groupBy("sid").agg(F.sqrt(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0)))).alias("norm"))
+    scores = F.filter(score(F.col("sentence"), F.col("norm")), lambda x: x["score"] >= min_cosine)
+    best = F.array_min(F.transform(scores, lambda x: F.struct((-x["score"]).alias("score"), x["license"].alias("license"))))
+    scored = cut(distinct.join(norms, "sid").select("sid", best.alias("best")).filter("best IS NOT NULL"))
+    return found.select("tid ", "sid").join(scored, "sid").groupBy("tid ").agg(F.min("best").alias("best"))
+
+
+def text_id(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")))).alias("tid ")
+
+
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = (), min_cosine: float = MIN_COSINE) -> DataFrame:
     """keep, path_col, own_license, own_score, license and inherited_from of every row.
 
@@ -104,15 +125,11 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     directory is the empty text. Null or empty texts have no licence of their own, rows with a null path inherit none,
     and repeated rows each get their row.
     """
-    n, frequency = document_frequencies(files, text_col)
-    needs, score = scorer(*weights(n, frequency), min_cosine)
-    sentences = F.split(F.regexp_replace(ascii_lower(F.col(text_col)), BREAK, "$1\n"), "\n")
-    scores = F.filter(F.flatten(F.transform(F.filter(sentences, lambda s: s.rlike(needs)), score)), lambda x: x["score"] >= min_cosine)
-    best = F.array_min(F.transform(scores, lambda x: F.struct((-x["score"]).alias("score"), x["license"].alias("license"))))
     path = F.col(path_col)
     directory = F.regexp_replace(path, "/?[^/]*$", "")
-    rows = files.select(*keep, path.alias("path"), directory.alias("dir"), best.alias("best"))
-    rows = rows.select(*keep, "path", "dir", F.col("best.license").alias("own_license"), (-F.col("best.score")).alias("own_score"))
+    best = best_licenses(files, text_col, min_cosine)
+    rows = files.select(*keep, path.alias("path"), directory.alias("dir"), text_id(text_col)).join(best, "tid ", "left")
+    rows = cut(rows.select(*keep, "path", "dir", F.col("best.license").alias("own_license"), (-F.col("best.score")).alias("own_score")))
 
     named = rows.filter(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) & F.col("own_license").isNotNull())
     given = named.groupBy(F.col("dir").alias("from")).agg(F.min(F.struct("path", "own_license")).alias("first")).select("from", F.col("first.own_license").alias("given"))
