@@ -256,6 +256,20 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_filter_reads_the_whole_url(spark):
+    pages = [
+        (1, "https://example.org/en/go?to=Casino-xxx", "block", 2, 0),
+        (2, "http://x.org/#porn", "block", 1, 0),
+        (3, "casino-porn.com/xxx", "block", 3, 0),
+        (4, "http://x.org/free?get=bonus", "block", 0, 2),
+        (5, "http://x.org/free?get=free", "allow", 0, 1),
+        (6, "https://example.net/en/1?casino", "allow", 1, 0),  # a rule decides
+        (7, None, "allow", 0, 0),
+    ]
+    got = url_filter.filter_urls(spark.createDataFrame([p[:2] for p in pages], "page_id long, url string"))
+    same(got.select("page_id", "verdict", "strict_hits", "soft_hits"), [(p[0], *p[2:]) for p in pages])
+
+
 def test_language_id(spark, empty):
     from pyspark.sql import functions as F
 
