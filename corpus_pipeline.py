@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated lines out of texts, and drop documents of which nothing but white space is left by that."""
-    out = line_dedup.deduplicate_lines(docs)
+    """Take repeated lines out of texts, short ones too, and drop documents of which nothing but white space is left by that."""
+    out = line_dedup.deduplicate_lines(docs, short_lines=True)
     return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

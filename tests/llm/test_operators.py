@@ -160,6 +160,15 @@ def test_line_dedup(spark, docs, rows, empty, edits):
     assert line_dedup.deduplicate_lines(empty, edits).count() == 0
 
 
+def test_pipeline_takes_short_repeated_lines_out(spark):
+    import corpus_pipeline
+
+    texts = ["Read more\na line of its own, long enough\n\n}", "日本語の文です。\nRead more\n\nRead mere\n  ", "日本語の文です。\n}\n\n  \nend", "Read more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(0, texts[0], len(texts[0])), (1, "日本語の文です。\n\nRead mere\n  ", 22), (2, "\n  \nend", 7)]
+    same(corpus_pipeline.line_stage(spark, docs, "").select("doc_id", "text", "n_chars"), want)
+
+
 def test_deletion_hashes():
     own, without = line_dedup.neighbourhood("aébc")
     assert [int(line_dedup.neighbourhood(x)[0]) for x in ("ébc", "abc", "aéc", "aéb")] == without.tolist() and own not in without

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, read
 
-#: Shorter lines are never compared and always stay.
+#: Shorter lines are compared for equality only, or not at all.
 MIN_CHARS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE = "place struct<no_id:boolean,id:{id},line:int,tid:bigint>"
@@ -125,9 +125,12 @@ def variants():
     return run
 
 
-def places(rows: DataFrame, min_chars: int) -> DataFrame:
-    """A row for each line of min_chars or more: its place (id, line number) and digest."""
-    lines = rows.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.length("text") >= min_chars)
+def places(rows: DataFrame, min_chars: int, short_lines: bool) -> DataFrame:
+    """A row for each line of min_chars or more, or each that is not blank: its place (id, line number) and digest."""
+    compared = F.length("text") >= min_chars
+    if short_lines:
+        compared |= F.col("text").rlike(r"\S")
+    lines = rows.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(compared)
     place = F.struct(F.isnull("id").alias("no_id"), "id", "line", "tid")
     return lines.select(place.alias("place"), F.unhex(F.md5("text")).alias("digest"))
 
@@ -154,18 +157,19 @@ def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
     return verified.filter(F.levenshtein("line", "other_line", 1) >= 0).select("digest").distinct()
 
 
-def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """docs with text_col less its repeated lines, and n_lines and n_dropped.
 
     A line goes if an earlier one (by id, then line number; null ids last; texts that share an id in the order of a
     hash) is equal or, with max_edits 1, at most one edit away, whether or not that one itself stays. Lines shorter
-    than min_chars characters always stay. A null text counts as one empty line. Rows that repeat both id and text
+    than min_chars characters always stay; with short_lines, those that are not blank go too if an earlier one is equal.
+    A null text counts as one empty line. Rows that repeat both id and text
     are one text at one place, and stay or lose the same lines.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    lines = places(rows, min_chars)
+    lines = places(rows, min_chars, short_lines)
     first = lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     if max_edits:
         near = near_earlier(rows, min_chars).withColumn("near", F.lit(True))
