@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
-from tidewell.llm.common import read
+from tidewell.llm.common import cut, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,18 +30,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs less the texts in gone (doc_id, text hash), or with left_semi only those; a null id is an id like others."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text hash").alias("gone_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), how)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The one of the least id stays, null ids last; of texts that share an id the one of the least hash, and of rows that
+    repeat both id and text one. Documents without words all stay.
+    """
+    found = cut(near_dedup.near_duplicates(docs, text_key="text hash").filter("n_shingles > 0").groupBy("doc_id", "text hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
+    kept, repeated = without(docs, found.filter("not kept")), found.filter("kept AND n > 1")
+    if not repeated.isEmpty():
+        once = without(kept, repeated, "left_semi").withColumn("text hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text hash"])
+        kept = without(kept, repeated).select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    return kept.select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the benchmark contaminates."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+    """Drop documents that the benchmark contaminates, each by its own text, whether or not its id is null or repeated."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), text_key="text hash")
+    return without(docs, found.filter("contaminated")).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

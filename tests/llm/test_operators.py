@@ -203,6 +203,36 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(1, passage), (2, "a text of its own")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (5, "other")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (14, 0, True), 2: (0, 0, False)}
+
+
+def test_pipeline_decides_on_each_text(spark, tmp_path):
+    """Null ids, ids that are there twice with different texts, rows that are there twice, ids that no double holds."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e, f, g, bad = (make(60) for _ in range(8))
+    big = 2**60
+    df = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    near = df([(1, a), (None, a + " x"), (2, a), (2, b), (None, c), (None, c + " x"), (None, d), (None, d), (3, e), (3, e + " x"), (4, f), (4, f), (big, g), (big + 1, g), (big + 2, make(60)), (None, ""), (None, ""), (8, ""), (9, " ")])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, near, "").collect()]
+    assert sorted(i for i, t in got if t and i is not None and t != " ") == [1, 2, 3, 4, big, big + 2]
+    assert (2, b) in got and (1, a) in got and (big, g) in got
+    assert sorted(t in (c, c + " x") for i, t in got if i is None and t) == [False, True] and (None, d) in got
+    assert sorted(i is None for i, t in got if not t.strip()) == [False, False, True, True]
+
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df([(None, bad), (None, a), (5, bad), (5, b), (big + 1, c), (big, bad)])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (5, b), (big + 1, c)], key=repr)
+
+
 def repeats(texts: list[bytes], n: int) -> list[tuple[int, int, int, str]]:
     count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []

@@ -81,8 +81,9 @@ def fingerprints(rows: DataFrame, lengths: tuple[int, ...] = (), screen=None, pa
                 out = [fingerprint(t, lengths, bits, pad, item) for t in part["text"]]
                 yield pd.DataFrame({"id": part["id"].array, "tid": part["tid"].array, "n_words": [n for n, _ in out], "found": [f for _, f in out]})
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(run, f"id {kind}, tid long, n_words long, found {FINGERPRINTS}")
+    kind = dict(rows.dtypes)["id"]  # ids pass pandas as text: next to a null, it would make long ones doubles
+    out = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(run, f"id string, tid long, n_words long, found {FINGERPRINTS}")
+    return out.withColumn("id", F.col("id").cast(kind))
 
 
 def screen_of(items: DataFrame):
@@ -104,15 +105,17 @@ def equal_run() -> tuple[Column, Column]:
     return F.when(F.col("len") < WINDOW, 0).otherwise(left), F.when(F.col("len") < WINDOW, 0).otherwise(right)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", text_key: str | None = None) -> DataFrame:
     """id_col, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words, and is hit by nothing. Rows that repeat both id and text are one document and
-    give one row. Items without words or with a null id are ignored, items that repeat an id are one item.
+    give one row. Items without words are ignored, items that repeat an id are one item. Items with a null id hit like
+    others, but are not among the items that are counted and listed. With text_key, a column of that name has the hash
+    of each text.
     """
     tid = F.xxhash64(text_col)
-    marks = fingerprints(items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"), F.xxhash64(item_text_col).alias("tid")), pad=1, item=True)
-    marks = marks.select(F.col("id").alias("item"), F.inline("found")).select("item", "hash", "len", F.col("around").alias("item_around"))
+    marks = fingerprints(items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"), F.xxhash64(item_text_col).alias("tid")), pad=1, item=True)
+    marks = marks.select(F.struct("id").alias("item"), F.inline("found")).select("item", "hash", "len", F.col("around").alias("item_around"))
     lengths = tuple(sorted(r[0] for r in marks.filter(F.col("len") < WINDOW).select("len").distinct().collect()))
     found = fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tid.alias("tid")), lengths, screen_of(marks))
     # A document without candidates goes on under a key of its own, with a length that no item has.
@@ -122,7 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     size = F.when(F.col("len") < WINDOW, F.col("len")).otherwise(F.lit(GRAM))
     real = F.col("item").isNotNull() & ((F.col("len") < WINDOW) | (F.col("left") + F.col("right") + GRAM >= WINDOW))
     span = F.when(real, F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + size + F.col("right") - 1).alias("hi")))
-    by_doc = hits.select("id", "tid", "n_words", span.alias("span"), F.when(real, F.col("item").cast("string")).alias("item")).groupBy("id", "tid").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
+    by_doc = hits.select("id", "tid", "n_words", span.alias("span"), F.when(real, F.col("item.id").cast("string")).alias("item")).groupBy("id", "tid").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"]))))).cast("long")
     return by_doc.withColumn("n_hit", n_hit).select(
         F.col("id").alias(id_col),
@@ -131,6 +134,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *([F.col("tid").alias(text_key)] if text_key else []),
     )
 
 

@@ -159,25 +159,34 @@ def links(sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return dealt.groupBy("hub", "i", "j").applyInPandas(link_blocks(percent), "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", text_key: str | None = None) -> DataFrame:
     """id_col, n_shingles, component_id and kept of every row.
 
     Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``percent`` or more; component_id
     is the least id that links reach. A text without words, or a null one, links with nothing; a shorter one than a
     shingle is one shingle. Null ids never name a component that has others, and are kept only where all are null.
     Repeated rows share a component, and rows that repeat its least id are all kept.
+
+    With text_key, a column of that name has the hash of each text, and of a component with words only the text that
+    comes first is kept: the least by id, null ids last, then hash. Rows that repeat both id and text are one text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid"))
-    sketches = cut(rows.mapInPandas(sketch(words), f"id {dict(rows.dtypes)['id']}, tid long, n long, rep binary, sig array<long>"))
+    kind = dict(rows.dtypes)["id"]  # ids pass pandas as text: next to a null, it would make long ones doubles
+    sketches = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sketch(words), "id string, tid long, n long, rep binary, sig array<long>")
+    sketches = cut(sketches.withColumn("id", F.col("id").cast(kind)))
     classes = connected_components(links(sketches, rows, words, percent), "a", "b")
-    light = sketches.select("id", "n", "rep")
-    least = light.filter("n > 0").groupBy("rep").agg(F.min("id").alias("least")).join(classes, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    key = F.struct(F.isnull("id").alias("no_id"), "id", "tid") if text_key else F.col("id")
+    light = sketches.select("id", "n", "rep", *(["tid"] if text_key else []))
+    least = light.filter("n > 0").groupBy("rep").agg(F.min(key).alias("least")).join(classes, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
     linked = classes.select("component").distinct()
     of_class = least.join(linked, "component", "left_semi").groupBy("component").agg(F.min("least").alias("of_class"))
     named = least.join(of_class, "component", "left").select("rep", F.coalesce("of_class", "least").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.unhex(F.hex(F.xxhash64("id", "n"))))  # no single key for empty texts
-    out = light.withColumn("rep", own).join(named, "rep", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = light.withColumn("rep", own).join(named, "rep", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(key))
+    component, kept = F.col("component_id"), F.col("id").eqNullSafe(F.col("component_id"))
+    if text_key:
+        component, kept = F.col("component_id.id"), (F.col("n") == 0) | (key == F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *([F.col("tid").alias(text_key)] if text_key else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
