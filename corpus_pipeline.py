@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated lines out of texts, short ones too, and drop documents of which nothing but white space is left by that."""
-    out = line_dedup.deduplicate_lines(docs, short_lines=True)
+    """Take repeated lines out of texts and drop documents of which nothing but white space is left by that."""
+    out = line_dedup.deduplicate_lines(docs)
     return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -58,7 +58,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text, with a check that they decode to it."""
-    coded = sentencepiece_codec.encode(docs)
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 

@@ -22,6 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def named(name: str) -> Column:
+    """The column of just that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(c, UPPER, LOWER)

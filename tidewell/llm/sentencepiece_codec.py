@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -23,20 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import read
+from tidewell.llm.common import named, read
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A word is a run of spaces and what follows up to the next space or line feed: no piece has a space behind another
 #: character, and none a line feed (which Model checks).
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Texts are encoded in batches of so many characters at most (and one text more).
-BATCH_CHARS = 4_000_000
+#: Texts are encoded in batches of so many characters at most (and one text more), words in parts of so many cells.
+BATCH_CHARS, CELLS = 500_000, 200_000
+#: Words of a very long text that are encoded at once.
+AT_ONCE = 50_000
 #: Words whose ids, and pairs of pieces whose test, a task remembers.
-MEMO_WORDS, MEMO_PAIRS = 500_000, 1 << 22
+MEMO_WORDS, MEMO_PAIRS = 50_000, 1 << 18
 
 
 def code_hash(c: np.ndarray) -> np.ndarray:
@@ -104,6 +107,11 @@ class Model:
 
         m = pb.ModelProto()
         m.ParseFromString(content)
+        normal = m.normalizer_spec
+        if normal.precompiled_charsmap or normal.remove_extra_whitespaces or not normal.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that leave texts as they are, with blanks escaped in front of words, are supported")
+        if m.trainer_spec.model_type not in (UNIGRAM, BPE) or any(p.type == USER_DEFINED for p in m.pieces):
+            raise ValueError("only unigram and BPE models without user-defined pieces are supported")
         return cls([p.piece for p in m.pieces], np.array([p.score for p in m.pieces]), np.array([p.type for p in m.pieces]), m.trainer_spec.model_type, m.normalizer_spec.add_dummy_prefix)
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
@@ -220,7 +228,7 @@ class Model:
         lengths, out = np.array([len(w) for w in words]), [None] * len(words)
         for n in np.unique(lengths):
             every = np.flatnonzero(lengths == n)
-            for at in np.array_split(every, 1 + len(every) * int(n) // 2_000_000):
+            for at in np.array_split(every, 1 + len(every) * int(n) // CELLS):
                 if not len(at):
                     continue
                 codes = codes_of([words[i] for i in at], n)
@@ -271,11 +279,27 @@ class Model:
     def encode(self, texts: Sequence[str], memo: dict[str, bytes] | None = None) -> list[np.ndarray]:
         """Ids of each text; each distinct word is encoded once, and remembered in memo. An empty text has none."""
         memo = {} if memo is None else memo
-        split = [WORD.findall((SPACE if self.dummy_prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
+        ready = [(SPACE if self.dummy_prefix and t else "") + t.replace(" ", SPACE) for t in texts]
+        if len(ready) == 1 and len(ready[0]) > BATCH_CHARS:
+            return [self.encode_long(ready[0], memo)]
+        split = [WORD.findall(t) for t in ready]
+        self.learn(split, memo)
+        return [np.frombuffer(b"".join([memo[w] for w in ws]), dtype=np.int32) for ws in split]
+
+    def learn(self, split: list[list[str]], memo: dict[str, bytes]) -> None:
         new = list({w for ws in split for w in ws if w not in memo})
         if new:
             self.remember(new, memo)
-        return [np.frombuffer(b"".join([memo[w] for w in ws]), dtype=np.int32) for ws in split]
+
+    def encode_long(self, text: str, memo: dict[str, bytes]) -> np.ndarray:
+        """Ids of one text, AT_ONCE words at a time."""
+        words, out = WORD.finditer(text), []
+        while part := [m.group() for m in islice(words, AT_ONCE)]:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            self.learn([part], memo)
+            out.append(b"".join([memo[w] for w in part]))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.__dict__.get("_bytes_of")
@@ -289,15 +313,18 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     """docs with ids_col (array of int) and decoded_col, the text that they decode to.
 
     A null text has null ids; an empty one has none. Repeated rows each get their row. Lone surrogates, which UTF-8
-    cannot hold, are replaced. The model file is read on the driver and shipped with the job.
+    cannot hold, are replaced. Columns of docs that are named ids_col or decoded_col are replaced; others stay. The
+    model file is read on the driver and shipped with the job; one that normalises texts is refused.
     """
+    kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    held = docs.select(F.struct(*(named(c) for c in kept)).alias("row"), named(text_col).alias("text"))
     content = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    added = T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = Model.load(content.value), {}
         for batch in batches:
-            column, at = batch.column(batch.schema.get_field_index(text_col)), 0
+            column, at = batch.column(1), 0
             while at < len(batch):
                 end, size = at, 0
                 while end < len(batch) and (end == at or size < BATCH_CHARS):
@@ -308,12 +335,13 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
                 offsets = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array([t is None for t in texts]))
                 decoded = pa.array([None if t is None else model.decode(i) for t, i in zip(texts, ids, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, lists, decoded], names=[*batch.schema.names, ids_col, decoded_col])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists, decoded], names=["row", "ids", "decoded"])
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
                 at = end
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    coded = held.mapInArrow(run, T.StructType([held.schema["row"], *added]))
+    return coded.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("ids").alias(ids_col), F.col("decoded").alias(decoded_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
