@@ -140,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
 
 def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with ``score_col``, the probability of label 1. A null text scores as the empty one; repeated rows alike."""
+    """docs with ``score_col``, the probability of label 1; a column of docs of that name is replaced.
+
+    A null text scores as the empty one, and repeated rows alike. No other column is read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
