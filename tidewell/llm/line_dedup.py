@@ -21,14 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, read
+from tidewell.llm.common import cut, named, read
 
-#: Shorter lines are compared for equality only, or not at all.
+#: Shorter lines are compared for equality only: one edit of a short line is often another word.
 MIN_CHARS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE = "place struct<no_id:boolean,id:{id},line:int,tid:bigint>"
 #: Bits of the screen that lines pass before they leave their task, less one; its size never grows.
 SCREEN_MASK = (1 << 24) - 1
+NOT_BLANK = r"[^ \t\n\x0B\f\r]"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ def screened_lines(min_chars: int, screen):
                             keys = [k for k in half_keys(line) if bits[(k[2] & SCREEN_MASK) >> 3] >> (k[2] & 7) & 1]
                             if keys:
                                 place = {"no_id": pd.isna(r.id), "id": None if pd.isna(r.id) else r.id, "line": i, "tid": r.tid}
-                                out.append((hashlib.md5(line.encode("utf-8", "surrogatepass")).digest(), place, line, [{"m": m, "side": side, "key": k} for m, side, k in keys]))
+                                out.append((hashlib.sha256(line.encode("utf-8", "surrogatepass")).digest(), place, line, [{"m": m, "side": side, "key": k} for m, side, k in keys]))
                 yield pd.DataFrame(out, columns=["digest", "place", "line", "keys"])
 
     return run
@@ -125,14 +126,11 @@ def variants():
     return run
 
 
-def places(rows: DataFrame, min_chars: int, short_lines: bool) -> DataFrame:
-    """A row for each line of min_chars or more, or each that is not blank: its place (id, line number) and digest."""
-    compared = F.length("text") >= min_chars
-    if short_lines:
-        compared |= F.col("text").rlike(r"\S")
-    lines = rows.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(compared)
+def places(rows: DataFrame) -> DataFrame:
+    """A row for each line that is not blank: its place (id, line number) and digest."""
+    lines = rows.select("id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.col("text").rlike(NOT_BLANK))
     place = F.struct(F.isnull("id").alias("no_id"), "id", "line", "tid")
-    return lines.select(place.alias("place"), F.unhex(F.md5("text")).alias("digest"))
+    return lines.select(place.alias("place"), F.unhex(F.sha2("text", 256)).alias("digest"))
 
 
 def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -157,19 +155,18 @@ def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
     return verified.filter(F.levenshtein("line", "other_line", 1) >= 0).select("digest").distinct()
 
 
-def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
-    """docs with text_col less its repeated lines, and n_lines and n_dropped.
+def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with text_col less its repeated lines, and n_lines and n_dropped, which replace columns of these names.
 
     A line goes if an earlier one (by id, then line number; null ids last; texts that share an id in the order of a
-    hash) is equal or, with max_edits 1, at most one edit away, whether or not that one itself stays. Lines shorter
-    than min_chars characters always stay; with short_lines, those that are not blank go too if an earlier one is equal.
-    A null text counts as one empty line. Rows that repeat both id and text
-    are one text at one place, and stay or lose the same lines.
+    hash) is equal or, with max_edits 1 and min_chars characters or more, at most one edit away, whether or not that one
+    itself stays. Blank lines (ASCII white space only) stay. A null text counts as one empty line. Rows that repeat both
+    id and text are one text at one place, and stay or lose the same lines.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    lines = places(rows, min_chars, short_lines)
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    lines = places(rows)
     first = lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     if max_edits:
         near = near_earlier(rows, min_chars).withColumn("near", F.lit(True))
@@ -179,14 +176,15 @@ def deduplicate_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_
     some = cut(first.filter("n > 1 OR near"))  # of its own, so that Spark can split the join at a line that very many texts have
     gone = lines.join(some, "digest").filter(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first")))
     gone = gone.select("place.id", "place.tid", "place.line").groupBy("id", "tid").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"id": "gone_id", "tid": "gone_tid"})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumn("tid ", F.xxhash64(text))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (docs["tid "] == gone["gone_tid"]), "left")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    held = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), named(id_col).alias("id"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("tid"))
+    joined = held.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tid") == F.col("gone_tid")), "left")
     lines = F.split(text, "\n")
     # The outer transform binds the lines once for all of their numbers.
     kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))[0]
     counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    return joined.withColumns(counts | {text_col: F.when(F.size("gone") > 0, kept).otherwise(F.col(text_col))}).drop("tid ", "gone", "gone_id", "gone_tid")
+    value = lambda c: F.when(F.size("gone") > 0, kept).otherwise(F.col("row").getField(c)) if c == text_col else F.col("row").getField(c)
+    return joined.select(*(value(c).alias(c) for c in docs.columns if c not in counts), *(c.alias(name) for name, c in counts.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,10 +192,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-ORACLE_SQL = f"""
+ORACLE_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
-f AS (SELECT t, length(t) AS n, min((doc_id, i)) AS p FROM l WHERE length(t) >= {MIN_CHARS} GROUP BY t),
-k AS (SELECT t, n, p, m, left(t, m // 2) AS a, right(t, m - m // 2) AS b FROM (SELECT *, unnest([n, n + 1]) AS m FROM f)),
+f AS (SELECT t, length(t) AS n, min((doc_id, i)) AS p FROM l WHERE regexp_matches(t, '[^ \t\n\v\f\r]') GROUP BY t),
+k AS (SELECT t, n, p, m, left(t, m // 2) AS a, right(t, m - m // 2) AS b FROM (SELECT *, unnest([n, n + 1]) AS m FROM f WHERE n >= {MIN_CHARS})),
 c AS (
   SELECT x.t, y.t AS o, x.p, y.p AS q, x.n, y.n AS o_n FROM k x JOIN k y ON x.m = y.m AND x.a = y.a WHERE x.t <> y.t
   UNION SELECT x.t, y.t, x.p, y.p, x.n, y.n FROM k x JOIN k y ON x.m = y.m AND x.b = y.b WHERE x.t <> y.t),
