@@ -1,9 +1,10 @@
-"""Exact deduplication of a batch against immutable snapshots.
+"""Exact deduplication of batches against immutable snapshots.
 
-A snapshot keeps, per bucket of digests, a static binary-fuse filter and an exact table. An incoming batch is first
-grouped by digest (its own copies meet there, pre-aggregated map-side); the distinct digests probe the filter of
-their bucket; only those that it lets through are joined with the exact entries, and rows of groups are compared byte
-by byte with the row that stays.
+A snapshot is written once: the exact table of its distinct digests, and a static binary-fuse filter for each bucket of
+them. What comes later is first grouped by digest (its own copies meet there, pre-aggregated map-side); the distinct
+digests probe the filters of all earlier snapshots in their bucket, and only those that a filter lets through are joined
+with that snapshot's exact table: a digest that is new meets no table. Until then nothing but digests has moved. Texts
+follow for groups of two rows or more, which are compared byte by byte with the row that stays.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import partitions, read
+from tidewell.llm.common import cut, named, partitions, read
 
 #: Distinct digests that one bucket, and so one filter and one task group, is planned to hold.
 BUCKET_KEYS = 50_000
 #: Copies of one text that one salt of the byte check takes.
 SALT_ROWS = 64
 
-FILTER_SCHEMA = "bucket int, seed long, segment int, segments int, slots binary"
+#: Groups of copies, at 60 bytes each, up to which their table is sent to all tasks; a larger one is shuffled.
+SEND_ROWS = 100_000
+
+FILTER_SCHEMA = "snapshot int, bucket int, seed long, segment int, segments int, slots binary"
+SCREENED = "snapshot int, digest binary, keep {id}, n long, hit int"
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -88,66 +93,77 @@ def fuse_probe(keys: np.ndarray, seed: int, segment: int, segments: int, slots:
 
 def build_filter(pdf: pd.DataFrame) -> pd.DataFrame:
     seed, segment, segments, slots = fuse_build(pdf["key"].drop_duplicates().to_numpy().astype(np.uint64))
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "seed": [seed], "segment": [segment], "segments": [segments], "slots": [slots.tobytes()]})
+    return pd.DataFrame({"snapshot": pdf["snapshot"].iloc[:1], "bucket": pdf["bucket"].iloc[:1], "seed": seed, "segment": segment, "segments": segments, "slots": [slots.tobytes()]})
 
 
-def screen(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    hit = np.zeros(len(batch), dtype=bool)
-    keys = batch["key"].to_numpy().astype(np.uint64)
+def screen(later: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """A row for each digest and earlier snapshot whose filter lets it through."""
+    keys, found = later["key"].to_numpy().astype(np.uint64), []
     for f in filters.itertuples():  # one for each snapshot
-        hit |= fuse_probe(keys, int(f.seed), int(f.segment), int(f.segments), np.frombuffer(f.slots, dtype=np.uint8))
-    return batch.assign(maybe=hit)
+        after = np.flatnonzero(later["snapshot"].to_numpy() > f.snapshot)
+        hit = after[fuse_probe(keys[after], int(f.seed), int(f.segment), int(f.segments), np.frombuffer(f.slots, dtype=np.uint8))]
+        found.append(later.iloc[hit].assign(hit=f.snapshot))
+    return pd.concat(found)[["snapshot", "digest", "keep", "n", "hit"]] if found else later.iloc[:0].assign(hit=0)[["snapshot", "digest", "keep", "n", "hit"]]
 
 
 def entries(rows: DataFrame, buckets: int) -> DataFrame:
-    """The exact table of a snapshot or batch: a row for each distinct digest."""
+    """The exact tables: a row for each snapshot and distinct digest. rows: id, digest, snapshot."""
     key = F.xxhash64("digest")
-    return rows.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n")).withColumns({"key": key, "bucket": F.pmod(key, F.lit(buckets)).cast("int")})
+    return rows.groupBy("snapshot", "digest").agg(F.max("id").alias("keep"), F.count("*").alias("n")).withColumns({"key": key, "bucket": F.pmod(key, F.lit(buckets)).cast("int")})
+
+
+def snapshot_filters(tables: DataFrame) -> DataFrame:
+    """One static filter for each bucket of each snapshot."""
+    return tables.select("snapshot", "bucket", "key").groupBy("bucket", "snapshot").applyInPandas(build_filter, FILTER_SCHEMA)
 
 
-def snapshot_filters(snapshot: DataFrame) -> DataFrame:
-    """One static filter for each bucket of a snapshot's exact table."""
-    return snapshot.select("bucket", "key").groupBy("bucket").applyInPandas(build_filter, FILTER_SCHEMA)
+def groups_of(tables: DataFrame) -> DataFrame:
+    """digest, keep and n of each group of two rows or more, within a snapshot or over several."""
+    kind = dict(tables.dtypes)["keep"]
+    as_text = tables.withColumn("keep", F.col("keep").cast("string"))  # next to a null, pandas would make long ids doubles
+    newest = tables.agg(F.max("snapshot")).first()[0]
+    filters = cut(snapshot_filters(tables.filter(F.col("snapshot") < F.lit(newest))))
+    probing = as_text.select("bucket", "snapshot", "digest", "keep", "n", "key").filter(F.col("snapshot") > F.lit(tables.agg(F.min("snapshot")).first()[0]))
+    passed = cut(probing.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, SCREENED.format(id="string")).withColumn("keep", F.col("keep").cast(kind)))
+    exact = tables.select(F.col("snapshot").alias("hit"), "digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
+    met = cut(passed.join(exact, ["hit", "digest"]))
+    sides = met.select("digest", "snapshot", "keep", "n").unionByName(met.select("digest", F.col("hit").alias("snapshot"), F.col("old_keep").alias("keep"), F.col("old_n").alias("n")))
+    over = sides.dropDuplicates(["digest", "snapshot"]).groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
+    return over.unionByName(tables.filter("n > 1").select("digest", "keep", "n")).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
 
-def deduplicate(docs: DataFrame, is_new: Column, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Groups of equal texts over a snapshot and the batch that ``is_new`` marks; the largest id of a group stays.
+def deduplicate(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """Groups of equal texts over snapshots and a batch; the largest id of a group stays.
 
-    Returns for each row: id_col, keep_id, group_size, kept, text_sha256. Null texts count as empty. A null id never
-    stays unless its whole group has null ids; rows that repeat the largest id all stay. Other columns are ignored.
+    ``snapshot`` is the number of the immutable snapshot that a row is in, in the order in which they came; the rows
+    with the largest number, and with null, are the new batch. Returns for each row: id_col, keep_id, group_size, kept,
+    text_sha256. Null texts count as empty. A null id never stays unless its whole group has null ids; rows that repeat
+    the largest id all stay. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(is_new, F.lit(True)).alias("new"))
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    buckets = max(partitions(spark), -(-docs.count() // bucket_keys))
-    light = rows.select("id", "digest", "new")
-    old, batch = (entries(light.filter(c), buckets) for c in (~F.col("new"), F.col("new")))
-    screened = batch.groupBy("bucket").cogroup(snapshot_filters(old).groupBy("bucket")).applyInPandas(screen, batch.schema.simpleString()[7:-1].replace(":", " ") + ", maybe boolean")
-    positives = screened.filter("maybe").select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n"))
-    known = positives.join(old.select("digest", "keep", "n"), "digest", "full_outer").select("digest", F.greatest("keep", "new_keep").alias("keep"), (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n"))
-    groups = known.unionByName(screened.filter("not maybe").select("digest", "keep", "n")).filter("n > 1")
-
-    # Texts go on only where a byte check is due; a hot group is salted in proportion to its size.
-    met = rows.join(groups, "digest", "left").select("id", "digest", F.coalesce("n", F.lit(1)).alias("n"), "keep", F.when(F.col("n") > 1, F.col("text")).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"), F.coalesce(snapshot.cast("int"), F.lit(2**31 - 1)).alias("snapshot")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    light = cut(rows.select("id", "digest", "snapshot"))
+    buckets = max(partitions(spark), -(-light.count() // bucket_keys))
+    groups = cut(groups_of(cut(entries(light, buckets))))
+    small = groups.count() <= SEND_ROWS
+    sent = F.broadcast(groups) if small else groups
+
+    # Only rows of groups are sent on with their text; a hot group is salted in proportion to its size.
+    texts = rows.select("id", "digest", "text").join(sent, "digest")
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    met = met.withColumn("salt", F.when(F.col("n") > SALT_ROWS, F.pmod(F.xxhash64("id", F.lit(7)), salts)).otherwise(0).cast("int"))
-    stays = rows.select("id", "digest", "text").join(groups, "digest").filter(F.col("id").eqNullSafe(F.col("keep"))).dropDuplicates(["digest"])
-    stays = stays.select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    checked = met.join(stays, ["digest", "salt"], "left")
-    same = F.coalesce(F.col("text") == F.col("keep_text"), F.lit(False))
+    met = texts.select("id", "digest", "n", "keep", "text", F.when(F.col("n") > SALT_ROWS, F.pmod(F.xxhash64("id"), salts)).otherwise(0).cast("int").alias("salt"))
+    stays = texts.filter(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.max("text").alias("keep_text"), F.max("n").alias("n"))
+    stays = stays.select("digest", "keep_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    same = F.col("text") == F.col("keep_text")
     keep = F.when(same, F.col("keep")).otherwise(F.col("id"))
-    return checked.select(
-        F.col("id").alias(id_col),
-        keep.alias("keep_id"),
-        F.when(same, F.col("n")).otherwise(F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    checked = met.join(stays, ["digest", "salt"]).select("id", keep.alias("keep_id"), F.when(same, F.col("n")).otherwise(F.lit(1)).alias("group_size"), "digest")
+    single = light.join(sent, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    return checked.unionByName(single).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an even hash of the id stand for the snapshot, the others for the new batch."""
-    return deduplicate(read(spark, sf_dir, "documents"), is_new=F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    """A hash of the id deals documents to two snapshots and the new batch."""
+    return deduplicate(read(spark, sf_dir, "documents"), snapshot=F.pmod(F.xxhash64("doc_id"), F.lit(3)))
 
 
 ORACLE_SQL = """
