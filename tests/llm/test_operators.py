@@ -65,7 +65,7 @@ def same(df, want) -> None:
     assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
 
 
-def test_exact_dedup(docs, rows, empty):
+def test_exact_dedup(docs, rows, empty, monkeypatch):
     from pyspark.sql import functions as F
 
     groups = defaultdict(list)
@@ -73,9 +73,11 @@ def test_exact_dedup(docs, rows, empty):
         groups[t or ""].append(i)
     keep = {t: max((i for i in g if i is not None), default=None) for t, g in groups.items()}
     want = [(i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""], sha(t or "")) for i, t, _ in rows]
-    for is_new in (F.col("doc_id") % 2 == 0, F.lit(True), F.lit(False)):
-        same(exact_dedup.deduplicate(docs, is_new, bucket_keys=7), want)
-    assert exact_dedup.deduplicate(empty, F.lit(True)).count() == 0
+    for snapshot in (F.col("doc_id") % 2, F.pmod(F.xxhash64("doc_id", F.rand(1)), F.lit(4)), F.lit(None), F.lit(3)):
+        for most in (0, exact_dedup.SEND_ROWS):
+            monkeypatch.setattr(exact_dedup, "SEND_ROWS", most)
+            same(exact_dedup.deduplicate(docs, snapshot, bucket_keys=7), want)
+    assert exact_dedup.deduplicate(empty, F.lit(1)).count() == 0
 
 
 def test_binary_fuse_filter():
@@ -145,13 +147,13 @@ def test_line_dedup(spark, docs, rows, empty, edits):
     for i, t in distinct:
         for k, line in enumerate(t.split("\n")):
             place = (i is None, i or 0, k, tids[t])
-            if len(line) >= 20:
+            if line.strip(" \t\n\v\f\r"):
                 first[line] = min(first.get(line, place), place)
-    near = {a for a in first for b in first if edits and a != b and first[b] < first[a] and edit_within_one(a, b)}
+    near = {a for a in first for b in first if edits and a != b and len(a) >= 20 and len(b) >= 20 and first[b] < first[a] and edit_within_one(a, b)}
     want = []
     for i, t, _ in rows:
         lines = (t or "").split("\n")
-        gone = [len(x) >= 20 and (x in near or first[x] != (i is None, i or 0, k, tids[t or ""])) for k, x in enumerate(lines)]
+        gone = [x in first and (x in near or first[x] != (i is None, i or 0, k, tids[t or ""])) for k, x in enumerate(lines)]
         want.append((i, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if any(gone) else t, len(lines), sum(gone)))
     got = line_dedup.deduplicate_lines(docs, max_edits=edits)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
@@ -329,15 +331,37 @@ def test_language_id(spark, empty):
 def test_bit_sliced_filter_has_every_language_of_a_gram():
     import pandas as pd
 
-    rng = np.random.default_rng(4)
-    grams = rng.integers(0, 2**32, 300)
-    member = rng.random((300, 11)) < 0.3
-    rows = [(f"l{k:02}", g) for j, g in enumerate(grams) for k in range(11) if member[j, k]]
-    model = language_id.build(pd.DataFrame(rows, columns=["lang", "gram"]))
-    at = language_id.places(grams.astype(np.uint32))
-    hit = model.masks[at[0]] & model.masks[at[1]] & model.masks[at[2]]
-    for k in range(11):
-        assert (hit[:, k // 8] >> k % 8 & 1).astype(bool)[member[:, k]].all()
+    rng = random.Random(4)
+    langs = tuple(f"l{k:02}" for k in range(11))
+    texts = {lang: ["".join(rng.choice("abcdefgh éß") for _ in range(300)) for _ in range(3)] for lang in langs}
+    rows = pd.DataFrame([(lang, t) for lang in langs for t in texts[lang]], columns=["lang", "text"])
+    words = pd.concat(language_id.slot_bits(langs)(iter([rows[:10], rows[10:]])))
+    words = words.groupby(["byte", "octet"])["bits"].agg(lambda x: np.bitwise_or.reduce(x.to_numpy())).reset_index()
+    model = language_id.build(langs, words)
+    seen = {lang: {g for t in texts[lang] for part in language_id.grams(t) for g in part.tolist()} for lang in langs}
+    for k, lang in enumerate(langs):
+        at = language_id.places(np.array(sorted(seen[lang]), dtype=np.uint32))
+        assert ((model[1][at[0]] & model[1][at[1]] & model[1][at[2]])[:, k // 8] >> k % 8 & 1).all()
+    for _ in range(30):  # the corrected popcounts against plain sets
+        text = "".join(rng.choice("abcdefgh éß") for _ in range(rng.randint(1, 400)))
+        g = [x for part in language_id.grams(text) for x in part.tolist()]
+        plain = np.array([sum(x in seen[lang] for x in g) / len(g) for lang in langs])
+        assert np.abs(language_id.shares(model, text) - plain).max() < 0.02
+
+
+def test_pieces_of_a_long_text_have_the_same_grams(monkeypatch):
+    text = "Ein längerer Text, with some words 12 and ½ of others. " * 9
+    whole = np.concatenate(list(language_id.grams(text)))
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    assert (np.concatenate(list(language_id.grams(text))) == whole).all()
+
+
+def test_language_id_knows_letters_by_their_category(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "some words of a language", "en"), (2, "½", None), (3, "² 3", None), (4, "ʰ", None), (5, "字", None), (6, "Ⅷ ①", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), "doc_id", "text", "lang")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()} == {1: "en", 2: "und", 3: "und", 4: "en", 5: "en", 6: "und"}
 
 
 def test_quality(spark, empty):
@@ -363,6 +387,83 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.fit(empty, known, F.lit(True))).count() == 0
 
 
+def test_quality_against_a_plain_convolution():
+    """Chunk by chunk, window by window and filter by filter; an existing score column gives way."""
+    rng = np.random.default_rng(5)
+    w = {k: rng.normal(0, 0.4, shape).astype(np.float32) for k, shape in quality.SHAPES.items()}
+    for n in (0, 1, 255, 256, 257, 449, 2000):
+        text = "".join(rng.choice(list("abc é\n"), n))
+        data = text.encode()
+        tops = []
+        for begin in range(0, max(1, len(data) - quality.CHUNK + quality.HOP), quality.HOP):
+            chunk = data[begin : begin + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            tops.append([max(sum(float(w["embed"][chunk[s + i], d]) * float(w["filters"][i * quality.DIM + d, f]) for i in range(quality.WIDTH) for d in range(quality.DIM)) for s in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP)) + float(w["bias"][f]) for f in range(quality.FILTERS)])
+            if begin + quality.CHUNK >= len(data):
+                break
+        h = np.tanh(np.array(tops))
+        logit = np.concatenate([h.mean(0), h.max(0)]) @ w["out"] + w["offset"][0]
+        assert quality.scores(w, [text])[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
+
+
+def test_columns_that_operators_add_replace_those_of_the_table(spark):
+    names = ["doc_id", "text", "gone", "n_lines", "n_dropped", "ids", "decoded", "score", "row", "tid", "id", "a.b"]
+    docs = spark.createDataFrame([(1, "one line here\nand another", *"x" * 10), (2, "one line here", *"y" * 10)], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    lines = line_dedup.deduplicate_lines(docs)
+    assert lines.columns == [c for c in names if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert {(r["doc_id"], r["text"], r["gone"], r["a.b"], r["n_lines"], r["n_dropped"]) for r in lines.collect()} == {(1, "one line here\nand another", "x", "x", 2, 0), (2, "", "y", "y", 1, 1)}
+    coded = sentencepiece_codec.encode(docs)
+    assert coded.columns == [c for c in names if c not in ("ids", "decoded")] + ["ids", "decoded"]
+    assert {r["decoded"] for r in coded.collect()} == {"one line here\nand another", "one line here"}
+    scored = quality.score(docs, {k: np.ones(shape, np.float32) for k, shape in quality.SHAPES.items()})
+    assert scored.columns == names and scored.schema["score"].dataType.typeName() == "double" and scored.count() == 2
+    files = license_scan.scan_licenses(docs.withColumnsRenamed({"gone": "dir", "n_lines": "best", "score": "path"}), keep=("doc_id", "dir", "best", "tid", "a.b"))
+    assert files.columns == ["doc_id", "dir", "best", "tid", "a.b", "path", "own_license", "own_score", "license", "inherited_from"] and files.count() == 2
+
+
+def test_workers_need_not_find_this_folder(tmp_path):
+    """From another folder, with the repository only on the driver's path."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("op1_quality_classifier", "op2_sentencepiece", "op3_url_filter", "op5_language_id", "op9_decontaminate"):
+    __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_a_model_that_normalises_is_refused(tmp_path):
+    from pathlib import Path
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(Path(sentencepiece_codec.MODEL_PATH).read_bytes())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    with pytest.raises(ValueError):
+        sentencepiece_codec.Model.load(model.SerializeToString())
+
+
+def test_a_long_text_is_encoded_in_parts(monkeypatch):
+    from pathlib import Path
+
+    model = sentencepiece_codec.Model.load(Path(sentencepiece_codec.MODEL_PATH).read_bytes())
+    text = "Words, and  more words;\n日本語 here. " * 40
+    whole = model.encode([text])[0].tolist()
+    for name, value in (("BATCH_CHARS", 50), ("AT_ONCE", 7), ("MEMO_WORDS", 5), ("CELLS", 20)):
+        monkeypatch.setattr(sentencepiece_codec, name, value)
+    assert model.encode([text], {})[0].tolist() == whole
+
+
 def test_sentencepiece(spark, rows):
     import sentencepiece
 
@@ -413,6 +514,14 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_whole_files_and_long_sentences(spark):
+    mit = "MIT License\n\nCopyright (c) 2001 Some One\n\n" + dict(license_scan.FILES)["MIT"].replace(". ", ".\n\n").replace("software and", "software\nand")
+    long = "the Apache License, Version 2.0 " + " ".join(f"w{i} of the license" for i in range(25_000))
+    files = [("p/LICENSE", mit, "MIT"), ("p/notes.txt", "Nothing but notes.", None), ("q/long.txt", long, None), ("q/LICENSE", "nothing of the kind", None)]
+    got = license_scan.scan_licenses(spark.createDataFrame([f[:2] for f in files], "path string, text string"))
+    assert {(r["path"], r["own_license"]) for r in got.collect()} == {(f[0], f[2]) for f in files}
+
+
 def test_license_scan_weighs_ordinary_words_by_their_frequency(spark):
     """Words outside the templates have real document frequencies, so that a notice among ordinary words is found."""
     notice = "You may use it as it was released under the MIT License"

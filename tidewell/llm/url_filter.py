@@ -74,13 +74,13 @@ ORACLE_SQL = f"""
 WITH u AS (
   SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '{URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '{URL}', 2) AS path
+    regexp_extract(coalesce(url, ''), '{URL}', 2) AS path, coalesce(url, '') AS whole
   FROM pages),
 r(kind, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 hit AS (
   SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(kind, length(rhost || rpath)) AS kind
   FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
-n AS (SELECT *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS hp FROM u),
+n AS (SELECT *, translate(whole, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS hp FROM u),
 c AS (SELECT page_id, host, path, CAST({_count(STRICT)} AS INT) AS strict_hits, CAST({_count(SOFT)} AS INT) AS soft_hits FROM n)
 SELECT c.page_id, host, path, rule, coalesce(kind, CASE WHEN strict_hits >= 1 OR soft_hits >= {MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
 FROM c LEFT JOIN hit USING (page_id)
