@@ -132,6 +132,26 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert got == {i: least[label[i]] for i in range(120)} and len(set(got.values())) > 3
 
 
+def test_near_dedup_finds_pairs_at_the_bound(spark):
+    """400 pairs of a similarity of exactly 85 of 100: recall 1. A pair just under it is none."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        w = [f"{i}x{rng.random()}" for _ in range(40)]
+        rows += [(2 * i, " ".join(w[:37])), (2 * i + 1, " ".join(w[:34] + w[37:]))]
+    rows += [(900, " ".join(f"y{k}" for k in range(37))), (901, " ".join(f"y{k}" for k in range(4, 41)))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()}
+    assert got == {i: i if i >= 900 else i - i % 2 for i, _ in rows}
+
+
+def test_near_dedup_of_a_group_around_its_hub(spark, monkeypatch):
+    """Many blocks, no member of which has to meet another block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[: i % 80], f"x{i}", *base[i % 80 + 1 :]])) for i in range(60)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def edit_within_one(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 1:
         return False

@@ -4,10 +4,12 @@
 2. A set is posted under the coordinate-value pairs of its signature. Two sets that should link agree on at least
    ``least_matches`` coordinates, so they meet under one of the rarest ``K - least_matches + 1`` pairs of either (the
    prefix); pairs that nobody shares fill the prefix first and are never joined.
-3. A posting is not expanded into pairs: its members go to the group of the posting's most central member. Groups are
-   cut into blocks, and each pair of blocks is one task group that counts collisions of whole signatures, skips what is
-   already connected, and confirms the rest on full sets.
-4. The links' connected components give the classes.
+3. A posting is not expanded into pairs: its members go to the group of the posting's most central member, the hub.
+   Groups are dealt in blocks, each with a copy of the hub. A block's members are compared with the hub first and then
+   with each other: collisions of whole signatures are counted, what is already connected is skipped, and the rest is
+   confirmed on full sets. So a member is sent once, however large its group.
+4. Only members that their block does not connect with the hub go on to the group's other blocks.
+5. The links' connected components give the classes.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from tidewell.llm.components import connected_components
 COORDINATES = 64
 #: A link at the similarity bound is lost with at most this probability.
 MISS = 1e-9
-#: Members of one block; a task group holds two blocks and the central member.
-BLOCK = 256
+#: Members of one block, and bytes of their sets, as far as a hash deals evenly.
+BLOCK, BLOCK_BYTES = 256, 32 << 20
 
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,44 +98,66 @@ def set_bytes(words: int):
     return run
 
 
-def link_blocks(percent: int):
-    """Confirmed links of one pair of blocks; what is connected already is skipped."""
-    least = least_matches(percent)
+class Members:
+    """Signatures and full sets of rows (rep, sig, items), and what is connected among them."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int) -> None:
+        self.rep, self.percent, self.least = pdf["rep"].tolist(), percent, least_matches(percent)
+        self.sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.int64).reshape(len(pdf), COORDINATES)
+        self.sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["items"]]
+        self.size, self.label, self.found = np.array([len(s) for s in self.sets]), np.arange(len(pdf)), []
+
+    def link(self, x: int, others: np.ndarray) -> None:
+        """Confirm links of x with others that it is not connected with."""
+        others = others[self.label[others] != self.label[x]]
+        others = others[(self.sig[others] == self.sig[x]).sum(axis=1) >= self.least]
+        mine = self.sets[x]
+        for part in np.array_split(others, 1 + self.size[others].sum() // 2_000_000) if len(others) else ():
+            if not len(part):
+                continue
+            items = np.concatenate([self.sets[y] for y in part])
+            at = np.minimum(np.searchsorted(mine, items), len(mine) - 1)
+            common = np.add.reduceat((mine[at] == items).astype(np.int64), np.cumsum(self.size[part]) - self.size[part])
+            for y in part[100 * common >= self.percent * (len(mine) + self.size[part] - common)]:
+                if self.label[x] != self.label[y]:
+                    self.found.append((self.rep[x], self.rep[y]))
+                    self.label[self.label == self.label[y]] = self.label[x]
+
+
+def link_block(percent: int):
+    """Links within a block, the hub's first; and (hub, member) of what it does not connect with the hub."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["central", "rep"], ascending=[False, True]).drop_duplicates("rep").reset_index(drop=True)
-        n, i, j = len(pdf), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.int64).reshape(n, COORDINATES)
-        sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["items"]]
-        size, block, label, found = np.array([len(s) for s in sets]), pdf["block"].to_numpy(), np.arange(n), []
-        for x in range(n):
-            later = np.arange(x + 1, n)
-            if x or not pdf["central"].iloc[0]:  # the central member meets all; others meet the other block
-                later = later[block[later] != block[x]] if i != j else later
-            later = later[label[later] != label[x]]
-            if not len(later):
-                if (label == label[0]).all():
-                    break
-                continue
-            later = later[(sig[later] == sig[x]).sum(axis=1) >= least]
-            for part in np.array_split(later, 1 + size[later].sum() // 2_000_000) if len(later) else ():
-                if not len(part):
-                    continue
-                items = np.concatenate([sets[y] for y in part])
-                at = np.minimum(np.searchsorted(sets[x], items), size[x] - 1)
-                common = np.add.reduceat((sets[x][at] == items).astype(np.int64), np.cumsum(size[part]) - size[part])
-                for y in part[100 * common >= percent * (size[x] + size[part] - common)]:
-                    if label[x] != label[y]:
-                        found.append((pdf["rep"].iloc[x], pdf["rep"].iloc[y]))
-                        label[label == label[y]] = label[x]
-        return pd.DataFrame(found, columns=["a", "b"])
+        m = Members(pdf, percent)
+        for x in range(len(pdf)):
+            if (m.label == m.label[0]).all():
+                break
+            m.link(x, np.arange(x + 1, len(pdf)))
+        rest = np.flatnonzero(m.label != m.label[0])
+        return pd.DataFrame([(*f, False) for f in m.found] + [(m.rep[0], m.rep[y], True) for y in rest], columns=["a", "b", "rest"])
+
+    return run
+
+
+def link_rest(percent: int):
+    """Links of unconnected members with another block of their group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        m, block = Members(pdf, percent), pdf["block"].to_numpy()
+        first, other = np.flatnonzero(pdf["first"]), np.flatnonzero(~pdf["first"])
+        m.label[other[~pdf["rest"].to_numpy()[other]]] = len(pdf)  # connected through the hub
+        for x in first:
+            m.link(x, other[block[other] != block[x]])
+        return pd.DataFrame(m.found, columns=["a", "b"])
 
     return run
 
 
 def links(sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that connect just what all links of similar sets connect. texts: id, tid, text."""
-    sets = sketches.filter("n > 0").groupBy("rep").agg(F.first("sig").alias("sig"), F.min(F.struct("id", "tid")).alias("at"))
+    sets = sketches.filter("n > 0").groupBy("rep").agg(F.first("sig").alias("sig"), F.min(F.struct("id", "tid")).alias("at"), F.first("n").alias("size"))
     posts = sets.select("rep", F.explode("sig").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     prefix = COORDINATES - least_matches(percent) + 1
@@ -141,22 +165,32 @@ def links(sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     room = F.greatest(F.lit(0), prefix - (COORDINATES - F.size("tokens")))  # pairs of its own come first in the prefix
     posted = cut(met.select("rep", "weight", F.explode(F.slice("tokens", F.lit(1), room)).alias("t")).select("rep", "weight", F.col("t.token").alias("token")))
     centre = posted.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    members = posted.select("token", "rep").join(centre.select("token", F.col("c.rep").alias("hub")), "token").select("hub", "rep").distinct()
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = cut(posted.select("token", "rep").join(centre.select("token", F.col("c.rep").alias("hub")), "token").select("hub", "rep").distinct())
 
     wanted = sets.join(members.select("rep").distinct(), "rep", "left_semi")
     same = texts["id"].eqNullSafe(F.col("at.id")) & (texts["tid"] == F.col("at.tid"))
-    full = texts.join(wanted, same).select("rep", F.col("sig"), "text").dropDuplicates(["rep"])
+    full = texts.join(wanted, same).select("rep", "sig", "size", "text").dropDuplicates(["rep"])
     as_bytes = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, dtype=np.int64).tobytes()), "binary")
-    full = cut(full.select("rep", as_bytes("sig").alias("sig"), set_bytes(words)("text").alias("items")))
-
-    dealt = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(full, "rep").withColumn("central", F.col("rep") == F.col("hub"))
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = F.when(F.col("central"), F.flatten(F.transform(all_blocks, lambda a: F.transform(F.sequence(a, F.col("blocks") - 1), lambda b: F.struct(a.alias("i"), b.alias("j"))))))
-    pairs = F.coalesce(pairs, F.transform(all_blocks, lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
-    dealt = dealt.select("hub", "rep", "sig", "items", "block", "central", F.explode(pairs).alias("p")).select("hub", "rep", "sig", "items", "block", "central", "p.i", "p.j")
-    return dealt.groupBy("hub", "i", "j").applyInPandas(link_blocks(percent), "a binary, b binary").distinct()
+    full = cut(full.select("rep", "size", as_bytes("sig").alias("sig"), set_bytes(words)("text").alias("items")))
+
+    room = F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)
+    sizes = cut(members.join(full.select("rep", "size"), "rep").groupBy("hub").agg(F.ceil(room).cast("int").alias("blocks")))
+    dealt = members.filter("hub != rep").join(sizes, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("central"))
+    hubs = sizes.select("hub", F.col("hub").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("central"))
+    data = full.select("rep", "sig", "items")
+    found = cut(dealt.unionByName(hubs).join(data, "rep").groupBy("hub", "block").applyInPandas(link_block(percent), "a binary, b binary, rest boolean"))
+
+    # What a block does not connect with its hub meets the other blocks of the group, and nothing else does.
+    rest = found.filter("rest").select(F.col("a").alias("hub"), F.col("b").alias("rep")).join(sizes.filter("blocks > 1"), "hub")
+    rest = cut(rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    i = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    every = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))
+    firsts = rest.join(parts, "hub").select("hub", "rep", "block", F.lit(True).alias("first"), F.lit(True).alias("rest"), i.alias("i"), F.explode(every).alias("j"))
+    others = dealt.join(parts, "hub").join(rest.select("hub", "rep", F.lit(True).alias("rest")), ["hub", "rep"], "left")
+    others = others.select("hub", "rep", "block", F.lit(False).alias("first"), F.coalesce("rest", F.lit(False)).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"))
+    more = firsts.unionByName(others).join(data, "rep").groupBy("hub", "i", "j").applyInPandas(link_rest(percent), "a binary, b binary")
+    return found.filter("not rest").select("a", "b").unionByName(more).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", text_key: str | None = None) -> DataFrame:
