@@ -268,10 +268,10 @@ def repeats(texts: list[bytes], n: int) -> list[tuple[int, int, int, str]]:
     return out
 
 
-@pytest.mark.parametrize("most", [suffix_dedup.MOST, 1])
-def test_suffix_dedup(docs, rows, empty, most):
+@pytest.mark.parametrize(("memory", "shard_bytes"), [(suffix_dedup.MEMORY, suffix_dedup.SHARD_BYTES), (1000, suffix_dedup.SHARD_BYTES), (1000, 2000)])
+def test_suffix_dedup(docs, rows, empty, memory, shard_bytes):
     want = [(i, *r) for (i, _, _), r in zip(rows, repeats([(t or "").encode() for _, t, _ in rows], 200), strict=True)]
-    got = suffix_dedup.remove_repeats(docs, memory=1000, most=most).drop("kept_text")
+    got = suffix_dedup.remove_repeats(docs, memory=memory, shard_bytes=shard_bytes, with_text=False)
     same(got, want)
     assert sum(w[2] for w in want) > 1000
     assert suffix_dedup.remove_repeats(empty).count() == 0

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the session's shared folder: lineage is cut, and columns can be read one by one."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def screen_of(keys: DataFrame, mask: int):
+    """A bitmap of the bigint column ``key``, as a broadcast variable of mask + 1 bits whatever their number; where it fills up, it only screens less."""
+    bit = F.col("key").bitwiseAND(mask)
+    words = keys.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    screen = np.zeros((mask + 1) // 32, dtype="<u4")
+    screen[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return keys.sparkSession.sparkContext.broadcast(screen.view(np.uint8))
+
+
 def named(name: str) -> Column:
     """The column of just that name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, named, read
+from tidewell.llm.common import cut, named, read, screen_of
 
 #: Shorter lines are compared for equality only: one edit of a short line is often another word.
 MIN_CHARS = 20
@@ -94,15 +94,6 @@ def screened_lines(min_chars: int, screen):
     return run
 
 
-def screen_of(keys: DataFrame):
-    """A bitmap of keys, as a broadcast variable of SCREEN_BITS whatever their number; where it fills up, it only screens less."""
-    bit = F.col("key").bitwiseAND(SCREEN_MASK)
-    words = keys.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    screen = np.zeros((SCREEN_MASK + 1) // 32, dtype="<u4")
-    screen[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return keys.sparkSession.sparkContext.broadcast(screen.view(np.uint8))
-
-
 def variants():
     """A pandas UDF of a line and its met (m, side): its own hash at position -1 where a longer line may match, and its
     variants with the character at a position deleted, in the halves that may differ."""
@@ -138,7 +129,7 @@ def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
     keys = rows.select("text").mapInPandas(all_keys(min_chars), "key long, line long")
     met = cut(keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key"))
     kind = dict(rows.dtypes)["id"]
-    seen = rows.mapInPandas(screened_lines(min_chars, screen_of(met)), f"digest binary, {PLACE.format(id=kind)}, line string, keys array<struct<m:int,side:int,key:long>>")
+    seen = rows.mapInPandas(screened_lines(min_chars, screen_of(met, SCREEN_MASK)), f"digest binary, {PLACE.format(id=kind)}, line string, keys array<struct<m:int,side:int,key:long>>")
     distinct = seen.groupBy("digest").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("keys").alias("keys"))
     exploded = distinct.select("digest", "place", "line", F.inline("keys")).join(met, "key")
     lines = cut(exploded.groupBy("digest").agg(F.first("place").alias("place"), F.first("line").alias("line"), F.collect_set(F.struct("m", "side")).alias("met")))
