@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,99 @@ def pack(parts: Column, size: int, joiner: str = " ") -> Column:
     return F.aggregate(parts, empty, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
 
 
+def section_chunks(c: Column, tokens: int) -> Column:
+    """(heading, text) chunks: sections at lines that begin with #, paragraphs at blank lines, packed up to a token budget.
+
+    A token is four characters. A paragraph over the budget is packed by sentences, and a sentence over it is cut.
+    """
+    size = 4 * tokens
+    cut = lambda s: F.regexp_extract_all(s, F.lit(f"((?s).{{1,{size}}})"), F.lit(1))
+    small = lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(pack(F.flatten(F.transform(sentences(p), cut)), size))
+
+    def chunks(section: Column) -> Column:
+        heading = F.regexp_extract(section, r"^#+ *([^\n]*)", 1)
+        body = F.when(section.startswith("#"), F.regexp_replace(section, r"^[^\n]*\n?", "")).otherwise(section)
+        paragraphs = F.filter(F.split(body, r"\n[ \t]*\n+"), lambda p: F.trim(p) != "")
+        return F.transform(pack(F.flatten(F.transform(paragraphs, small)), size, "\n\n"), lambda x: F.struct(heading.alias("heading"), x.alias("text")))
+
+    return F.flatten(F.transform(F.split(c, r"\n(?=#)"), chunks))
+
+
+def _nested(change) -> Callable[[Column], Column]:
+    """A pandas UDF of JSON texts: what ``change`` makes of the value; null where it is no JSON or nothing is left."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                value = change(json.loads(t)) if t is not None else None
+            except ValueError:
+                value = None
+            out.append(None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def json_pruned(c: Column) -> Column:
+    """Without nulls, empty texts, and lists and objects that are empty or become so, at every depth."""
+
+    def prune(x):
+        if isinstance(x, dict):
+            x = {k: v for k, v in ((k, prune(v)) for k, v in x.items()) if v is not None}
+        elif isinstance(x, list):
+            x = [v for v in map(prune, x) if v is not None]
+        elif isinstance(x, str):
+            x = x.strip()
+        return None if x is None or x in ("", [], {}) else x
+
+    return _nested(prune)(c)
+
+
+def json_without(c: Column, phrases: Sequence[str]) -> Column:
+    """Without the phrases in any text, keys aside, at every depth."""
+
+    def out(x):
+        if isinstance(x, dict):
+            return {k: out(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [out(v) for v in x]
+        if isinstance(x, str):
+            for p in sorted(phrases, key=len, reverse=True):
+                x = x.replace(p, "")
+            return " ".join(x.split())
+        return x
+
+    return _nested(out)(c)
+
+
+def json_objects(c: Column) -> Column:
+    """The whole objects of the first JSON array in a text; of one that is cut off, those before the cut."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        decoder, out = json.JSONDecoder(), []
+        for t in texts:
+            found, at = [], (t or "").find("[") + 1
+            while at:
+                at = t.find("{", at)
+                try:
+                    value, end = decoder.raw_decode(t, at) if at >= 0 else (None, 0)
+                except ValueError:
+                    break
+                if value is None:
+                    break
+                found.append(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+                at = end
+                if t[at:].lstrip()[:1] == "]":
+                    break
+            out.append(found)
+        return pd.Series(out)
+
+    return run(c)
+
+
 def strip_tags(html: Column) -> Column:
     """The text of a page: without scripts, styles and tags, with the common entities resolved."""
     text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

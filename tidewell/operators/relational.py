@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
@@ -126,6 +127,65 @@ def ranked(df: DataFrame, order: Sequence, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's shared folder; only where none is set, in a folder of our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def in_order(df: DataFrame, order: Sequence) -> DataFrame:
+    """df sorted over all its range partitions, with its partition ``p `` and its place in it, ``i ``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at ", F.monotonically_increasing_id()))
+    return at.withColumns({"p ": F.shiftright("at ", 33), "i ": F.col("at ").bitwiseAND((1 << 33) - 1)}).drop("at ")
+
+
+def offsets(at: DataFrame, value: Column) -> DataFrame:
+    """``before ``, the sum of a value over earlier partitions: a row for each partition, which is all that one task sees."""
+    sums = at.groupBy("p ").agg(F.sum(value).alias("s "))
+    return F.broadcast(sums.select("p ", F.coalesce(F.sum("s ").over(Window.orderBy("p ").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before ")))
+
+
+def numbered(df: DataFrame, order: Sequence, name: str = "rank", group: Sequence[str] = ()) -> DataFrame:
+    """1..n in order, over all rows or within groups, of tables of any size: places in range partitions plus offsets.
+
+    No partition holds a whole group, however few groups there are; ``order`` should tell all rows apart.
+    """
+    at = in_order(df, [*map(F.col, group), *order])
+    out = at.join(offsets(at, F.lit(1)), "p ").withColumn(name, F.col("before ") + F.col("i ") + 1).drop("p ", "i ", "before ")
+    if group:
+        first = out.groupBy(*(F.col(g).alias(f"{g} ") for g in group)).agg((F.min(name) - 1).alias("first "))
+        out = out.join(first, [F.col(g).eqNullSafe(F.col(f"{g} ")) for g in group]).withColumn(name, F.col(name) - F.col("first ")).drop("first ", *(f"{g} " for g in group))
+    return out
+
+
+def running_before(df: DataFrame, order: Sequence, value: str, name: str) -> DataFrame:
+    """The sum of a value over all earlier rows: sums within range partitions plus offsets."""
+    at = in_order(df, order)
+    w = Window.partitionBy("p ").orderBy("i ").rowsBetween(Window.unboundedPreceding, -1)
+    out = at.join(offsets(at, F.col(value)), "p ")
+    return out.withColumn(name, F.col("before ") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("p ", "i ", "before ")
+
+
+def percentiles(df: DataFrame, group: str, value: str, tie: str, at: Mapping[str, float]) -> DataFrame:
+    """Exact interpolated percentiles by group, as named columns: only the rows at the two places of each are kept."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n "))
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(group, value, tie), [F.col(value), F.col(tie)], "at ", [group])
+    rows = rows.join(n.withColumnRenamed(group, "g "), F.col(group).eqNullSafe(F.col("g ")))
+    place = {k: (F.col("n ") - 1) * F.lit(p) for k, p in at.items()}
+    share = {k: F.greatest(F.lit(0.0), 1 - F.abs(F.col("at ") - 1 - x)) for k, x in place.items()}  # linear between neighbours
+    kept = rows.filter(reduce(or_, (s > 0 for s in share.values())))
+    return kept.groupBy(group).agg(*(F.sum(s * F.col(value)).alias(k) for k, s in share.items()))
+
+
+def ntile(rank: Column, n: Column, tiles: int) -> Column:
+    """The tile of a rank among n rows: the first n % tiles of them have one row more."""
+    size, more = F.floor(n / tiles), n % tiles
+    return F.when(rank <= more * (size + 1), F.ceil(rank / (size + 1))).otherwise(more + F.ceil((rank - more * (size + 1)) / size))
+
+
 def trend(this: Column, last: Column, band: float = 0.05) -> Column:
     """up, down or same, by a band around last period's rate; something after nothing is up."""
     return F.when((last == 0) & (this > 0), "up").when(this > last * (1 + band), "up").when(this < last * (1 - band), "down").otherwise("same")

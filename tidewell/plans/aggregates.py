@@ -69,12 +69,15 @@ def a10(spark, d):
 @query("a11_moments", "SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean, round(quantile_cont(o_totalprice, 0.5), 2) AS median, round(coalesce(stddev_samp(o_totalprice), 0), 2) AS deviation, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderpriority")
 def a11(spark, d):
     p = F.col("o_totalprice")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(p), 2).alias("mean"), F.round(F.percentile(p, F.lit(0.5)), 2).alias("median"), F.round(F.coalesce(F.stddev_samp(p), F.lit(0.0)), 2).alias("deviation"), (F.max(p) - F.min(p)).alias("spread"))
+    o = table(spark, d, "orders")
+    median = R.percentiles(o, "o_orderpriority", "o_totalprice", "o_orderkey", {"median": 0.5}).withColumn("median", F.round("median", 2))
+    return median.join(o.groupBy("o_orderpriority").agg(F.round(F.avg(p), 2).alias("mean"), F.round(F.coalesce(F.stddev_samp(p), F.lit(0.0)), 2).alias("deviation"), (F.max(p) - F.min(p)).alias("spread")), "o_orderpriority")
 
 
 @query("a12_percentiles", "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type")
 def a12(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", F.lit(q)), 4).alias(f"p{int(100 * q)}") for q in (0.95, 0.99)))
+    p = R.percentiles(table(spark, d, "events"), "event_type", "value", "event_id", {"p95": 0.95, "p99": 0.99})
+    return p.select("event_type", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
 
 
 _WEEKS = f"count(*) FILTER (day > {D} - 7) AS this_week, count(*) FILTER (day <= {D} - 7 AND day > {D} - 14) AS last_week"
@@ -190,8 +193,8 @@ def a28(spark, d):
     c = contacts(spark, d)
     ok = ~R.recontacted(c, ["customer", "category"], "day")
     g = c.select("customer", ok.alias("ok")).groupBy("customer").agg(F.count("*").alias("n"), F.count_if("ok").alias("resolved"))
-    before = F.coalesce(F.sum(F.col("n") - F.col("resolved")).over(Window.orderBy("customer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("before", before).select("customer", "n", "resolved", F.greatest(F.lit(0), F.least(F.col("n") - F.col("resolved"), 100 - F.col("before"))).alias("granted"))
+    g = R.running_before(g.withColumn("open", F.col("n") - F.col("resolved")), ["customer"], "open", "before")
+    return g.select("customer", "n", "resolved", F.greatest(F.lit(0), F.least(F.col("n") - F.col("resolved"), 100 - F.col("before"))).alias("granted"))
 
 
 @query("w01_last_three", f"WITH {CONTACTS} SELECT customer, id, rn FROM (SELECT customer, id, row_number() OVER (PARTITION BY customer ORDER BY day DESC, id DESC) AS rn FROM contacts) WHERE rn <= 3")
@@ -275,7 +278,7 @@ def k04(spark, d):
 def k05(spark, d):
     last = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.max("o_orderdate").cast("string").alias("last"))
     c = table(spark, d, "customer").join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "last")
-    return R.ranked(c, [F.desc_nulls_last("last"), "c_custkey"], "pos")
+    return R.numbered(c, [F.desc_nulls_last("last"), F.col("c_custkey")], "pos")
 
 
 @query("k06_recent_history", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 5")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
@@ -13,6 +9,7 @@ from tidewell.operators import relational as R
 from tidewell.operators import retrieval as V
 from tidewell.plans.registry import CONTACTS, contacts, query, table
 from tidewell.plans.retrieval import _INDEX, part_index
+from tidewell.streaming import conversations as S
 
 
 @query("s14_vector_sink_check", "SELECT count(*) AS n, count(*) FILTER (len(embedding) = 64) AS whole FROM embeddings")
@@ -36,7 +33,7 @@ def j07(spark, d):
 
 @query("w02_ranked_with_tie_break", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rn FROM part")
 def w02(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).cast("long").alias("rn"))
+    return R.numbered(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), [F.col("p_size"), F.col("p_partkey")], "rn", ["p_brand"]).select("p_partkey", "rn")
 
 
 @query("k07_multi_key_order", "SELECT p_partkey, row_number() OVER (ORDER BY (p_type = 'PROMO') DESC, p_size DESC, p_retailprice DESC, p_partkey) AS pos FROM part ORDER BY pos LIMIT 25")
@@ -59,19 +56,14 @@ def v24(spark, d):
 
 @query("m06_alignment_accuracy")
 def m06(spark, d):
-    """Character-aligned role accuracy of each conversation against itself with roles of every third turn swapped."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        texts, roles = pdf["text"].fillna("").tolist(), pdf["role"].fillna("").tolist()
-        heard = [r if i % 3 else "other" for i, r in enumerate(roles)]
-        want = [r for t, r in zip(texts, roles, strict=True) for _ in t.split()]
-        got = [r for t, r in zip(texts, heard, strict=True) for _ in t.split()]
-        words = [w for t in texts for w in t.split()]
-        same = sum(want[a + k] == got[b + k] for a, b, n in SequenceMatcher(None, words, words, autojunk=False).get_matching_blocks() for k in range(n))
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "accuracy": [round(same / len(want), 6) if want else 1.0]})
+    """Roles by character of another transcript of each conversation, in which words are missing and turns have other roles.
 
-    return table(spark, d, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id long, accuracy double")
+    conv_id, role, heard and n: how many aligned characters of a role were heard as which; others are ``missed``.
+    """
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.filter(F.split("text", " "), lambda w, i: (F.hash(w, i) % 9 != 0))
+    heard = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.lit("other")).otherwise(F.col("role")).alias("role"), F.array_join(said, " ").alias("text"))
+    return S.alignment(c, heard)
 
 
 @query("n02_seed_mapping", "SELECT p_type, count(DISTINCT w) AS words FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE trim(w) <> '' GROUP BY p_type")
@@ -82,8 +74,10 @@ def n02(spark, d):
 
 @query("n04_count_tiers", f"WITH {CONTACTS}, n AS (SELECT customer, count(*) AS n FROM contacts GROUP BY customer), t AS (SELECT *, ntile(10) OVER (ORDER BY n, customer) AS k FROM n) SELECT customer, CASE WHEN k <= 4 THEN 'low' WHEN k <= 7 THEN 'medium' WHEN k <= 9 THEN 'high' ELSE 'top' END AS tier FROM t")
 def n04(spark, d):
-    n = contacts(spark, d).groupBy("customer").agg(F.count("*").alias("n")).withColumn("k", F.ntile(10).over(Window.orderBy("n", "customer")))
-    return n.select("customer", R.tier(F.col("k"), [(4, "low"), (7, "medium"), (9, "high")], "top").alias("tier"))
+    """Customers by count of contacts in shares of 40, 30, 20 and 10 %; what does not divide goes to the first tiles."""
+    n = contacts(spark, d).groupBy("customer").agg(F.count("*").alias("n"))
+    ranked = R.numbered(n, [F.col("n"), F.col("customer")]).crossJoin(F.broadcast(n.agg(F.count("*").alias("all"))))
+    return ranked.select("customer", R.tier(R.ntile(F.col("rank"), F.col("all"), 10), [(4, "low"), (7, "medium"), (9, "high")], "top").alias("tier"))
 
 
 @query("n07_clipped_scores", "SELECT event_id, greatest(0, least(100, CAST(trunc(value * 3) AS BIGINT) - 10)) AS score FROM events")
@@ -91,9 +85,26 @@ def n07(spark, d):
     return table(spark, d, "events").select("event_id", F.greatest(F.lit(0), F.least(F.lit(100), (F.col("value") * 3).cast("long") - 10)).alias("score"))
 
 
-@query("n11_term_contexts", "SELECT doc_id, len(regexp_extract_all(text, '.{0,20} the .{0,20}')) AS n FROM documents")
+@query("n11_term_contexts", "SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS context FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]{0,20} the [^\n]{0,20}') AS c FROM documents)")
 def n11(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("(.{0,20} the .{0,20})"), F.lit(1))).cast("long").alias("n"))
+    """Each occurrence of a term with up to 20 characters on both sides."""
+    found = F.regexp_extract_all("text", F.lit("([^\n]{0,20} the [^\n]{0,20})"), F.lit(1))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("i", "context")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "context")
+
+
+@query("t07_row_to_records", """SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, text AS document, '{"role":"' || role || '","turn":' || turn || '}' AS metadata, conv_id, CAST(length(text) AS BIGINT) AS size FROM conversations""")
+def t07(spark, d):
+    """A row as a vector store's record (id, document, metadata) and a relational one in the same row."""
+    c = table(spark, d, "conversations")
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("document"), F.to_json(F.struct("role", "turn")).alias("metadata"), "conv_id", F.length("text").cast("long").alias("size"))
+
+
+@query("x12_processing_status", f"""WITH {CONTACTS}, l AS (SELECT customer, arg_max(category, (ts, id)) AS status, max(ts) AS seen FROM contacts GROUP BY customer)
+SELECT customer, CASE WHEN seen > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 6 HOUR THEN status END AS status FROM l""")
+def x12(spark, d):
+    """The last marker of each key, none once it has expired."""
+    l = contacts(spark, d).groupBy("customer").agg(F.max_by("category", F.struct("ts", "id")).alias("status"), F.max("ts").alias("at"))
+    return l.select("customer", F.when(F.col("at") > F.expr("timestamp_ntz'2024-01-30 00:00:00' - interval 6 hours"), F.col("status")).alias("status"))
 
 
 @query("n12_fill_tags", "SELECT p_partkey, replace(replace('[NAME] of [BRAND], [NAME]', '[NAME]', p_name), '[BRAND]', p_brand) AS text FROM part")
@@ -115,10 +126,11 @@ def n14(spark, d):
 
 @query("n15_tolerant_json")
 def n15(spark, d):
-    """Fields of JSON that may be cut off: what parses is kept, the rest is found by a pattern."""
-    broken = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
-    k = F.coalesce(F.from_json(broken, "k int")["k"], F.regexp_extract(broken, r'"k": *(\d+)', 1).try_cast("int"))
-    return table(spark, d, "events").select("event_id", k.alias("k"))
+    """The whole objects of JSON arrays that may be cut off or stand among other text."""
+    e = table(spark, d, "events")
+    g = e.groupBy("user_id").agg(F.concat(F.lit("Here: ["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), ", "), F.lit("]")).alias("json"))
+    cut = F.when(F.col("user_id") % 4 == 0, F.expr("left(json, length(json) - 5)")).otherwise(F.col("json"))
+    return g.select("user_id", F.posexplode(X.json_objects(cut)).alias("i", "object"))
 
 
 @query("n16_fragments")
@@ -134,10 +146,22 @@ def n18(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.filter(F.split("p_name", " "), lambda w: ~F.contains(F.lit("red ring"), w)), " ").alias("rest"))
 
 
-@query("n19_extraction_cascade", "SELECT conv_id, turn, CASE WHEN length(text) < 20 THEN 'none' WHEN contains(text, ' the ') THEN 'english' WHEN contains(text, ' le ') OR contains(text, ' la ') THEN 'romance' ELSE 'other' END AS kind FROM conversations")
+@query("n19_extraction_cascade", """WITH t AS (SELECT conv_id, turn, text, replace(replace(lower(text), 'colour', 'color'), ' teh ', ' the ') AS c FROM conversations),
+w AS (SELECT *, list_distinct(regexp_extract_all(c, '[a-z]+')) AS w FROM t)
+SELECT conv_id, turn, CASE WHEN length(text) < 20 THEN 'none' WHEN regexp_matches(c, '(^|[^0-9])[0-9]{3,}([^0-9]|$)') THEN 'pattern' WHEN len(list_intersect(w, ['the', 'and', 'with'])) > 0 THEN 'exact' WHEN len(list_filter(w, lambda x: levenshtein(x, 'the') <= 1 OR levenshtein(x, 'with') <= 1)) > 0 THEN 'near' ELSE 'rest' END AS stage,
+CASE WHEN length(text) < 20 THEN '' WHEN regexp_matches(c, '(^|[^0-9])[0-9]{3,}([^0-9]|$)') THEN regexp_extract(c, '(^|[^0-9])([0-9]{3,})([^0-9]|$)', 2) WHEN len(list_intersect(w, ['the', 'and', 'with'])) > 0 THEN array_to_string(list_sort(list_intersect(w, ['the', 'and', 'with'])), ',')
+ELSE array_to_string(list_sort(list_filter(w, lambda x: levenshtein(x, 'the') <= 1 OR levenshtein(x, 'with') <= 1)), ',') END AS found FROM w""")
 def n19(spark, d):
-    kind = X.first_label(F.col("text"), [("english", (" the ",)), ("romance", (" le ", " la "))], "other")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.length("text") < 20, "none").otherwise(kind).alias("kind"))
+    """Texts without information first; corrections; then patterns, exact names, and names one edit away, each where the stages before found nothing."""
+    corrected = X.replace_all(F.lower("text"), {"colour": "color", " teh ": " the "})
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text", corrected.alias("c")).withColumn("w", V.words(F.col("c")))
+    pattern = "(^|[^0-9])([0-9]{3,})([^0-9]|$)"
+    exact = F.array_sort(F.array_intersect("w", F.array(*map(F.lit, ("the", "and", "with")))))
+    near = F.array_sort(F.filter("w", lambda x: (F.levenshtein(x, F.lit("the")) <= 1) | (F.levenshtein(x, F.lit("with")) <= 1)))
+    short, by_pattern = F.length("text") < 20, F.col("c").rlike(pattern)
+    stage = F.when(short, "none").when(by_pattern, "pattern").when(F.size(exact) > 0, "exact").when(F.size(near) > 0, "near").otherwise("rest")
+    found = F.when(short, "").when(by_pattern, F.regexp_extract("c", pattern, 2)).when(F.size(exact) > 0, F.array_join(exact, ",")).otherwise(F.array_join(near, ","))
+    return t.select("conv_id", "turn", stage.alias("stage"), found.alias("found"))
 
 
 @query("n20_second_lane", "SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'issue' WHEN p_size > 30 THEN 'benefit' ELSE 'none' END AS lane FROM part")
@@ -186,15 +210,23 @@ def n26(spark, d):
 @query("n28_validated_ids", "SELECT left(p_type, 3) || lpad(CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS VARCHAR), 5, '0') AS id, p_partkey FROM part WHERE p_type IN ('PROMO', 'ECONOMY') AND NOT contains(p_name, 'bolt')")
 def n28(spark, d):
     p = table(spark, d, "part").filter(F.col("p_type").isin("PROMO", "ECONOMY") & ~F.col("p_name").contains("bolt"))
-    n = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
-    return p.select(F.concat(F.substring("p_type", 1, 3), F.lpad(n.cast("string"), 5, "0")).alias("id"), "p_partkey")
+    p = R.numbered(p.select("p_type", "p_partkey"), [F.col("p_partkey")], "n", ["p_type"])
+    return p.select(F.concat(F.substring("p_type", 1, 3), F.lpad(F.col("n").cast("string"), 5, "0")).alias("id"), "p_partkey")
+
+
+@query("n27_phrases_out")
+def n27(spark, d):
+    """Phrases go from all texts of a nested record, whatever its shape."""
+    card = F.to_json(F.struct("p_name", F.struct(F.array(F.struct(F.col("p_name").alias("title")), F.struct(F.col("p_brand").alias("title"))).alias("parts"), F.col("p_size").alias("size")).alias("more")))
+    return table(spark, d, "part").select("p_partkey", X.json_without(card, ("red", "Brand#")).alias("card"))
 
 
 @query("n29_line_packing")
 def n29(spark, d):
-    """Lines wrapped at 80 characters and packed to 300."""
+    """Lines wrapped at 80 characters and packed to 300; every chunk begins with the item's heading."""
     wrapped = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.regexp_extract_all(x, F.lit("(.{1,80})"), F.lit(1))))
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(X.pack(wrapped, 300, "\n")).alias("chunk", "text"))
+    chunks = table(spark, d, "benchmark").select("item_id", F.posexplode(X.pack(wrapped, 280, "\n")).alias("chunk", "text"))
+    return chunks.select("item_id", "chunk", F.concat_ws("\n", F.concat(F.lit("# item "), F.col("item_id")), "text").alias("text"))
 
 
 @query("n33_first_known_tag", "SELECT p_partkey, coalesce(CASE WHEN list_position(w, 'red') > 0 AND (list_position(w, 'ring') IS NULL OR list_position(w, 'red') < list_position(w, 'ring')) THEN 'R' WHEN list_position(w, 'ring') > 0 THEN 'G' END, 'X') AS code FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
@@ -223,9 +255,9 @@ def n36(spark, d):
     return g.select("p_brand", F.array_join(F.array_sort(F.array_union("have", F.array(F.lit("OTHER")))), ",").alias("synonyms"))
 
 
-@query("v08_weight_presets", "SELECT preset, p_partkey, round(wv * p_size / 50.0 + wk * p_retailprice / 2000.0, 6) AS score FROM part, (VALUES ('balanced', 0.5, 0.5), ('lexical', 0.2, 0.8)) v(preset, wv, wk) WHERE p_partkey < 100")
+@query("v08_weight_presets", "SELECT preset, p_partkey, round(wv * p_size / 50.0 + wk * p_retailprice / 2000.0, 6) AS score FROM part, (VALUES ('balanced', 0.5, 0.5), ('lexical', 0.2, 0.8)) v(preset, wv, wk)")
 def v08(spark, d):
     presets = {"balanced": (0.5, 0.5), "lexical": (0.2, 0.8)}
-    p = table(spark, d, "part").filter("p_partkey < 100")
+    p = table(spark, d, "part")
     return R.union_sources({k: p.select("p_partkey", F.round(a * F.col("p_size") / 50.0 + b * F.col("p_retailprice") / 2000.0, 6).alias("score")) for k, (a, b) in presets.items()}).withColumnRenamed("origin", "preset").select("preset", "p_partkey", "score")
 

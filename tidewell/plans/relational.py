@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as X
 from tidewell.operators import relational as R
+from tidewell.sources import files
 from tidewell.plans.registry import AS_OF, CONTACTS, as_of, contacts, query, table
 
 D = f"DATE '{AS_OF}'"
@@ -31,23 +36,67 @@ def s03(spark, d):
     return R.multi_get(table(spark, d, "documents"), "doc_id", [3, 17, 42, 99, 1000000]).select("doc_id", "lang", "n_chars")
 
 
+def folder(spark, name):
+    """A new folder for files that a query writes and reads again."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s04_csv_scan", "SELECT p_partkey, p_name || ', \"' || p_type || '\"' AS title, p_size FROM part")
+def s04(spark, d):
+    """A CSV round trip, with quotes and commas in a field."""
+    path = folder(spark, "csv")
+    files.write_csv(table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("title"), "p_size"), path)
+    return files.read_csv(spark, path, "p_partkey long, title string, p_size int")
+
+
+@query("s05_json_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s05(spark, d):
+    """JSON arrays, one for each region."""
+    path, n = folder(spark, "json"), table(spark, d, "nation")
+    n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("json")).select("json").write.text(path)
+    return spark.read.text(path).select(F.inline(F.from_json("value", "array<struct<n_nationkey:int,n_name:string,n_regionkey:int>>")))
+
+
+@query("s06_section_scan", "SELECT item_id, 'body' AS title, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM benchmark")
+def s06(spark, d):
+    """Markdown files with a section each."""
+    path, b = folder(spark, "md"), table(spark, d, "benchmark")
+    b.select("item_id", F.concat(F.lit("## body\n"), "text").alias("text")).repartition("item_id").write.partitionBy("item_id").text(path)
+    return files.read_sections(spark, f"{path}/*").select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "title", "body")
+
+
+@query("s09_load_chunks", "SELECT item_id, CAST(row_number() OVER (ORDER BY CAST(item_id AS VARCHAR) || '/') + 99 AS BIGINT) AS id FROM benchmark")
+def s09(spark, d):
+    """A folder of texts as chunks with running ids from 100 on; here each text is one chunk."""
+    path, b = folder(spark, "txt"), table(spark, d, "benchmark")
+    b.select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    return files.load_chunks(spark, f"{path}/*", 1_000_000, 99).select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "id")
+
+
+@query("s18_export", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0")
+def s18(spark, d):
+    """Filtered rows to a file for spreadsheets, read again."""
+    path = folder(spark, "export")
+    files.write_csv(table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY' AND c_acctbal > 0").select("c_custkey", "c_name", "c_acctbal"), path)
+    return files.read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
 @query("s10_next_id", "SELECT coalesce(max(CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT)), 0) + 1 AS next_id FROM customer")
 def s10(spark, d):
     return R.next_number(table(spark, d, "customer"), "c_name")
 
 
-@query("s11_insert_new", "SELECT p_partkey AS id, p_brand AS label FROM part WHERE p_partkey <= 50 UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_partkey > 50 AND p_partkey <= 80")
+@query("s11_insert_new", "SELECT p_partkey AS id, CASE WHEN p_size <= 25 THEN p_brand ELSE 'new' END AS label FROM part")
 def s11(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
-    return R.insert_new(p.filter("id <= 50"), p.filter("id <= 80").withColumn("label", F.lit("new")), ["id"])
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_size").alias("size"))
+    return R.insert_new(p.filter("size <= 25").drop("size"), p.drop("size").withColumn("label", F.lit("new")), ["id"])
 
 
-@query("s12_upsert", """SELECT p_partkey AS id, CASE WHEN p_partkey > 40 THEN upper(p_brand) ELSE p_brand END AS label, CAST(p_size AS BIGINT) AS size
-FROM part WHERE p_partkey <= 60 UNION ALL SELECT p_partkey, upper(p_brand), NULL FROM part WHERE p_partkey > 60 AND p_partkey <= 80""")
+@query("s12_upsert", """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN upper(p_brand) ELSE p_brand END AS label, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS BIGINT) END AS size FROM part""")
 def s12(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_size").cast("long").alias("size"))
-    new = p.filter("id > 40 AND id <= 80").select("id", F.upper("label").alias("label"), F.lit(None).cast("long").alias("size"))
-    return R.upsert(p.filter("id <= 60"), new, ["id"], keep_old=["size"])
+    new = p.filter("id % 3 > 0").select("id", F.upper("label").alias("label"), F.lit(None).cast("long").alias("size"))
+    return R.upsert(p.filter("id % 3 < 2"), new, ["id"], keep_old=["size"])
 
 
 @query("s13_update_or_insert", """SELECT o_custkey AS id, max(o_totalprice) AS best FROM orders GROUP BY o_custkey
@@ -63,10 +112,13 @@ def s15(spark, d):
     return R.insert_new(e.filter("event_id % 3 = 0"), e, ["event_id"])
 
 
-@query("s17_merge_sources", "SELECT source AS origin, count(*) AS n FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY source")
+@query("s17_merge_sources", "SELECT CASE WHEN source IN ('src1', 'src2', 'src3') THEN source ELSE 'rest' END AS origin, count(*) AS n FROM documents GROUP BY ALL")
 def s17(spark, d):
     docs = table(spark, d, "documents")
-    return R.union_sources({s: docs.filter(F.col("source") == s).select("doc_id") for s in ("src1", "src2", "src3")}).groupBy("origin").agg(F.count("*").alias("n"))
+    named = ("src1", "src2", "src3")
+    outputs = {s: docs.filter(F.col("source") == s).select("doc_id") for s in named}
+    outputs["rest"] = docs.filter(~F.coalesce(F.col("source").isin(*named), F.lit(False))).select("doc_id")
+    return R.union_sources(outputs).groupBy("origin").agg(F.count("*").alias("n"))
 
 
 @query("p01_optional_filters", f"WITH {CONTACTS} SELECT count(*) AS n FROM contacts WHERE (category = 'click' OR category = 'view') AND day BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
@@ -167,9 +219,10 @@ def p16(spark, d):
 
 @query("p17_prune_empty")
 def p17(spark, d):
-    """Null and empty fields go from a record's JSON."""
-    p = table(spark, d, "part").select("p_partkey", F.struct("p_name", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") > 40, F.lit("")).alias("note")).alias("card"))
-    return p.select("p_partkey", F.to_json(F.struct("card.p_name", "card.brand", F.nullif("card.note", F.lit("")).alias("note"))).alias("card"))
+    """Null and empty values go from a record's JSON at every depth, and what is empty by that."""
+    brand, note = F.when(F.col("p_size") > 25, F.col("p_brand")), F.when(F.col("p_size") > 40, F.lit(""))
+    card = F.to_json(F.struct("p_name", F.struct(brand.alias("brand"), F.struct(note.alias("note")).alias("more")).alias("details"), F.array(note, brand).alias("list")), {"ignoreNullFields": "false"})
+    return table(spark, d, "part").select("p_partkey", X.json_pruned(card).alias("card"))
 
 
 @query("p18_random_pick")

@@ -9,14 +9,14 @@ from tidewell.operators import relational as R
 from tidewell.operators import retrieval as V
 from tidewell.plans.registry import query, table
 
-_KNN = """q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20),
+_KNN = """q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
 k AS (SELECT query, vec_id AS doc, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE vec_id <> query),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM k QUALIFY rank <= 10)"""
 
 
 def nearest(spark, d, k=10):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
     return V.knn(q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dv")), k, "query", "qv", "doc", "dv")
 
 
@@ -48,12 +48,19 @@ def v05(spark, d):
     return table(spark, d, "part").select("p_partkey", V.jaccard(V.trigrams(F.col("p_name")), V.trigrams(F.lit("small rings"))).alias("score")).filter("score > 0.3").withColumn("score", F.round("score", 6))
 
 
-@query("v06_text_and_vector", """WITH t AS (SELECT doc_id, (CAST(contains(text, ' the ') AS INT) + CAST(contains(text, ' and ') AS INT)) / 2 AS t, n_chars / (n_chars + 1000.0) AS v FROM documents)
-SELECT doc_id, round(0.8 * v + 0.2 * least(t, 1), 6) AS score FROM t WHERE t > 0""")
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+'))"
+
+
+@query("v06_text_and_vector", f"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0),
+t AS (SELECT doc_id, len(list_intersect({_WORDS.format("text")}, ['the', 'and', 'that'])) / 3.0 AS t, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS v FROM documents JOIN embeddings ON vec_id = doc_id, q)
+SELECT doc_id, round(0.8 * v + 0.2 * t, 6) AS score FROM t WHERE t > 0""")
 def v06(spark, d):
-    terms = F.array(F.lit(" the "), F.lit(" and "))
-    t = table(spark, d, "documents").select("doc_id", (F.size(F.filter(terms, lambda x: F.contains("text", x))) / 2).alias("t"), (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("v"))
-    return t.filter("t > 0").select("doc_id", F.round(0.8 * F.col("v") + 0.2 * F.least(F.col("t"), F.lit(1.0)), 6).alias("score"))
+    """Vector similarity to a query's embedding and coverage of its terms, combined, for documents with any of them."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.filter("doc_id = 0").select(F.col("embedding").alias("qv"))
+    covered = F.size(F.array_intersect(V.words(F.col("text")), F.array(*map(F.lit, ("the", "and", "that"))))) / 3.0
+    t = table(spark, d, "documents").select("doc_id", covered.alias("t")).filter("t > 0").join(e, "doc_id").crossJoin(F.broadcast(q))
+    return t.select("doc_id", F.round(0.8 * V.cosine(F.col("qv"), F.col("embedding")) + 0.2 * F.col("t"), 6).alias("score"))
 
 
 @query("v07_rank_fusion", """WITH a AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 30), b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 30)
@@ -70,9 +77,9 @@ def v09(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(V.boosted(F.col("p_size") / 50.0, rules), 6).alias("score"))
 
 
-@query("v10_best_by_title", "SELECT p_name, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY length(p_type) DESC, p_retailprice DESC) = 1")
+@query("v10_best_by_title", "SELECT p_name, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY length(p_type) DESC, p_retailprice DESC, p_partkey) = 1")
 def v10(spark, d):
-    return V.best_by_title(table(spark, d, "part"), "p_name", "p_type", "p_retailprice").select("p_name", "p_partkey")
+    return V.best_by_title(table(spark, d, "part"), "p_name", "p_type", "p_retailprice", "p_partkey").select("p_name", "p_partkey")
 
 
 @query("v11_noise_filter", "SELECT conv_id, turn FROM conversations WHERE length(trim(text)) >= 60 AND role <> ''")
@@ -80,12 +87,22 @@ def v11(spark, d):
     return table(spark, d, "conversations").filter((F.length(F.trim("text")) >= 60) & (F.col("role") != "")).select("conv_id", "turn")
 
 
-@query("v12_multi_source", "(SELECT 'a' AS origin, doc_id AS id FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 8) UNION ALL (SELECT 'b', item_id FROM benchmark ORDER BY length(text) DESC, item_id LIMIT 8)")
+@query("v12_multi_source", f"""WITH a AS (SELECT 'documents' AS origin, doc_id AS id, {_WORDS.format("text")} AS w FROM documents UNION ALL SELECT 'benchmark', item_id, {_WORDS.format("text")} FROM benchmark),
+s AS (SELECT origin, id, round(len(list_intersect(w, ['the', 'and', 'that'])) / sqrt(len(w)), 6) AS score FROM a WHERE len(list_intersect(w, ['the', 'and', 'that'])) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY score DESC, id) AS r FROM s)
+SELECT origin, id, score, row_number() OVER (ORDER BY score DESC, origin, id) AS rank FROM k WHERE r <= 8 ORDER BY rank LIMIT 10""")
 def v12(spark, d):
-    k = 5
-    a = table(spark, d, "documents").filter("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(max(2 * k - 2, k + 3)).select(F.col("doc_id").alias("id"))
-    b = table(spark, d, "benchmark").orderBy(F.desc(F.length("text")), "item_id").limit(max(2 * k - 2, k + 3)).select(F.col("item_id").alias("id"))
-    return R.union_sources({"a": a, "b": b}).select("origin", "id")
+    """Two sources at most are asked; each gives its best, and one score ranks all of them together."""
+    terms = F.array(*map(F.lit, ("the", "and", "that")))
+
+    def best(name, id_col):
+        w = table(spark, d, name).select(F.col(id_col).alias("id"), V.words(F.col("text")).alias("w"))
+        hits = F.size(F.array_intersect("w", terms))
+        return w.filter(hits > 0).select("id", F.round(hits / F.sqrt(F.size("w")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(8)
+
+    sources = dict(list({"documents": "doc_id", "benchmark": "item_id"}.items())[:2])
+    order = [F.desc("score"), "origin", "id"]
+    return R.ranked(R.union_sources({n: best(n, i) for n, i in sources.items()}).orderBy(*order).limit(10), order).select("origin", "id", "score", "rank")
 
 
 @query("v13_stop_after_lexical", f"WITH {_KNN} SELECT query, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) >= 0.02 AS enough FROM r GROUP BY query")
@@ -138,13 +155,16 @@ def v17(spark, d):
     return ix.select("doc", F.round(F.col("relevance") * 0.45 * F.when(F.col("p_name").contains("ring"), 1.0).otherwise(0.15), 6).alias("score"))
 
 
-@query("v18_rerank", f"WITH {_KNN}, w AS (SELECT query, doc, score, abs(a.label - b.label) AS far FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = doc) SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY far, score DESC, doc) AS pos FROM w")
+@query("v18_rerank", f"""WITH {_KNN}, t AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+s AS (SELECT query, doc, score, round(coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0), 6) AS near FROM r JOIN t a ON a.doc_id = query JOIN t b ON b.doc_id = doc)
+SELECT query, doc, near, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY near DESC, score DESC, doc) AS pos FROM s""")
 def v18(spark, d):
-    """Rerank by a pairwise scorer (here: distance of labels); the first score breaks ties."""
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    w = nearest(spark, d).join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(e.select(F.col("vec_id").alias("doc"), F.col("label").alias("b")), "doc")
-    pos = F.row_number().over(Window.partitionBy("query").orderBy(F.abs(F.col("a") - F.col("b")), F.desc("score"), "doc"))
-    return w.select("query", "doc", pos.cast("long").alias("pos"))
+    """Rerank by the Jaccard similarity of words, which stands beside the first score and is cut by it on ties."""
+    t = table(spark, d, "documents").select("doc_id", V.words(F.col("text")).alias("w"))
+    w = nearest(spark, d).join(t.select(F.col("doc_id").alias("query"), F.col("w").alias("a")), "query").join(t.select(F.col("doc_id").alias("doc"), F.col("w").alias("b")), "doc")
+    w = w.select("query", "doc", "score", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("near"))
+    pos = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), F.desc("score"), "doc"))
+    return w.select("query", "doc", "near", F.round("score", 6).alias("score"), pos.cast("long").alias("pos"))
 
 
 @query("v19_semantic_cache", f"WITH {_KNN} SELECT query, CASE WHEN score >= 0.3 THEN doc END AS cached FROM r WHERE rank = 1")
@@ -184,14 +204,14 @@ def v26(spark, d):
 
 
 _REL = f"""{_KNN}, m AS (SELECT query, rank, (a.label = b.label) AS rel FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = doc),
-n AS (SELECT a.vec_id AS query, count(*) AS relevant FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20 GROUP BY a.vec_id)"""
+n AS (SELECT a.vec_id AS query, count(*) AS relevant FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id)"""
 
 
 def judged(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
     m = nearest(spark, d).join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(e.select(F.col("vec_id").alias("doc"), F.col("label").alias("b")), "doc")
     of_label = e.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
-    n = e.filter("vec_id < 20").join(of_label, "label").select(F.col("vec_id").alias("query"), "relevant")
+    n = e.filter("vec_id % 50 = 0").join(of_label, "label").select(F.col("vec_id").alias("query"), "relevant")
     return m.select("query", "rank", (F.col("a") == F.col("b")).alias("rel")).join(n, "query")
 
 
@@ -228,4 +248,5 @@ def m05(spark, d):
 @query("m07_accuracy_by_category", "SELECT event_type, round(avg(CAST(CAST(props ->> '$.k' AS INT) > 50 AS INT)), 6) AS accuracy, round(avg(value), 4) AS latency, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY event_type")
 def m07(spark, d):
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return e.groupBy("event_type").agg(F.round(F.avg((F.col("k") > 50).cast("int")), 6).alias("accuracy"), F.round(F.avg("value"), 4).alias("latency"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95"))
+    p95 = R.percentiles(e, "event_type", "value", "event_id", {"p95": 0.95}).withColumn("p95", F.round("p95", 4))
+    return e.groupBy("event_type").agg(F.round(F.avg((F.col("k") > 50).cast("int")), 6).alias("accuracy"), F.round(F.avg("value"), 4).alias("latency")).join(p95, "event_type")

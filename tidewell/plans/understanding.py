@@ -228,8 +228,8 @@ def t06(spark, d):
 
 @query("t08_assign_ids", "SELECT lang || '_' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS VARCHAR), 6, '0') AS id, doc_id FROM documents")
 def t08(spark, d):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, d, "documents").select(F.concat_ws("_", "lang", F.lpad(n.cast("string"), 6, "0")).alias("id"), "doc_id")
+    n = R.numbered(table(spark, d, "documents").select("lang", "doc_id"), [F.col("doc_id")], "n", ["lang"])
+    return n.select(F.concat_ws("_", "lang", F.lpad(F.col("n").cast("string"), 6, "0")).alias("id"), "doc_id")
 
 
 @query("t09_chunks")
@@ -240,8 +240,9 @@ def t09(spark, d):
 
 @query("t10_paragraph_chunks")
 def t10(spark, d):
-    """Lines packed into chunks of about 1,500 tokens at four characters each."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.pack(F.split("text", "\n"), 6000, "\n")).alias("chunk", "text")).withColumn("tokens", F.ceil(F.length("text") / 4))
+    """Sections, their paragraphs packed into chunks of about 600 tokens at four characters each; no chunk crosses a section."""
+    chunks = X.section_chunks(F.col("text"), 600)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "c")).select("doc_id", "chunk", "c.heading", "c.text", F.ceil(F.length("c.text") / 4).alias("tokens"))
 
 
 @query("t11_sentences", "SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS n FROM documents")
@@ -271,16 +272,18 @@ def t15(spark, d):
 
 @query("t16_stratified_sample", "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= least(20, greatest(3, count(*) OVER (PARTITION BY lang) // 10))")
 def t16(spark, d):
-    w = Window.partitionBy("lang")
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return docs.filter(F.col("r") <= F.least(F.lit(20), F.greatest(F.lit(3), F.expr("n div 10")))).select("doc_id", "lang")
+    """A tenth of each language, 3 at least and 20 at most; tasks keep 20 each before the shuffle."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    n = docs.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    top = R.top_per_group(docs, ["lang"], [F.desc("n_chars"), "doc_id"], 20, "r")
+    return top.join(n, F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("r") <= F.greatest(F.lit(3), F.expr("n div 10"))).select("doc_id", "lang")
 
 
 @query("t17_balanced_assignment", "SELECT agent, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR))) % 12 AS agent FROM events) GROUP BY agent")
 def t17(spark, d):
     """Round robin in a pseudo-random order."""
     e = table(spark, d, "events").select(F.md5(F.col("event_id").cast("string")).alias("h"))
-    return e.withColumn("agent", (F.row_number().over(Window.orderBy("h")) % 12).cast("long")).groupBy("agent").agg(F.count("*").alias("n"))
+    return R.numbered(e, [F.col("h")], "n").withColumn("agent", F.col("n") % 12).groupBy("agent").agg(F.count("*").alias("n"))
 
 
 @query("t18_seeded_rows")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import pack, sentences
+from tidewell.operators.relational import numbered
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
@@ -27,6 +30,12 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path).select("path", F.posexplode(parts).alias("section", "part")).select("path", "section", F.regexp_extract("part", r"^([^\n]*)", 1).alias("title"), F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
+def load_chunks(spark: SparkSession, path: str, size: int, start: int = 0) -> DataFrame:
+    """id, path, chunk, text of the text files of a folder, packed by sentences; ids run on from ``start`` by path and chunk."""
+    chunks = read_texts(spark, path).select("path", F.posexplode(pack(sentences(F.col("text")), size)).alias("chunk", "text"))
+    return numbered(chunks, [F.col("path"), F.col("chunk")], "id").select((F.col("id") + start).alias("id"), "path", "chunk", "text")
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """path, length and content: the input of a parser that is plugged in as a pandas UDF."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
@@ -55,4 +64,4 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables()], "name string, kind string, temporary boolean")
 
 
-__all__ = ["append_new", "catalog", "read_binary", "read_csv", "read_json_array", "read_sections", "read_texts", "write_csv"]
+__all__ = ["append_new", "catalog", "load_chunks", "read_binary", "read_csv", "read_json_array", "read_sections", "read_texts", "write_csv"]

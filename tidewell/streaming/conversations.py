@@ -1,7 +1,13 @@
-"""Conversation and event streams: windows, sessions, keyed state, sinks. Each works on a stream and on a table."""
+"""Conversation and event streams: windows, sessions, keyed state, sinks.
+
+Windows and sessions work on a stream as on a table. Keyed operators have a form for each, which share their step: over a
+stream it keeps its state from batch to batch, over a table it goes through each key's rows in order.
+"""
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -30,14 +36,51 @@ def sessions(df: DataFrame, keys: Sequence[str], gap: str, ts: str = "ts") -> Da
 
 
 def micro_batches(df: DataFrame, key: str, order: str, text: str, size: int = 3) -> DataFrame:
-    """Fragments joined in batches of ``size`` in order of arrival; the last batch may be shorter."""
+    """Fragments joined in batches of ``size`` in order of arrival; the last batch may be shorter. Its stream form is micro_batches_stream."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
     g = df.withColumn("batch", F.floor(n / size)).groupBy(key, "batch").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("parts"))
     return g.select(key, "batch", F.array_join(f"parts.{text}", " ").alias("text"))
 
 
+def _frames(frames: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[tuple]:
+    for pdf in frames:
+        yield from pdf.sort_values(list(order)).itertuples(index=False)
+
+
+def _set(state: GroupState, value: tuple, silence: int | None) -> None:
+    state.update(value)
+    if silence:
+        state.setTimeoutDuration(1000 * silence)
+
+
+def batched(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, size: int, silence: int | None) -> Iterator[pd.DataFrame]:
+    """One conversation's fragments: a batch each time ``size`` are there, and what is left after a silence."""
+    number, held = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(key[0], number, " ".join(held))] if held else [], columns=["conv_id", "batch", "text"])
+        return
+    out = []
+    for r in _frames(frames, ["turn"]):
+        held.append(r.text or "")
+        if len(held) == size:
+            out.append((key[0], number, " ".join(held)))
+            number, held = number + 1, []
+    _set(state, (number, json.dumps(held)), silence)
+    yield pd.DataFrame(out, columns=["conv_id", "batch", "text"])
+
+
+def _timeout(silence: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if silence else GroupStateTimeout.NoTimeout
+
+
+def micro_batches_stream(df: DataFrame, size: int = 3, silence: int | None = None) -> DataFrame:
+    """(conv_id, turn, text) of a stream in batches; with ``silence`` seconds, a conversation's rest follows after these."""
+    return df.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(lambda k, f, s: batched(k, f, s, size, silence), "conv_id long, batch long, text string", "number long, held string", "append", _timeout(silence))
+
+
 def carried(df: DataFrame, key: str, order: Sequence[str], ts: str, value: str, max_age: int, max_turns: int) -> DataFrame:
-    """The last known value of a session, as long as it is at most ``max_age`` seconds and ``max_turns`` turns old."""
+    """The last known value of a session, as long as it is at most ``max_age`` seconds and ``max_turns`` turns old. Its stream form is carried_stream."""
     w = Window.partitionBy(key).orderBy(*order)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
@@ -48,12 +91,49 @@ def carried(df: DataFrame, key: str, order: Sequence[str], ts: str, value: str,
     return t.withColumn("carried", F.when(fresh, F.col("`seen `.value"))).drop("turn ", "seen ")
 
 
+def carrying(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, max_age: float, max_turns: int) -> Iterator[pd.DataFrame]:
+    """One session's events in order: each with the last known value, if it is fresh."""
+    value, seen, at_turn, turn = state.get if state.exists else (None, 0.0, 0, 0)
+    out = []
+    for r in _frames(frames, ["at", "id"]):
+        turn += 1
+        if r.value is not None and not pd.isna(r.value):
+            value, seen, at_turn = r.value, r.at, turn
+        fresh = value is not None and r.at - seen <= max_age and turn - at_turn <= max_turns
+        out.append((key[0], r.id, value if fresh else None))
+    state.update((value, seen, at_turn, turn))
+    yield pd.DataFrame(out, columns=["session", "id", "carried"])
+
+
+def carried_stream(df: DataFrame, max_age: float, max_turns: int) -> DataFrame:
+    """(session, id, at, value) of a stream, with the value carried forward; the state is the last one, its time and turn."""
+    return df.select("session", "id", "at", F.col("value").cast("string").alias("value")).groupBy("session").applyInPandasWithState(lambda k, f, s: carrying(k, f, s, max_age, max_turns), "session long, id long, carried string", "value string, seen double, at_turn long, turn long", "append", GroupStateTimeout.NoTimeout)
+
+
 def latest(df: DataFrame, key: str, ts: str, ttl: str, at: str, most: int) -> DataFrame:
-    """Entries younger than ``ttl``, and of those the ``most`` latest."""
+    """Entries of a table younger than ``ttl``, and of those the ``most`` latest. A stream evicts by evictions_stream."""
     alive = df.filter(F.col(ts) > F.expr(f"timestamp_ntz'{at}' - interval {ttl}"))
     return alive.orderBy(F.desc(ts), key).limit(most)
 
 
+def evicting(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl: float, most: int) -> Iterator[pd.DataFrame]:
+    """One session's entries in order: what leaves it, for age or as the oldest of more than ``most``."""
+    alive = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+    out = []
+    for r in _frames(frames, ["at", "id"]):
+        alive.append((int(r.id), float(r.at)))
+        while alive and (alive[0][1] <= r.at - ttl or len(alive) > most):
+            i, at = alive.pop(0)
+            out.append((key[0], i, "age" if at <= r.at - ttl else "size"))
+    state.update((json.dumps(alive),))
+    yield pd.DataFrame(out, columns=["session", "id", "reason"])
+
+
+def evictions_stream(df: DataFrame, ttl: float, most: int) -> DataFrame:
+    """(session, id, at) of a stream: entries that leave their session; the state holds ``most`` entries at most."""
+    return df.select("session", "id", "at").groupBy("session").applyInPandasWithState(lambda k, f, s: evicting(k, f, s, ttl, most), "session long, id long, reason string", "alive string", "append", GroupStateTimeout.NoTimeout)
+
+
 def cooled(key, frames: Iterator[pd.DataFrame], state: GroupState, seconds: float) -> Iterator[pd.DataFrame]:
     """One session's events in order of arrival: whether each fires, which it does if the last that fired is ``seconds`` past."""
     last = state.get[0] if state.exists else float("-inf")
@@ -72,22 +152,48 @@ def throttle_stream(df: DataFrame, seconds: float = 12.0) -> DataFrame:
     return df.groupBy("session").applyInPandasWithState(lambda k, f, s: cooled(k, (x.sort_values(["at", "id"]) for x in f), s, seconds), "session long, id long, at double, fired boolean", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-class _Memory:
-    """The state of a session that is read whole."""
+class Held:
+    """The state of one key of a table that is read in order."""
 
-    exists = False
+    def __init__(self) -> None:
+        self.exists, self.hasTimedOut, self.get = False, False, None
 
-    def update(self, value) -> None:
-        pass
+    def update(self, value: tuple) -> None:
+        self.exists, self.get = True, value
 
+    def remove(self) -> None:
+        self.exists = False
 
-def throttle(df: DataFrame, seconds: float = 12.0) -> DataFrame:
-    """The same over a table; a session is one task's group."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(cooled(None, iter([pdf.sort_values(["at", "id"])]), _Memory(), seconds))
+def in_order(df: DataFrame, key: str, order: Sequence[str], step: Callable, schema: str, flush: bool = False) -> DataFrame:
+    """The table form of a keyed-state step: rows sorted by key and order, in Arrow batches; a task holds one key's state.
+
+    A key is never held whole, however many rows it has. With ``flush``, the step is told when a key has ended.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, Held()
+
+        def end() -> Iterator[pd.DataFrame]:
+            if flush and now is not None:
+                state.hasTimedOut = True
+                yield from step((now,), iter(()), state)
+
+        for batch in batches:
+            for k, pdf in batch.groupby(key, sort=False, dropna=False):
+                if k != now:
+                    yield from end()
+                    now, state = k, Held()
+                yield from step((k,), iter([pdf]), state)
+        yield from end()
 
-    return df.groupBy("session").applyInPandas(run, "session long, id long, at double, fired boolean")
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def throttle(df: DataFrame, seconds: float = 12.0) -> DataFrame:
+    """The same over a table."""
+    step = lambda k, f, s: cooled(k, f, s, seconds)
+    return in_order(df.select("session", "id", "at"), "session", ["at", "id"], step, "session long, id long, at double, fired boolean")
 
 
 def alike(a: str, b: str, least: float) -> bool:
@@ -102,32 +208,80 @@ def overlap(a: str, b: str, least: int = 12, near: float = 0.92) -> int:
     return next((len(a) - i for i in starts if alike(a[i:], b[: len(a) - i], near)), 0)
 
 
+def merge_step(last: tuple[str, str] | None, role: str, text: str, near: float = 0.95) -> tuple[tuple[str, str] | None, tuple[str, str] | None]:
+    """(a turn that is finished, the one that is open) after one more turn.
+
+    A turn nearly equal to the open one goes, a repeated beginning is cut, and one of the same role joins it.
+    """
+    if not text or (len(text) >= 10 and len(set(text)) <= 2) or (last and alike(last[1], text, near)):
+        return None, last
+    if last:
+        text = text[overlap(last[1][-200:], text[:200]) :]
+    if last and last[0] == role:
+        return None, (role, f"{last[1]} {text}".strip())
+    return (last, (role, text)) if text else (None, last)
+
+
 def merge_turns(turns: Sequence[tuple[str, str]], near: float = 0.95) -> list[tuple[str, str]]:
-    """(role, text) in order: turns nearly equal to the last kept one go, repeated beginnings are cut, equal roles join."""
-    kept: list[tuple[str, str]] = []
+    """All finished turns of a conversation, in order."""
+    kept, last = [], None
     for role, text in turns:
-        if not text or (len(text) >= 10 and len(set(text)) <= 2):
-            continue
-        if kept and alike(kept[-1][1], text, near):
-            continue
-        if kept:
-            text = text[overlap(kept[-1][1][-200:], text[:200]) :]
-        if kept and kept[-1][0] == role:
-            kept[-1] = (role, f"{kept[-1][1]} {text}".strip())
-        elif text:
-            kept.append((role, text))
-    return kept
+        done, last = merge_step(last, role, text, near)
+        kept += [done] if done else []
+    return kept + ([last] if last else [])
+
+
+def merging(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, silence: int | None) -> Iterator[pd.DataFrame]:
+    """One conversation's turns: each when the next one begins, the last one after a silence."""
+    number, role, text = state.get if state.exists else (0, None, None)
+    last, out = None if role is None else (role, text), []
+    if state.hasTimedOut:
+        state.remove()
+        out += [(key[0], number, *last)] if last else []
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text"])
+        return
+    for r in _frames(frames, ["turn"]):
+        done, last = merge_step(last, r.role or "", r.text or "")
+        if done:
+            out.append((key[0], number, *done))
+            number += 1
+    _set(state, (number, *(last or (None, None))), silence)
+    yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text"])
+
+
+TURNS = "conv_id long, turn long, role string, text string"
 
 
 def merge_overlaps(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of each conversation after merge_turns. A conversation is one task's group."""
+    """conv_id, turn, role, text of each conversation of a table after merge_turns."""
+    return in_order(df.select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], lambda k, f, s: merging(k, f, s, None), TURNS, flush=True)
+
+
+def merge_overlaps_stream(df: DataFrame, silence: int | None = None) -> DataFrame:
+    """The same of a stream; a conversation's last turn follows after ``silence`` seconds. The state is the open turn."""
+    return df.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(lambda k, f, s: merging(k, f, s, silence), TURNS, "number long, role string, text string", "append", _timeout(silence))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        kept = merge_turns(list(zip(pdf["role"].fillna(""), pdf["text"].fillna(""), strict=True)))
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "turn": range(len(kept)), "role": [k[0] for k in kept], "text": [k[1] for k in kept]})
+def alignment(said: DataFrame, heard: DataFrame) -> DataFrame:
+    """conv_id, role, heard, n: characters of aligned words by their role in two transcripts; ``missed`` are those without a match.
 
-    return df.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, role string, text string")
+    Words are aligned in order of turns; an alignment needs both transcripts of a conversation in one task.
+    """
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        words = [[(w, r.role or "") for r in x.sort_values("turn").itertuples() for w in (r.text or "").split()] if len(x) else [] for x in (a, b)]
+        n = Counter()
+        got = [None] * len(words[0])
+        for i, j, size in SequenceMatcher(None, [w for w, _ in words[0]], [w for w, _ in words[1]], autojunk=False).get_matching_blocks():
+            for k in range(size):
+                got[i + k] = words[1][j + k][1]
+        for (w, role), other in zip(words[0], got, strict=True):
+            n[role, "missed" if other is None else other] += len(w)
+        return pd.DataFrame([(a["conv_id"].iloc[0], *k, c) for k, c in sorted(n.items())] if len(a) else [], columns=["conv_id", "role", "heard", "n"])
+
+    columns = ("conv_id", "turn", "role", "text")  # named anew: both may come from one table
+    said, heard = (x.select(*(F.col(c).alias(c) for c in columns)) for x in (said, heard))
+    return said.groupBy("conv_id").cogroup(heard.groupBy("conv_id")).applyInPandas(run, "conv_id long, role string, heard string, n long")
 
 
 def upsert_sink(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -139,3 +293,22 @@ def upsert_sink(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -
         out.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return write
+
+
+def refresher(build: Callable[[SparkSession], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch under a processing-time trigger, such as an hourly one: each time, what ``build`` gives is a new version."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        build(batch.sparkSession).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return write
+
+
+def put(store: DataFrame, new: DataFrame, key: str, ttl: float, at: float) -> DataFrame:
+    """A store (key, value, expires) with new values (key, value), which live ``ttl`` seconds from ``at`` on; what has expired goes."""
+    fresh = new.select(key, "value", F.lit(at + ttl).alias("expires"))
+    return alive(store, at).join(fresh, key, "left_anti").unionByName(fresh)
+
+
+def alive(store: DataFrame, at: float) -> DataFrame:
+    return store.filter(F.col("expires") > F.lit(at))
