@@ -35,11 +35,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: character, and none a line feed (which Model checks).
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Texts are encoded in batches of so many characters at most (and one text more), words in parts of so many cells.
-BATCH_CHARS, CELLS = 1_000_000, 500_000
+BATCH_CHARS, CELLS = 2_000_000, 500_000
 #: Words of a very long text that are encoded at once.
 AT_ONCE = 50_000
 #: Words whose ids, and pairs of pieces whose test, a task remembers.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 1 << 20
+MEMO_WORDS, MEMO_PAIRS = 500_000, 1 << 21
 
 
 def code_hash(c: np.ndarray) -> np.ndarray:
