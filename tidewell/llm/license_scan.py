@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, UPPER, ascii_lower, cut, named, read
+from tidewell.llm.common import LOWER, UPPER, ascii_lower, named, read, stored
 
 #: (licence, notice). The usual one-sentence notices.
 TEMPLATES = (
@@ -115,22 +115,33 @@ def best_licenses(files: DataFrame, min_cosine: float) -> DataFrame:
     Passages are the sentences, and of a licence file the whole text too. Equal ones are scored once, and so are files
     with the same ones; a passage's words are grouped, never compared with each other.
     """
-    n, counts = files.count(), cut(document_frequencies(files))
-    needs, made = vectors(weights(n, {r["term"]: r["n"] for r in counts.filter(F.col("term").isin(VOCABULARY)).collect()}), min_cosine)
-    templates = F.broadcast(files.sparkSession.createDataFrame(made, "template int, license string, term string, weight double"))  # the terms of ALL_TEMPLATES
+    n, counts = files.count(), stored(document_frequencies(files))
+    idf = weights(n, {r["term"]: r["n"] for r in counts.filter(F.col("term").isin(VOCABULARY)).collect()})
+    needs, made = vectors(idf, min_cosine)
+    spark = files.sparkSession
+    templates = F.broadcast(spark.createDataFrame(made, "template int, license string, term string, weight double"))  # the terms of ALL_TEMPLATES
+    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     text = ascii_lower(F.col("text"))
     near = F.filter(F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n"), lambda s: s.rlike(needs))
     near = F.when(licence_file(F.col("path")) & (F.size(near) > 0), F.concat(near, F.array(text))).otherwise(near)
-    found = cut(files.select("row", "path", F.array_distinct(near).alias("near")))
+    found = stored(files.select("row", "path", F.array_distinct(near).alias("near")))
     some = found.filter(F.size("near") > 0).withColumn("set", F.unhex(F.sha2(F.array_join("near", "\n"), 256)))
-    passages = cut(some.select("set", F.explode("near").alias("passage")).withColumn("sid", F.unhex(F.sha2("passage", 256))))
-    distinct = passages.groupBy("sid").agg(F.first("passage").alias("passage"))
-    terms = cut(distinct.select("sid", F.explode(F.split("passage", "[^a-z0-9]+")).alias("term")).filter("term <> ''").groupBy("sid", "term").agg(F.count("*").alias("tf")))
-    idf = F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1
-    norms = terms.join(counts, "term").groupBy("sid").agg(F.sqrt(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0)))).alias("norm"))
-    dots = terms.join(templates, "term").groupBy("sid", "template", "license").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    passages = some.select("set", F.explode("near").alias("passage")).withColumn("sid", F.unhex(F.sha2("passage", 256)))
+
+    def terms(of: DataFrame) -> DataFrame:
+        """sid, term and tf of the distinct passages: grouped by passage before and after, so that only passages move."""
+        return of.groupBy("sid").agg(F.first("passage").alias("passage")).select("sid", F.explode(F.split("passage", "[^a-z0-9]+")).alias("term")).filter("term <> ''")
+
+    # The templates' words alone bound the cosine from above: a passage's norm is theirs at least.
+    words = terms(passages).join(known, "term").groupBy("sid", "term", "idf").agg(F.count("*").alias("tf"))
+    bounds = words.groupBy("sid").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("bound"))
+    dots = words.join(templates, "term").groupBy("sid", "template", "license").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    dots = stored(dots.join(bounds, "sid").filter(F.col("dot") >= 0.999 * min_cosine * F.col("bound")).select("sid", "license", "dot"))
+    weight = F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1
+    all_words = terms(passages.join(dots.select("sid").distinct(), "sid", "left_semi")).groupBy("sid", "term").agg(F.count("*").alias("tf"))
+    norms = all_words.join(counts, "term").groupBy("sid").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0)))).alias("norm"))
     scored = dots.join(norms, "sid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= min_cosine)
-    scored = scored.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    scored = stored(scored.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best")))
     of_set = passages.select("set", "sid").distinct().join(scored, "sid").groupBy("set").agg(F.min("best").alias("best"))
     none = found.filter("near IS NULL OR size(near) = 0").select("row", "path", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("own_score"))
     return some.join(of_set, "set", "left").select("row", "path", F.col("best.license").alias("own_license"), (-F.col("best.score")).alias("own_score")).unionByName(none)
@@ -147,7 +158,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     Other columns, whatever their names, are neither read nor returned.
     """
     rows = files.select(F.struct(F.lit(0).alias(" "), *(named(c) for c in keep)).alias("row"), named(path_col).alias("path"), named(text_col).alias("text"))
-    rows = cut(best_licenses(rows, min_cosine).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
+    rows = stored(best_licenses(rows, min_cosine).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
     licences = rows.filter(licence_file(F.col("path")) & F.col("own_license").isNotNull())
     given = licences.groupBy(F.col("dir").alias("from")).agg(F.min(F.struct("path", "own_license")).alias("first")).select("from", F.col("first.own_license").alias("given"))
     parts = F.split("dir", "/")
