@@ -35,11 +35,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: character, and none a line feed (which Model checks).
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Texts are encoded in batches of so many characters at most (and one text more), words in parts of so many cells.
-BATCH_CHARS, CELLS = 2_000_000, 500_000
+BATCH_CHARS, CELLS = 1_000_000, 500_000
 #: Words of a very long text that are encoded at once.
 AT_ONCE = 50_000
-#: Words whose ids, and pairs of pieces whose test, a task remembers.
-MEMO_WORDS, MEMO_PAIRS = 500_000, 1 << 21
+#: Words whose ids (beyond it, those of the last batch stay), and pairs of pieces whose test, a task remembers.
+MEMO_WORDS, MEMO_PAIRS = 300_000, 1 << 21
 
 
 def code_hash(c: np.ndarray) -> np.ndarray:
@@ -55,6 +55,12 @@ def sequence_hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def filled_up(n: int) -> int:
+    """The next number from n on with at most two leading bits set: 1, 2, 3, 4, 6, 8, 12, ..."""
+    step = 1 << max((n - 1).bit_length() - 2, 0)
+    return -(-n // step) * step
+
+
 def codes_of(texts: Sequence[str], n: int) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(texts), n)
 
@@ -224,16 +230,21 @@ class Model:
         return ok
 
     def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by a Viterbi over all words of a length together."""
-        lengths, out = np.array([len(w) for w in words]), [None] * len(words)
-        for n in np.unique(lengths):
-            every = np.flatnonzero(lengths == n)
+        """Ids of each word, by a Viterbi over all words of a length together.
+
+        A length is filled up to the next of 1, 2, 3, 4, 6, 8, 12, 16, 24, ...: the path to a position depends on nothing
+        behind it, and few lengths keep the steps few, however small a batch is.
+        """
+        lengths, out = np.array([len(w) for w in words], dtype=np.int64), [None] * len(words)
+        filled = np.array([filled_up(n) for n in range(int(lengths.max(initial=0)) + 1)])[lengths]
+        for n in np.unique(filled):
+            every = np.flatnonzero(filled == n)
             for at in np.array_split(every, 1 + len(every) * int(n) // CELLS):
                 if not len(at):
                     continue
-                codes = codes_of([words[i] for i in at], n)
+                codes = codes_of([words[i].ljust(n, "\0") for i in at], n)
                 last, back = self.viterbi(codes)
-                found, where = np.zeros((len(at), n), dtype=np.int32), np.full(len(at), n)
+                found, where = np.zeros((len(at), n), dtype=np.int32), lengths[at]
                 used = np.zeros((len(at), n), dtype=bool)
                 while (live := np.flatnonzero(where > 0)).size:  # follow the backpointers of all rows together
                     end = where[live]
@@ -284,21 +295,29 @@ class Model:
             return [self.encode_long(ready[0], memo)]
         split = [WORD.findall(t) for t in ready]
         self.learn(split, memo)
-        return [np.frombuffer(b"".join([memo[w] for w in ws]), dtype=np.int32) for ws in split]
+        ids = [np.frombuffer(b"".join([memo[w] for w in ws]), dtype=np.int32) for ws in split]
+        self.forget(split, memo)
+        return ids
 
     def learn(self, split: list[list[str]], memo: dict[str, bytes]) -> None:
         new = list({w for ws in split for w in ws if w not in memo})
         if new:
             self.remember(new, memo)
 
+    def forget(self, split: list[list[str]], memo: dict[str, bytes]) -> None:
+        """Leave only the words of the last batch, which has the frequent ones, in a memo that has grown too large."""
+        if len(memo) > MEMO_WORDS:
+            stay = {w: memo[w] for ws in split for w in ws}
+            memo.clear()
+            memo.update(stay)
+
     def encode_long(self, text: str, memo: dict[str, bytes]) -> np.ndarray:
         """Ids of one text, AT_ONCE words at a time."""
         words, out = WORD.finditer(text), []
         while part := [m.group() for m in islice(words, AT_ONCE)]:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
             self.learn([part], memo)
             out.append(b"".join([memo[w] for w in part]))
+            self.forget([part], memo)
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -317,14 +336,15 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     model file is read on the driver and shipped with the job; one that normalises texts is refused.
     """
     kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    held = docs.select(F.struct(*(named(c) for c in kept)).alias("row"), named(text_col).alias("text"))
+    sent = kept if text_col in kept else [*kept, text_col]  # the text goes to Python once, as a column of its row
+    held, text_at = docs.select(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(sent))).alias("row")), sent.index(text_col)
     content = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = Model.load(content.value), {}
         for batch in batches:
-            column, at = batch.column(1), 0
+            column, at = batch.column(0).field(text_at), 0
             while at < len(batch):
                 end, size = at, 0
                 while end < len(batch) and (end == at or size < BATCH_CHARS):
@@ -336,12 +356,10 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array([t is None for t in texts]))
                 decoded = pa.array([None if t is None else model.decode(i) for t, i in zip(texts, ids, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists, decoded], names=["row", "ids", "decoded"])
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
                 at = end
 
     coded = held.mapInArrow(run, T.StructType([held.schema["row"], *added]))
-    return coded.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("ids").alias(ids_col), F.col("decoded").alias(decoded_col))
+    return coded.select(*(F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(kept)), F.col("ids").alias(ids_col), F.col("decoded").alias(decoded_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
