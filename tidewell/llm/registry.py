@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, url_filter
+from tidewell.llm import collocations, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, prefix_trie, quality, sentencepiece_codec, suffix_dedup, topk_search, url_filter
 
 _MODULES = {
     "op1_quality_classifier": quality,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_line_dedup": line_dedup,
     "op9_decontaminate": decontaminate,
     "op10_license_scan": license_scan,
+    "op11_exact_top_k": topk_search,
+    "op12_collocations": collocations,
+    "op13_prefix_trie": prefix_trie,
 }
 
 
