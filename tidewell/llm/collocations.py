@@ -31,9 +31,9 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, what separates pieces as line feeds, tabs as blanks.
 FOLDED = bytes(10 if b in SEPARATORS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text that a task counts at a time; a longer text is taken in parts.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 6_000_000
 #: Bytes of text whose suffixes a range is planned to take.
-RANGE_BYTES = 16_000_000
+RANGE_BYTES = 8_000_000
 #: Suffixes of the documents that are looked at for each cut, and most in all.
 LOOKS, MOST_LOOKS = 20, 1_000_000
 
@@ -80,9 +80,11 @@ def suffixes(text: bytes, begins: int, max_n: int, more: list[bytes]) -> tuple[p
     gap = (u == 32) | (u == 10)
     edges = np.diff(np.concatenate([[1], gap.view(np.int8), [1]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    piece = np.cumsum(u == 10, dtype=np.int32)[starts]
+    piece = np.searchsorted(np.flatnonzero(u == 10), starts).astype(np.int32)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(u[~gap].tobytes())])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(u[~gap])])
+    begun = starts < begins
+    del gap, edges, ends, offsets
     coded = pa.concat_arrays([words, pa.array(more, pa.binary())]).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     number = np.empty(len(order), dtype=np.int32)
@@ -93,7 +95,7 @@ def suffixes(text: bytes, begins: int, max_n: int, more: list[bytes]) -> tuple[p
     for d in range(max_n):
         n = max(0, len(ids) - d)
         rows[:n, d] = np.where(piece[d:] == piece[:n], ids[d:], 0)
-    return coded.dictionary.take(pa.array(order)), rows[starts < begins], others
+    return coded.dictionary.take(pa.array(order)), rows[begun], others
 
 
 def packed(rows: np.ndarray) -> np.ndarray:
