@@ -59,6 +59,41 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1 - F.levenshtein(a, b) / n).otherwise(F.lit(1.0))
 
 
+# The letters of the Unicode syllables from U+AC00 on, in the order of their numbers.
+INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
+FINALS = "ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
+FIRST_SYLLABLE, SYLLABLES = 0xAC00, len(INITIALS) * len(VOWELS) * (len(FINALS) + 1)
+
+
+def letters(c: Column) -> Column:
+    """Syllables taken apart into their two or three letters, by arithmetic on their numbers; other characters stay."""
+    one = lambda table, i: F.substring(F.lit(table), i.cast("int") + 1, F.lit(1))
+    rest = len(FINALS) + 1
+
+    def apart(ch: Column) -> Column:
+        n = F.ascii(ch) - FIRST_SYLLABLE
+        final = n % rest
+        parts = F.concat(one(INITIALS, F.floor(n / (len(VOWELS) * rest))), one(VOWELS, F.floor(n / rest) % len(VOWELS)), F.when(final > 0, one(FINALS, final - 1)).otherwise(""))
+        return F.when((n >= 0) & (n < SYLLABLES), parts).otherwise(ch)
+
+    return F.array_join(F.transform(F.split(c, ""), apart), "")
+
+
+def sound_similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance of letters over the longer length; white space and case do not count, and two empty texts are alike."""
+    plain = lambda c: letters(F.lower(F.regexp_replace(c, r"\s+", "")))
+    return similarity(plain(a), plain(b))
+
+
+def without_fillers(c: Column, fillers: Sequence[str]) -> Column:
+    """Words, with one blank between them, less the fillers and the words that repeat the one before; marks at a word's end and case do not count."""
+    words = F.transform(F.split(c, "[ \n]+"), lambda w: F.struct(w.alias("w"), F.lower(F.regexp_replace(w, "[.,;:!?]+$", "")).alias("k")))
+    # The outer transform binds the words that are left once for all of their numbers.
+    kept = F.transform(F.array(F.filter(words, lambda x: ~x["k"].isin(list(fillers)))), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x["k"] == "") | (x["k"] != F.get(all_, i - 1)["k"])))[0]
+    return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+
+
 REDACTIONS = (
     (r"https?://[^ \t\n]+", "[URL]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),

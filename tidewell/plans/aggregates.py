@@ -70,13 +70,13 @@ def a10(spark, d):
 def a11(spark, d):
     p = F.col("o_totalprice")
     o = table(spark, d, "orders")
-    median = R.percentiles(o, "o_orderpriority", "o_totalprice", "o_orderkey", {"median": 0.5}).withColumn("median", F.round("median", 2))
+    median = R.percentiles(o, "o_orderpriority", "o_totalprice", {"median": 0.5}).withColumn("median", F.round("median", 2))
     return median.join(o.groupBy("o_orderpriority").agg(F.round(F.avg(p), 2).alias("mean"), F.round(F.coalesce(F.stddev_samp(p), F.lit(0.0)), 2).alias("deviation"), (F.max(p) - F.min(p)).alias("spread")), "o_orderpriority")
 
 
 @query("a12_percentiles", "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type")
 def a12(spark, d):
-    p = R.percentiles(table(spark, d, "events"), "event_type", "value", "event_id", {"p95": 0.95, "p99": 0.99})
+    p = R.percentiles(table(spark, d, "events"), "event_type", "value", {"p95": 0.95, "p99": 0.99})
     return p.select("event_type", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
 
 
@@ -206,7 +206,7 @@ def w01(spark, d):
 (SELECT l_suppkey, count(*) AS n, round(count(*) FILTER (l_returnflag <> 'R') * 100.0 / count(*), 1) AS resolved, round(avg(l_quantity), 2) AS seconds FROM lineitem GROUP BY l_suppkey)""")
 def w03(spark, d):
     a = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("l_returnflag") != "R") * 100.0 / F.count("*"), 1).alias("resolved"), F.round(F.avg("l_quantity"), 2).alias("seconds"))
-    return R.ranked(a, [F.desc("n"), F.desc("resolved"), "seconds", "l_suppkey"])
+    return R.numbered(a, [F.desc("n"), F.desc("resolved"), F.col("seconds"), F.col("l_suppkey")])
 
 
 @query("w05_same_role_runs", """WITH c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.operators import assignment as A
 from tidewell.operators import relational as R
 from tidewell.sources import files
 from tidewell.plans.registry import AS_OF, CONTACTS, as_of, contacts, query, table
@@ -38,7 +38,7 @@ def s03(spark, d):
 
 def folder(spark, name):
     """A new folder for files that a query writes and reads again."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{R.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s04_csv_scan", "SELECT p_partkey, p_name || ', \"' || p_type || '\"' AS title, p_size FROM part")
@@ -352,3 +352,31 @@ def j18(spark, d):
     s = table(spark, d, "supplier").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     s = s.withColumn("slot", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey", "k")))
     return c.join(s, (c["c_nationkey"] == s["s_nationkey"]) & (c["slot"] == s["slot"])).select("c_custkey", "s_suppkey")
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_ROUND = """
+a{i} AS (SELECT c_custkey, {g}, row_number() OVER (PARTITION BY {p} ORDER BY c_custkey) AS n FROM c WHERE {left}),
+b{i} AS (SELECT s_suppkey, slot, {g}, row_number() OVER (PARTITION BY {p} ORDER BY s_suppkey, slot) AS n FROM s WHERE {free}),
+m{i} AS (SELECT c_custkey, s_suppkey, slot, {i} AS round FROM a{i} JOIN b{i} USING (n, {p}))"""
+
+
+def _rounds() -> str:
+    out = []
+    for i, g in enumerate((("nation", "segment"), ("nation",), ("region",), ("one",)), 1):
+        left = " AND ".join([f"c_custkey NOT IN (SELECT c_custkey FROM m{k})" for k in range(1, i)] or ["true"])
+        free = " AND ".join([f"(s_suppkey, slot) NOT IN (SELECT (s_suppkey, slot) FROM m{k})" for k in range(1, i)] or ["true"])
+        out.append(_ROUND.format(i=i, g=", ".join(g), p=", ".join(g), left=left, free=free))
+    return ",".join(out)
+
+
+@query("j18_match_in_rounds", f"""WITH c AS (SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS segment, n_regionkey AS region, 1 AS one FROM customer JOIN nation ON n_nationkey = c_nationkey),
+s AS (SELECT s_suppkey, s_nationkey AS nation, {list(_SEGMENTS)}[s_suppkey % 5 + 1] AS segment, n_regionkey AS region, 1 AS one, unnest(range(1, 6 + s_suppkey % 8)) AS slot FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+{_rounds()} SELECT c_custkey, s_suppkey, round FROM m1 UNION ALL SELECT c_custkey, s_suppkey, round FROM m2 UNION ALL SELECT c_custkey, s_suppkey, round FROM m3 UNION ALL SELECT c_custkey, s_suppkey, round FROM m4""")
+def j18_rounds(spark, d):
+    """Customers to suppliers with 5 to 12 places: of the same nation and segment, then nation, then region, then any."""
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    c = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), "region")
+    segment = F.element_at(F.array(*map(F.lit, _SEGMENTS)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    s = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("nation"), segment.alias("segment"), "region", (F.col("s_suppkey") % 8 + 5).alias("places"))
+    return A.match_in_rounds(c, "c_custkey", s, "s_suppkey", "places", [("nation", "segment"), ("nation",), ("region",), ()])

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import dictionary as D
 from tidewell.operators import relational as R
 from tidewell.operators import retrieval as V
+from tidewell.operators import text_rank as T
+from tidewell.operators import vector_index as I
 from tidewell.plans.registry import query, table
+from tidewell.streaming import stores
 
 _KNN = """q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
 k AS (SELECT query, vec_id AS doc, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE vec_id <> query),
@@ -25,6 +29,27 @@ def v01(spark, d):
     return nearest(spark, d).select("query", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def cells(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return I.build(e, "vec_id", "embedding"), e.filter("vec_id % 50 = 0")
+
+
+@query("v02_cell_index", f"WITH {_KNN} SELECT query, doc, rank, round(score, 6) AS score FROM r")
+def v02(spark, d):
+    """The index in exact mode: near cells first, then those that a bound does not rule out."""
+    index, q = cells(spark, d)
+    return I.search(index, q, 10, "vec_id", "embedding", exact=True).select("query", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("v02_cell_probes")
+def v02_probes(spark, d):
+    """The index with as many probes as other queries need, and the recall of each query's ten against all vectors."""
+    index, q = cells(spark, d)
+    probes = I.probes_for(index, table(spark, d, "embeddings").filter("vec_id % 50 = 25"), 10, "vec_id", "embedding")
+    found = I.search(index, q, 10, "vec_id", "embedding", probes=probes)
+    return I.recall(found, nearest(spark, d))
+
+
 @query("v03_cosine_scalar", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def v03(spark, d):
     e = table(spark, d, "embeddings")
@@ -63,6 +88,37 @@ def v06(spark, d):
     return t.select("doc_id", F.round(0.8 * V.cosine(F.col("qv"), F.col("embedding")) + 0.2 * F.col("t"), 6).alias("score"))
 
 
+_SEQ = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query("v06_cover_density", f"""WITH w AS (SELECT doc_id AS doc, {_SEQ.format("text")} AS w, source FROM documents),
+q AS (SELECT doc AS query, source, list_distinct(w[1:3]) AS terms FROM w WHERE doc % 50 = 0),
+p AS (SELECT doc, unnest(range(len(w))) AS place, unnest(w) AS term FROM w),
+t AS (SELECT query, terms, len(terms) AS m, unnest(terms) AS term FROM q),
+u AS (SELECT query, m, term, row_number() OVER (PARTITION BY query ORDER BY term) AS t FROM t),
+h AS (SELECT query, m, t, doc, place, row_number() OVER (PARTITION BY query, doc ORDER BY place) - 1 AS i FROM u JOIN p USING (term) WHERE doc <> query),
+l AS (SELECT *, last_value(CASE WHEN t = 1 THEN i END IGNORE NULLS) OVER z AS a, last_value(CASE WHEN t = 2 THEN i END IGNORE NULLS) OVER z AS b, last_value(CASE WHEN t = 3 THEN i END IGNORE NULLS) OVER z AS c FROM h WINDOW z AS (PARTITION BY query, doc ORDER BY i)),
+b AS (SELECT *, CASE m WHEN 1 THEN a WHEN 2 THEN CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END ELSE CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) END END AS s FROM l),
+n AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY query, doc ORDER BY i), -1) AS s0 FROM b),
+k AS (SELECT n.query, n.doc, sum(0.1 / (1 + (n.place - o.place) - (n.i - n.s))) AS rank FROM n JOIN h o ON o.query = n.query AND o.doc = n.doc AND o.i = n.s WHERE n.s > n.s0 GROUP BY n.query, n.doc),
+v AS (SELECT doc, source, CAST(embedding AS DOUBLE[]) AS v FROM w LEFT JOIN embeddings ON vec_id = doc),
+f AS (SELECT q.query, v.doc, q.source = v.source AS inside, coalesce(k.rank, 0) AS t, coalesce(CASE WHEN list_dot_product(v.v, v.v) = 0 OR list_dot_product(x.v, x.v) = 0 THEN 0 ELSE list_cosine_similarity(x.v, v.v) END, 0) AS c, k.rank IS NOT NULL OR (v.v IS NOT NULL AND x.v IS NOT NULL) AS found
+  FROM q JOIN v x ON x.doc = q.query JOIN v ON v.doc <> q.query LEFT JOIN k ON k.query = q.query AND k.doc = v.doc),
+g AS (SELECT *, bool_or(inside) OVER (PARTITION BY query) AS near FROM f WHERE found),
+s AS (SELECT query, doc, t, 0.8 * c + 0.2 * least(t, 1) AS score FROM g WHERE inside OR NOT near),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)
+SELECT query, doc, round(t, 6) AS text, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def v06_cover(spark, d):
+    """Text rank by cover density and vector similarity over all documents; a query is the first three words of a document, in its source."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    both = docs.join(e, "doc_id", "left")
+    queries = both.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.array_distinct(F.slice(D.words(F.col("text")), 1, 3)).alias("terms"), F.col("embedding").alias("vector"), F.col("source").alias("category"))
+    index = R.cut(T.positional_index(docs, "doc_id", "text"))
+    out = T.hybrid(R.cut(queries), both.select(F.col("doc_id").alias("doc"), F.col("embedding").alias("vector"), F.col("source").alias("category")), index, 10)
+    return out.select("query", "doc", F.round("text", 6).alias("text"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("v07_rank_fusion", """WITH a AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 30), b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 30)
 SELECT coalesce(a.id, b.id) AS id, round(coalesce(0.7 / (60 + a.rank), 0) + coalesce(0.3 / (60 + b.rank), 0), 8) AS score FROM a FULL JOIN b ON a.id = b.id""")
 def v07(spark, d):
@@ -149,6 +205,23 @@ def v16(spark, d):
     return V.lookup(part_index(spark, d), term_lists(spark)).withColumn("score", F.round("score", 6))
 
 
+@query("v16_compound_lookup", f"""WITH RECURSIVE {_INDEX}, q AS (SELECT p_partkey AS query, replace(p_name, ' ', '') AS term FROM part WHERE p_partkey % 50 = 0),
+m AS (SELECT DISTINCT term FROM q WHERE term NOT IN (SELECT term FROM ix)),
+x AS (SELECT DISTINCT term FROM ix WHERE length(term) >= 2),
+c AS (SELECT m.term, x.term AS part, i, i + length(x.term) AS j FROM m, (SELECT unnest(range(1, 40)) AS i) r, x WHERE i + length(x.term) - 1 <= length(m.term) AND substring(m.term, i, length(x.term)) = x.term AND length(x.term) < length(m.term)),
+s AS (SELECT term, j, [part] AS parts, [i] AS starts FROM c WHERE i = 1 UNION ALL SELECT s.term, c.j, list_append(parts, part), list_prepend(c.i, starts) FROM s JOIN c ON c.term = s.term AND c.i = s.j),
+b AS (SELECT term, parts FROM s WHERE j = length(term) + 1 QUALIFY row_number() OVER (PARTITION BY term ORDER BY len(parts), starts) = 1),
+t AS (SELECT DISTINCT query, unnest(coalesce(parts, [q.term])) AS term FROM q LEFT JOIN b USING (term)),
+h AS (SELECT query, doc, count(*) AS hits, avg(relevance) AS score FROM t JOIN ix USING (term) GROUP BY ALL),
+w AS (SELECT h.*, hits = size AS full_hit, bool_or(hits = size) OVER (PARTITION BY query) AS any_full FROM h JOIN (SELECT query, count(*) AS size FROM t GROUP BY query) USING (query)),
+k AS (SELECT query, doc, round(least(1.0, score), 6) AS score, row_number() OVER (PARTITION BY query ORDER BY least(1.0, score) DESC, doc) AS rank FROM w WHERE full_hit OR NOT any_full)
+SELECT * FROM k WHERE rank <= 10""")
+def v16_compound(spark, d):
+    """Names written as one word, which the index does not have, looked up by the terms that they are made of."""
+    terms = table(spark, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.replace("p_name", F.lit(" "), F.lit("")).alias("term"))
+    return V.lookup_or_split(R.cut(part_index(spark, d)), terms).withColumn("score", F.round("score", 6))
+
+
 @query("v17_score_scaling", f"WITH {_INDEX} SELECT doc, round(relevance * 0.45 * CASE WHEN contains(p_name, 'ring') THEN 1 ELSE 0.15 END, 6) AS score FROM ix JOIN part ON doc = p_partkey WHERE term = 'promo'")
 def v17(spark, d):
     ix = part_index(spark, d).filter("term = 'promo'").join(table(spark, d, "part"), F.col("doc") == F.col("p_partkey"))
@@ -172,6 +245,14 @@ def v19(spark, d):
     return nearest(spark, d, 1).select("query", F.when(F.col("score") >= 0.3, F.col("doc")).alias("cached"))
 
 
+@query("v19_cache_session")
+def v19_session(spark, d):
+    """Each label's questions in order, a second apart, through a cache: the same text, else a vector alike, within 300 s and 200 entries."""
+    e = table(spark, d, "embeddings").withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 1))
+    asked = e.select(F.col("label").cast("string").alias("cache"), F.col("vec_id").alias("id"), "ts", F.concat(F.lit("Question "), F.col("vec_id") % 97).alias("text"), F.col("embedding").alias("vector"), F.concat(F.lit("answer "), "vec_id").alias("answer"))
+    return stores.cache_table(asked).withColumn("score", F.round("score", 6))
+
+
 @query("v20_cache_keys", "SELECT DISTINCT md5(lower(trim(regexp_replace(p_name || ' ' || p_type, '[ ]+', ' ', 'g')))) AS key FROM part")
 def v20(spark, d):
     return table(spark, d, "part").select(F.md5(R.collapse(F.concat_ws(" ", "p_name", "p_type"))).alias("key")).distinct()
@@ -248,5 +329,5 @@ def m05(spark, d):
 @query("m07_accuracy_by_category", "SELECT event_type, round(avg(CAST(CAST(props ->> '$.k' AS INT) > 50 AS INT)), 6) AS accuracy, round(avg(value), 4) AS latency, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY event_type")
 def m07(spark, d):
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    p95 = R.percentiles(e, "event_type", "value", "event_id", {"p95": 0.95}).withColumn("p95", F.round("p95", 4))
+    p95 = R.percentiles(e, "event_type", "value", {"p95": 0.95}).withColumn("p95", F.round("p95", 4))
     return e.groupBy("event_type").agg(F.round(F.avg((F.col("k") > 50).cast("int")), 6).alias("accuracy"), F.round(F.avg("value"), 4).alias("latency")).join(p95, "event_type")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.operators import relational as R
 from tidewell.plans.aggregates import _TRANSITIONS, transitions
 from tidewell.plans.registry import CONTACTS, contacts, query, table
 from tidewell.streaming import conversations as S
+from tidewell.streaming import retro, stores
 
 
 @query("x01_micro_batches", "WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM conversations) SELECT conv_id, batch, string_agg(text, ' ' ORDER BY turn) AS text FROM n GROUP BY conv_id, batch")
@@ -76,3 +79,60 @@ def x10(spark, d):
 @query("x11_ttl_eviction", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 2 DAY ORDER BY ts DESC, event_id LIMIT 200")
 def x11(spark, d):
     return S.latest(table(spark, d, "events"), "event_id", "ts", "2 days", "2024-01-30 00:00:00", 200).select("event_id")
+
+
+@query("x05_triggered_cooldown")
+def x05_triggered(spark, d):
+    """At most one search a customer in 12 minutes, and only for events with a trigger."""
+    c = contacts(spark, d).withColumn("hits", F.get_json_object("props", "$.k").cast("int") % 4).withColumn("confidence", F.col("value") / 60)
+    c = c.withColumn("turn", (F.col("id") % 6).cast("int")).withColumn("wanted", F.col("category") == "error")
+    c = c.select(F.col("customer").alias("session"), "id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), S.triggered().alias("may"))
+    return S.throttle(c, 720.0)
+
+
+#: Operations on stored values: what is bought is put there, an error takes it away, all else looks.
+def _operations(c):
+    op = F.when(F.col("category") == "purchase", "put").when(F.col("category") == "error", "delete").otherwise("get")
+    return c.select(F.col("customer").cast("string").alias("key"), "id", "ts", op.alias("op"), F.when(op == "put", F.concat(F.lit("bought "), "id")).alias("value"))
+
+
+@query("s19_expiring_values", f"""WITH {CONTACTS}, n AS (SELECT *, last_value(CASE WHEN category IN ('purchase', 'error') THEN id END IGNORE NULLS) OVER w AS changed FROM contacts WINDOW w AS (PARTITION BY customer ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CAST(n.customer AS VARCHAR) AS key, n.id, CASE n.category WHEN 'purchase' THEN 'put' WHEN 'error' THEN 'delete' ELSE 'get' END AS op, CASE WHEN p.category = 'purchase' AND n.ts < p.ts + INTERVAL 2 DAY THEN 'bought ' || p.id END AS value FROM n LEFT JOIN contacts p ON p.id = n.changed""")
+def s19_values(spark, d):
+    """Each customer's stored value after each contact; values live for two days."""
+    return stores.store_table(_operations(contacts(spark, d)), 2 * 86400.0)
+
+
+@query("x12_processing_markers", f"""WITH {CONTACTS}, n AS (SELECT *, last_value(CASE WHEN category IN ('signup', 'purchase') THEN id END IGNORE NULLS) OVER w AS changed FROM contacts WINDOW w AS (PARTITION BY customer ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT n.customer, count(*) AS polls, count(*) FILTER (p.category = 'signup' AND n.ts < p.ts + INTERVAL 1 DAY) AS busy FROM n LEFT JOIN contacts p ON p.id = n.changed WHERE n.category NOT IN ('signup', 'purchase') GROUP BY n.customer""")
+def x12_markers(spark, d):
+    """Polls that find a customer's process running: sign-up begins it, a purchase ends it, and after a day its marker is void."""
+    c = contacts(spark, d)
+    op = F.when(F.col("category") == "signup", "put").when(F.col("category") == "purchase", "delete").otherwise("get")
+    marks = stores.store_table(c.select(F.col("customer").cast("string").alias("key"), "id", "ts", op.alias("op"), F.lit("running").alias("value")), 86400.0)
+    return marks.filter("op = 'get'").groupBy(F.col("key").cast("long").alias("customer")).agg(F.count("*").alias("polls"), F.count("value").alias("busy"))
+
+
+def streamed(spark, d, files: int = 4):
+    """Contacts as a table that a stream has kept: they come in files by turns, and each batch rewrites the parts it touches."""
+    c = contacts(spark, d).select("id", "customer", "category", "day")
+    folder = R.shared_folder(spark)
+    source, path = f"{folder}/contacts-{uuid.uuid4().hex}", f"{folder}/retro-{uuid.uuid4().hex}"
+    c.repartition(files, F.pmod(F.xxhash64("id"), F.lit(files))).write.parquet(source)
+    schema = "id long, customer long, category string, day date"
+    sink = retro.retro_sink(path, schema, "customer", retro.reopened, "id")
+    S.read_stream(spark, source, schema).writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return retro.current(spark, path, f"{schema}, resolved boolean")
+
+
+_RESOLVED = f"WITH {CONTACTS}, r AS (SELECT *, NOT EXISTS (SELECT 1 FROM contacts b WHERE b.customer = a.customer AND b.category = a.category AND b.day > a.day AND b.day <= a.day + 7) AS resolved FROM contacts a)"
+
+
+@query("j07_retro_stream", f"{_RESOLVED} SELECT id, resolved FROM r")
+def j07_stream(spark, d):
+    return streamed(spark, d).select("id", "resolved")
+
+
+@query("x07_customer_counters", f"{_RESOLVED} SELECT customer, count(*) AS total, count(*) FILTER (resolved) AS resolved_first, max(day) AS last_day FROM r GROUP BY customer")
+def x07_counters(spark, d):
+    return retro.counters(streamed(spark, d))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import dictionary as D
 from tidewell.functions import text as X
+from tidewell.operators import assignment as A
+from tidewell.operators import fuzzy as Z
 from tidewell.operators import relational as R
 from tidewell.plans.registry import AS_OF, CONTACTS, as_of, contacts, query, table
 
@@ -34,6 +37,7 @@ def f04(spark, d):
 
 
 _DICTIONARY = "k(term, label) AS (VALUES ('small ring', 'jewel'), ('ring', 'round'), ('red', 'colour'), ('blue', 'colour'), ('widget', 'thing'))"
+SYLLABLES = "".join(chr(X.FIRST_SYLLABLE + i) for i in range(X.SYLLABLES))
 DICTIONARY = [("small ring", "jewel"), ("ring", "round"), ("red", "colour"), ("blue", "colour"), ("widget", "thing")]
 
 
@@ -43,6 +47,25 @@ def f05(spark, d):
     return table(spark, d, "part").join(k, F.contains("p_name", "term")).groupBy("p_partkey").agg(F.max_by("term", F.length("term")).alias("term"))
 
 
+_SEQ = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query("f05_dictionary_terms", f"""WITH RECURSIVE b AS (SELECT {_SEQ.format("text")} AS w FROM benchmark),
+k AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS term, n FROM b, (SELECT unnest(range(1, 400)) AS i) x, (VALUES (2), (3)) y(n) WHERE i + n - 1 <= len(w)),
+d AS (SELECT doc_id, {_SEQ.format("text")} AS w FROM documents),
+o AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (SELECT doc_id, i - 1 AS place, max(n) AS size, max_by(term, n) AS term FROM (SELECT doc_id, i, array_to_string(w[i:i + 1], ' ') AS g2, array_to_string(w[i:i + 2], ' ') AS g3 FROM o) JOIN k ON (k.n = 2 AND term = g2) OR (k.n = 3 AND term = g3) GROUP BY ALL),
+n AS (SELECT a.doc_id, a.place, a.size, a.term, b.place AS following FROM h a ASOF LEFT JOIN h b ON a.doc_id = b.doc_id AND a.place + a.size <= b.place),
+r AS (SELECT n.* FROM n JOIN (SELECT doc_id, min(place) AS place FROM h GROUP BY doc_id) USING (doc_id, place) UNION ALL SELECT n.* FROM r JOIN n ON n.doc_id = r.doc_id AND n.place = r.following)
+SELECT doc_id, CAST(place AS INT) AS place, size, term FROM r""".replace("GROUP BY ALL", "GROUP BY doc_id, i"))
+def f05_terms(spark, d):
+    """Leftmost-longest occurrences of a large dictionary: all sequences of two and three words of the benchmark."""
+    w = table(spark, d, "benchmark").select(D.words(F.col("text")).alias("w"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
+    terms = w.select(F.explode(runs(2)).alias("term")).unionByName(w.select(F.explode(runs(3)).alias("term")))
+    return D.extract_terms(table(spark, d, "documents"), terms, "doc_id", "text")
+
+
 @query("f06_canonical", f"WITH {_DICTIONARY} SELECT p_partkey, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM part JOIN k ON contains(replace(p_name, ' ', ''), replace(term, ' ', '')) GROUP BY p_partkey")
 def f06(spark, d):
     k = F.broadcast(spark.createDataFrame(DICTIONARY, "term string, label string"))
@@ -69,6 +92,45 @@ def f09(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(X.similarity(F.regexp_replace("p_name", "[aeiou]", ""), F.lit("sml rng")), 6).alias("score"))
 
 
+@query("f08_fuzzy_names")
+def f08_names(spark, d):
+    """Misspelt names (a letter gone, two exchanged, words the other way round) against all names with their types, by weighted ratio."""
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"))
+    n, at = F.col("name"), (F.col("p_partkey") % (F.length("name") - 3) + 2).cast("int")
+    gone = F.concat(F.substring(n, F.lit(1), at - 1), F.substring(n, at + 1, F.length(n)))
+    swapped = F.concat(F.substring(n, F.lit(1), at - 1), F.substring(n, at + 1, F.lit(1)), F.substring(n, at, F.lit(1)), F.substring(n, at + 2, F.length(n)))
+    turned = F.array_join(F.reverse(F.split(n, " ")), " ")
+    kind = F.col("p_partkey") % 3
+    asked = p.select(F.col("p_partkey").alias("query"), F.when(kind == 0, gone).when(kind == 1, swapped).otherwise(turned).alias("text"))
+    return Z.fuzzy_matches(asked, p.select(F.col("name").alias("term")).distinct(), 85.0).withColumn("score", F.round("score", 6))
+
+
+@query("f08_partial_names")
+def f08_partial(spark, d):
+    """Names within longer labels, where a letter of them is gone, by partial ratio of 78 or more."""
+    n = F.col("p_name")
+    at = (F.col("p_partkey") % (F.length(n) - 2) + 2).cast("int")
+    label = F.concat_ws(" ", "p_brand", F.concat(F.substring(n, F.lit(1), at - 1), F.substring(n, at + 1, F.length(n))), F.lower("p_type"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("query"), label.alias("text"), "p_name")
+    return Z.fuzzy_matches(p, p.select(F.col("p_name").alias("term")).distinct(), 78.0, "partial").withColumn("score", F.round("score", 6))
+
+
+# Letters as printable ASCII: DuckDB's edit distance counts bytes.
+_APART = "array_to_string(list_transform([{0}]::INTEGER[], lambda n: chr(33 + n // 588) || chr(52 + (n % 588) // 28) || CASE n % 28 WHEN 0 THEN '' ELSE {1} END), '')"
+_FINAL = "chr(CASE n % 28 " + " ".join(f"WHEN {i + 1} THEN {33 + X.INITIALS.index(ch) if ch in X.INITIALS else 80 + i}" for i, ch in enumerate(X.FINALS)) + " END)"
+
+
+@query("f09_letters", "WITH s AS (SELECT p_partkey, p_partkey * 37 % 11172 AS a, p_size * 113 % 11172 AS b, (p_partkey * 37 + 28 * (p_size % 3) + p_size % 2) % 11172 AS c FROM part), l AS (SELECT p_partkey, "
+    + _APART.format("a, b", _FINAL) + " AS x, " + _APART.format("c, b", _FINAL) + " AS y FROM s) SELECT p_partkey, length(x) AS n, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS score FROM l")
+def f09_letters(spark, d):
+    """Names of two syllables that the part's numbers give, against nearly the same ones, letter by letter."""
+    syllable = lambda n: F.substring(F.lit(SYLLABLES), (n % X.SYLLABLES).cast("int") + 1, F.lit(1))
+    k, z = F.col("p_partkey"), F.col("p_size")
+    x, y = F.concat(syllable(k * 37), F.lit(" "), syllable(z * 113)), F.concat(syllable(k * 37 + 28 * (z % 3) + z % 2), syllable(z * 113))
+    n = F.length(X.letters(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
+    return table(spark, d, "part").select("p_partkey", n.alias("n"), F.round(X.sound_similarity(x, y), 6).alias("score"))
+
+
 @query("f10_candidate_cascade", "SELECT p_partkey, CASE WHEN p_name = 'red ring' THEN 1.0 WHEN contains(p_name, 'ring') THEN 0.9 WHEN contains(p_name, 'red') THEN 0.8 ELSE round(1 - levenshtein(p_name, 'red ring') / greatest(length(p_name), 8), 6) END AS score FROM part")
 def f10(spark, d):
     n = F.col("p_name")
@@ -208,10 +270,11 @@ def t03(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit(" [T][T] [T][T][T]")), r"(\[T\]){3,}", "[T]").alias("text"))
 
 
-@query("t04_fillers", "SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\\b(the|of|le|de)\\b ?', '', 'g'), '[ \\n]+', ' ', 'g') AS text FROM conversations WHERE regexp_matches(text, '^[ -~\\n]*$')")
+@query("t04_fillers", """WITH w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[ \\n]+'), lambda w: {'w': w, 'k': lower(regexp_replace(w, '[.,;:!?]+$', ''))}), lambda x: x.k NOT IN ('the', 'of', 'le', 'de')) AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(w, lambda x, i: i = 1 OR x.k = '' OR x.k <> w[i - 1].k), lambda x: x.w), ' ') AS text FROM w""")
 def t04(spark, d):
-    c = table(spark, d, "conversations").filter(F.col("text").rlike("^[ -~\n]*$"))
-    return c.select("conv_id", "turn", F.regexp_replace(F.regexp_replace("text", r"\b(the|of|le|de)\b ?", ""), "[ \n]+", " ").alias("text"))
+    """Filler words go, and of a word that is said again and again the first stays."""
+    return table(spark, d, "conversations").select("conv_id", "turn", X.without_fillers(F.col("text"), ("the", "of", "le", "de")).alias("text"))
 
 
 @query("t05_redact", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\t\\n]+', '[URL]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g'), '\\+?[0-9][0-9() -]{7,}[0-9]', '[PHONE]', 'g')) AS digest FROM documents")
@@ -286,6 +349,37 @@ def t17(spark, d):
     return R.numbered(e, [F.col("h")], "n").withColumn("agent", F.col("n") % 12).groupBy("agent").agg(F.count("*").alias("n"))
 
 
+_LOADS = "SELECT s_suppkey, CAST(coalesce(load, 0) AS BIGINT) AS load FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS load FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey) ON l_suppkey = s_suppkey"
+
+
+def loaded_suppliers(spark, d):
+    n = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").alias("load"))
+    return table(spark, d, "supplier").join(n, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("s_suppkey", F.coalesce("load", F.lit(0)).alias("load"))
+
+
+_FILLED = f"""WITH a AS ({_LOADS}), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS place FROM orders),
+top AS (SELECT max(load) + (SELECT count(*) FROM orders) // (SELECT count(*) FROM supplier) + 1 AS level FROM a),
+s AS (SELECT s_suppkey, row_number() OVER (ORDER BY level, load, s_suppkey) AS place FROM (SELECT *, unnest(range(load, (SELECT level FROM top))) AS level FROM a)),
+m AS (SELECT o_orderkey, s_suppkey FROM o JOIN s USING (place))"""
+
+
+def filled(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey")
+    return A.least_loaded(orders, "o_orderkey", loaded_suppliers(spark, d), "s_suppkey", "load", [F.md5(F.col("o_orderkey").cast("string")), F.col("o_orderkey")])
+
+
+@query("t17_least_loaded", f"{_FILLED} SELECT * FROM m")
+def t17_least(spark, d):
+    """Orders in a pseudo-random order to the supplier with the least load, returned lines being the load so far."""
+    return filled(spark, d)
+
+
+@query("t17_validation", f"{_FILLED}, n AS (SELECT load + coalesce(new, 0) AS n FROM a LEFT JOIN (SELECT s_suppkey, count(*) AS new FROM m GROUP BY s_suppkey) USING (s_suppkey)) SELECT count(*) AS agents, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation, min(n) AS least, max(n) AS most, stddev_pop(n) <= 15 AND max(n) - min(n) <= 50 AS passed FROM n")
+def t17_validation(spark, d):
+    out = A.balance(filled(spark, d), loaded_suppliers(spark, d), "s_suppkey", "load", 15, 50)
+    return out.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
+
+
 @query("t18_seeded_rows")
 def t18(spark, d):
     u = F.rand(11)

@@ -10,9 +10,11 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -134,22 +136,36 @@ def evictions_stream(df: DataFrame, ttl: float, most: int) -> DataFrame:
     return df.select("session", "id", "at").groupBy("session").applyInPandasWithState(lambda k, f, s: evicting(k, f, s, ttl, most), "session long, id long, reason string", "alive string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Any of these lets an event through, once the cooldown is over.
+TRIGGERS = {"hits": 2.0, "confidence": 0.7, "turn": 4.0}
+
+
+def triggered(hits: str = "hits", confidence: str = "confidence", turn: str = "turn", wanted: str = "wanted") -> Column:
+    """Whether an event may fire: it is wanted, or has hits, confidence or turns enough; a null is none."""
+    enough = [F.col(c) >= TRIGGERS[name] for name, c in (("hits", hits), ("confidence", confidence), ("turn", turn))]
+    return F.coalesce(F.col(wanted), F.lit(False)) | reduce(or_, (F.coalesce(e, F.lit(False)) for e in enough))
+
+
 def cooled(key, frames: Iterator[pd.DataFrame], state: GroupState, seconds: float) -> Iterator[pd.DataFrame]:
-    """One session's events in order of arrival: whether each fires, which it does if the last that fired is ``seconds`` past."""
+    """One session's events in order of arrival: whether each fires, which it does if it may and the last that fired is ``seconds`` past."""
     last = state.get[0] if state.exists else float("-inf")
     for pdf in frames:
         fired = []
-        for t in pdf["at"]:
-            fire = t - last >= seconds
+        for t, may in zip(pdf["at"], pdf["may"], strict=True):
+            fire = bool(may) and t - last >= seconds
             last = t if fire else last
             fired.append(fire)
-        yield pdf.assign(fired=fired)
+        yield pdf.drop(columns="may").assign(fired=fired)
     state.update((last,))
 
 
+def may_fire(df: DataFrame) -> DataFrame:
+    return df.select("session", "id", "at", F.coalesce(F.col("may"), F.lit(False)).alias("may") if "may" in df.columns else F.lit(True).alias("may"))
+
+
 def throttle_stream(df: DataFrame, seconds: float = 12.0) -> DataFrame:
-    """(session, id, at) of a stream with ``fired``; the state is the time of the last that fired."""
-    return df.groupBy("session").applyInPandasWithState(lambda k, f, s: cooled(k, (x.sort_values(["at", "id"]) for x in f), s, seconds), "session long, id long, at double, fired boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+    """(session, id, at) of a stream, and ``may`` if not all may fire, with ``fired``; the state is the time of the last that fired."""
+    return may_fire(df).groupBy("session").applyInPandasWithState(lambda k, f, s: cooled(k, (x.sort_values(["at", "id"]) for x in f), s, seconds), "session long, id long, at double, fired boolean", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 class Held:
@@ -168,7 +184,9 @@ class Held:
 def in_order(df: DataFrame, key: str, order: Sequence[str], step: Callable, schema: str, flush: bool = False) -> DataFrame:
     """The table form of a keyed-state step: rows sorted by key and order, in Arrow batches; a task holds one key's state.
 
-    A key is never held whole, however many rows it has. With ``flush``, the step is told when a key has ended.
+    A key is never held whole, however many rows it has. With ``flush``, the step is told when a key has ended. Keys go
+    through Python as text beside a null flag, so that a null key is one key and long ones stay exact; the step gets None
+    for null and else the key as text, and what it returns as the key's column is cast back.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,23 +195,29 @@ def in_order(df: DataFrame, key: str, order: Sequence[str], step: Callable, sche
         def end() -> Iterator[pd.DataFrame]:
             if flush and now is not None:
                 state.hasTimedOut = True
-                yield from step((now,), iter(()), state)
+                yield from step((now[1],), iter(()), state)
 
         for batch in batches:
-            for k, pdf in batch.groupby(key, sort=False, dropna=False):
-                if k != now:
+            keys = [None if pd.isna(k) else k for k in batch[key]]
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if now is None or keys[a] != now[1]:
                     yield from end()
-                    now, state = k, Held()
-                yield from step((k,), iter([pdf]), state)
+                    now, state = (True, keys[a]), Held()
+                yield from step((keys[a],), iter([batch.iloc[a:b]]), state)
         yield from end()
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    kind = dict(df.dtypes)[key]
+    rows = df.withColumn("sort ", F.col(key)).repartition(key).sortWithinPartitions("sort ", *order).withColumn(key, F.col(key).cast("string")).drop("sort ")
+    plain = df.sparkSession.createDataFrame([], schema)
+    text = ", ".join(f"`{n}` {'string' if n == key else t}" for n, t in plain.dtypes)
+    return rows.mapInPandas(run, text).withColumn(key, F.col(key).cast(kind))
 
 
 def throttle(df: DataFrame, seconds: float = 12.0) -> DataFrame:
     """The same over a table."""
     step = lambda k, f, s: cooled(k, f, s, seconds)
-    return in_order(df.select("session", "id", "at"), "session", ["at", "id"], step, "session long, id long, at double, fired boolean")
+    return in_order(may_fire(df), "session", ["at", "id"], step, "session long, id long, at double, fired boolean")
 
 
 def alike(a: str, b: str, least: float) -> bool:
