@@ -50,6 +50,7 @@ def test_top_k(spark, vectors, monkeypatch, blocks, k):
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(topk_search, "ROW_BLOCK", blocks[1])
     monkeypatch.setattr(topk_search, "CELLS", 50)
+    monkeypatch.setattr(topk_search, "LEAST_ROWS", 60)
     df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in vectors], "id long, embedding array<double>, score int, query string, rank int")
     terms, weights = topk_search.sparse(F.col("embedding"))
     rows = df.select("id", terms.alias("terms"), weights.alias("weights"), "score", "query", "rank")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read
+from tidewell.llm.common import named, read
 
 WINDOW = 13
 GRAM = 5
@@ -105,29 +105,35 @@ def equal_run() -> tuple[Column, Column]:
     return F.when(F.col("len") < WINDOW, 0).otherwise(left), F.when(F.col("len") < WINDOW, 0).otherwise(right)
 
 
+def covered(spans: Column) -> Column:
+    """Places that sorted spans (lo, hi) cover, from one span to the next."""
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(x["lo"], s["next"]) + 1)).alias("n"), F.greatest(s["next"], x["hi"] + 1).alias("next"))
+    return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("next")), step, lambda s: s["n"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", text_key: str | None = None) -> DataFrame:
     """id_col, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null or empty text has no words, and is hit by nothing. Rows that repeat both id and text are one document and
-    give one row. Items without words are ignored, items that repeat an id are one item. Items with a null id hit like
+    A null or empty text has no words, and is hit by nothing. Rows that repeat both id and text give a row each. Items without words are ignored, items that repeat an id are one item. Items with a null id hit like
     others, but are not among the items that are counted and listed. With text_key, a column of that name has the hash
     of each text.
     """
-    tid = F.xxhash64(text_col)
-    marks = fingerprints(items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"), F.xxhash64(item_text_col).alias("tid")), pad=1, item=True)
+    text, item_text = named(text_col), named(item_text_col)
+    marks = fingerprints(items.select(named(item_col).alias("id"), item_text.alias("text"), F.xxhash64(item_text).alias("tid")), pad=1, item=True)
     marks = marks.select(F.struct("id").alias("item"), F.inline("found")).select("item", "hash", "len", F.col("around").alias("item_around"))
     lengths = tuple(sorted(r[0] for r in marks.filter(F.col("len") < WINDOW).select("len").distinct().collect()))
-    found = fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tid.alias("tid")), lengths, screen_of(marks))
-    # A document without candidates goes on under a key of its own, with a length that no item has.
-    rows = found.select("id", "tid", "n_words", F.explode_outer("found").alias("f")).select("id", "tid", "n_words", F.coalesce("f.hash", F.xxhash64("id", "tid")).alias("hash"), F.coalesce("f.len", F.lit(0)).alias("len"), "f.pos", "f.around")
+    found = fingerprints(docs.select(named(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tid")), lengths, screen_of(marks))
+    # Each row also goes on under a key of its own, with a length that no item has; there are as many of those as rows.
+    none = F.lit(None).cast(FINGERPRINTS.removeprefix("array<").removesuffix(">"))
+    rows = found.select("id", "tid", "n_words", F.explode(F.array_append("found", none)).alias("f")).select("id", "tid", "n_words", F.coalesce("f.hash", F.xxhash64("id", "tid")).alias("hash"), F.coalesce("f.len", F.lit(0)).alias("len"), "f.pos", "f.around")
     left, right = equal_run()
     hits = rows.join(marks, ["hash", "len"], "left").withColumns({"left": left, "right": right})
     size = F.when(F.col("len") < WINDOW, F.col("len")).otherwise(F.lit(GRAM))
     real = F.col("item").isNotNull() & ((F.col("len") < WINDOW) | (F.col("left") + F.col("right") + GRAM >= WINDOW))
     span = F.when(real, F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + size + F.col("right") - 1).alias("hi")))
-    by_doc = hits.select("id", "tid", "n_words", span.alias("span"), F.when(real, F.col("item.id").cast("string")).alias("item")).groupBy("id", "tid").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
-    n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"]))))).cast("long")
-    return by_doc.withColumn("n_hit", n_hit).select(
+    by_doc = hits.select("id", "tid", "n_words", "len", span.alias("span"), F.when(real, F.col("item.id").cast("string")).alias("item")).groupBy("id", "tid").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("len") == 0).alias("rows"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
+    by_doc = by_doc.withColumn("n_hit", covered(F.array_sort("spans"))).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return by_doc.select(
         F.col("id").alias(id_col),
         "n_words",
         "n_hit",

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fold, read
+from tidewell.llm.common import fold, named, read
 
 #: Documents, in expectation, that the filter is fitted on; smaller corpora are used whole.
 FIT_DOCS = 20_000
@@ -96,9 +96,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: s
 
     Rows with a null text or language are left out. What the driver gets is the filter: SLOTS bits a language at most.
     """
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.filter(usable & named(lang_col).isNotNull() & named(text_col).isNotNull())
     share = min(1.0, fit_docs / max(1, docs.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = rows.filter(F.pmod(F.xxhash64(named(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(named(lang_col).alias("lang"), named(text_col).alias("text"))
     langs = tuple(sorted(r["lang"] for r in drawn.select("lang").distinct().collect()))
     words = drawn.mapInPandas(slot_bits(langs), "byte int, octet int, bits long").groupBy("byte", "octet").agg(F.bit_or("bits").alias("bits"))
     return build(langs, words.toPandas())
@@ -126,8 +126,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     out.append((model[0][int(found.argmax())], float(found.max())))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    found = docs.select(id_col, *keep, predict(F.col(text_col)).alias("found"))
-    return found.select(id_col, *keep, F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    kept = [named(c) for c in (id_col, *keep)]
+    found = docs.select(*kept, predict(named(text_col)).alias("found"))
+    return found.select(*kept, F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

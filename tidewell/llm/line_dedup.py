@@ -128,8 +128,10 @@ def near_earlier(rows: DataFrame, min_chars: int) -> DataFrame:
     """Digests of lines that have an earlier line one edit away."""
     keys = rows.select("text").mapInPandas(all_keys(min_chars), "key long, line long")
     met = cut(keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key"))
-    kind = dict(rows.dtypes)["id"]
-    seen = rows.mapInPandas(screened_lines(min_chars, screen_of(met, SCREEN_MASK)), f"digest binary, {PLACE.format(id=kind)}, line string, keys array<struct<m:int,side:int,key:long>>")
+    kind = dict(rows.dtypes)["id"]  # ids pass pandas as text: next to a null, it would make long ones doubles
+    texts = rows.withColumn("id", F.col("id").cast("string"))
+    seen = texts.mapInPandas(screened_lines(min_chars, screen_of(met, SCREEN_MASK)), f"digest binary, {PLACE.format(id='string')}, line string, keys array<struct<m:int,side:int,key:long>>")
+    seen = seen.withColumn("place", F.col("place").cast(PLACE.format(id=kind).removeprefix("place ")))
     distinct = seen.groupBy("digest").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("keys").alias("keys"))
     exploded = distinct.select("digest", "place", "line", F.inline("keys")).join(met, "key")
     lines = cut(exploded.groupBy("digest").agg(F.first("place").alias("place"), F.first("line").alias("line"), F.collect_set(F.struct("m", "side")).alias("met")))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut, read
+from tidewell.llm.common import named as column
 from tidewell.llm.components import connected_components
 
 COORDINATES = 64
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     With text_key, a column of that name has the hash of each text, and of a component with words only the text that
     comes first is kept: the least by id, null ids last, then hash. Rows that repeat both id and text are one text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), F.xxhash64(column(text_col)).alias("tid"))
     kind = dict(rows.dtypes)["id"]  # ids pass pandas as text: next to a null, it would make long ones doubles
     sketches = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sketch(words), "id string, tid long, n long, rep binary, sig array<long>")
     sketches = cut(sketches.withColumn("id", F.col("id").cast(kind)))

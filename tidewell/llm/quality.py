@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fold, read
+from tidewell.llm.common import fold, named, read
 
 #: Labelled rows, in expectation, that training sees; smaller sets are used whole.
 FIT_ROWS = 4_000
@@ -124,10 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     Rows with a null label are left out; if there is none at all, the untrained weights score.
     """
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter(F.col("id").isNotNull())
+    known = labels.filter(named(label_col).isNotNull()).select(named(id_col).alias("id"), named(label_col).cast("double").alias("label")).filter(F.col("id").isNotNull())
     share = min(1.0, fit_rows / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id")
+    rows = docs.filter(usable).select(named(id_col).alias("id"), named(text_col).alias("text")).join(drawn, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "label", "text"])
@@ -151,7 +151,7 @@ def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col:
         for texts in batches:
             yield pd.Series(scores(shared.value, texts.tolist()))
 
-    return docs.withColumn(score_col, run(F.col(text_col)))
+    return docs.withColumn(score_col, run(named(text_col)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from tidewell.llm.common import named, partitions, read, stored
 
 #: Queries, and rows, that a block is planned to hold.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Small tables are dealt to more blocks than ROW_BLOCK asks for, one for each task, while those have so many rows.
+LEAST_ROWS = 1024
 #: Scores that are accumulated at a time: as many as stay in a processor's cache.
 CELLS = 1 << 17
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -139,7 +141,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", terms
     docs, asking = stored(distinct(rows)), stored(distinct(queries))
     if not (n := asking.count()):
         n = 1
-    i, j = -(-n // QUERY_BLOCK), max(partitions(spark), -(-docs.count() // ROW_BLOCK))
+    m = docs.count()
+    i, j = -(-n // QUERY_BLOCK), max(1, -(-m // ROW_BLOCK), min(partitions(spark), m // LEAST_ROWS))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     block = lambda count: F.pmod(F.xxhash64("id", "terms", "weights"), F.lit(count)).cast("int")
     left = asking.select(F.col("id").alias("query"), F.xxhash64("terms", "weights").alias("key"), F.col("copies").alias("times"), "terms", "weights", block(i).alias("i"), every(j).alias("j"))

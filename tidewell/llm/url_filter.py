@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ascii_lower, read
+from tidewell.llm.common import ascii_lower, named, read
 
 #: One of these rejects an url.
 STRICT = ("adult", "casino", "gambling", "nsfw", "phishing", "pills", "porn", "spam", "viagra", "warez", "xxx")
@@ -50,16 +50,17 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     the whole url does, query and fragment included. A null url or one without ``://`` has an empty host and path and no
     rule; a null one counts as the empty text. Repeated rows each get their row; other columns are ignored.
     """
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = pages.select(F.col(id_col), ascii_lower(F.regexp_extract(url, URL, 1)).alias("host"), F.regexp_extract(url, URL, 2).alias("path"), ascii_lower(url).alias("whole"))
+    url = F.coalesce(named(url_col), F.lit(""))
+    rows = pages.select(named(id_col).alias("id"), ascii_lower(F.regexp_extract(url, URL, 1)).alias("host"), F.regexp_extract(url, URL, 2).alias("path"), ascii_lower(url).alias("whole"))
     chosen = verdict = F.lit(None).cast("string")
-    for kind, rule in sorted(rules, key=lambda x: (len(x[1]), x[1]), reverse=False):  # the last one wraps the others
+    first_in_text = sorted(rules, key=lambda x: x[1], reverse=True)
+    for kind, rule in sorted(first_in_text, key=lambda x: len(x[1])):  # the last one wraps the others
         at = rule.index("/")
         fits = ((F.col("host") == rule[:at]) | F.col("host").endswith("." + rule[:at])) & F.col("path").startswith(rule[at:])
         chosen, verdict = F.when(fits, rule).otherwise(chosen), F.when(fits, kind).otherwise(verdict)
     rows = rows.withColumns({"rule": chosen, "verdict": verdict, "hits": vocabulary_hits(strict, soft)(F.col("whole"))})
     rejected = (F.col("hits.strict") >= 1) | (F.col("hits.soft") >= min_soft)
-    return rows.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.when(rejected, "block").otherwise("allow")).alias("verdict"), F.col("hits.strict").alias("strict_hits"), F.col("hits.soft").alias("soft_hits"))
+    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.when(rejected, "block").otherwise("allow")).alias("verdict"), F.col("hits.strict").alias("strict_hits"), F.col("hits.soft").alias("soft_hits"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
