@@ -2,30 +2,44 @@
 
 A stage takes (spark, docs, sf_dir) and gets all that the one before it kept; ``run`` writes each stage's result as
 Parquet to the session's shared folder and reads it again as the next one's docs.
+
+In every stage a null text counts as the empty one, each row is decided on by its own text and id, whether or not the id
+is null or repeated, and a table without rows gives one without rows. Columns beside those of ``documents`` are left
+behind: each stage returns the columns in COLUMNS, and the last one its own.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
-from tidewell.llm.common import cut, read
+from tidewell.llm.common import bounded_batches, cut, read, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier, trained on all labels, takes for low quality."""
+    """Drop documents that the classifier, trained on all labels, takes for low quality.
+
+    A null text scores as the empty one; equal texts score alike, so that repeated rows stay or go together. Long texts
+    are scored whole. Labels without a document, and null labels, teach nothing; without any the untrained weights score.
+    """
+    bounded_batches(spark)
     weights = quality.fit(docs, read(spark, sf_dir, "labels"), F.lit(True))
     return quality.score(docs, weights, score_col="quality score").filter(F.col("quality score") >= quality.CUTOFF).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated lines out of texts and drop documents of which nothing but white space is left by that."""
+    """Take repeated lines out of texts and drop documents of which nothing but white space is left by that.
+
+    The earliest of equal lines stays, by id (null ids last), then line number; texts that share an id come in the order
+    of a hash, and rows that repeat both id and text are one text and stay alike. Documents that lose no line stay as
+    they are, empty and null texts too. n_chars is counted anew where a line has gone.
+    """
+    bounded_batches(spark)
     out = line_dedup.deduplicate_lines(docs)
     return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -42,6 +56,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The one of the least id stays, null ids last; of texts that share an id the one of the least hash, and of rows that
     repeat both id and text one. Documents without words all stay.
     """
+    bounded_batches(spark)
     found = cut(near_dedup.near_duplicates(docs, text_key="text hash").filter("n_shingles > 0").groupBy("doc_id", "text hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
     kept, repeated = without(docs, found.filter("not kept")), found.filter("kept AND n > 1")
     if not repeated.isEmpty():
@@ -57,7 +72,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each text, with a check that they decode to it."""
+    """SentencePiece ids of each text, with a check that they decode to it.
+
+    A null text has null ids and no pieces, an empty one no pieces; both decode to themselves. Repeated rows give a row
+    each, and a very long text goes through in parts. Nothing is dropped.
+    """
+    bounded_batches(spark)
     coded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
@@ -70,14 +90,13 @@ STAGES = [
     ("sentencepiece", token_stage),
 ]
 
-#: The classifier and the tokeniser have no SQL; each stage has its own tests.
+#: The classifier and the tokeniser have no SQL: tests hold each stage, and the run, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
