@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import dictionary, text
 from tidewell.operators import assignment, fuzzy, retrieval, text_rank, vector_index
 from tidewell.plans import sql_functions
+from tidewell.sources import files
 from tidewell.streaming import conversations, retro, stores
 
 LARGE = Path("/root/testdata/sf0.1")
@@ -250,6 +251,93 @@ def test_fuzzy_matches(spark, monkeypatch, scorer, least):
         fuzzy.fuzzy_matches(q, c, 70.0)
 
 
+# Texts
+
+
+def test_character_alignment(spark):
+    turns = lambda rows, c=1: [(c, i, r, t) for i, (r, t) in enumerate(rows)]
+    schema = "conv_id long, turn long, role string, text string"
+    said = turns([("agent", "good morning how can I help you today"), ("user", "my card is lost"), ("user", None), (None, "ok")]) + turns([("user", "only here")], 2)
+    heard = turns([("agent", "good mornin how can I help"), ("agent", " you today"), ("user", "my cart is lost ok")]) + turns([("user", "only there")], 3)
+    a, b = spark.createDataFrame(said, schema), spark.createDataFrame(heard, schema)
+    rows = conversations.character_alignment(a, b).orderBy("start").collect()
+    one = ["".join(r[3] or "" for r in x if r[0] == 1) for x in (said, heard)]
+    roles = [[r[2] or "" for r in x if r[0] == 1 for _ in r[3] or ""] for x in (said, heard)]
+    assert rows and all(r["conv_id"] == 1 for r in rows)
+    for r in rows:  # what is aligned is equal, in order, and of one turn and role on both sides
+        assert one[0][r["start"] : r["end"]] == one[1][r["heard_start"] : r["heard_end"]]
+        assert set(roles[0][r["start"] : r["end"]]) == {r["role"]} and set(roles[1][r["heard_start"] : r["heard_end"]]) == {r["heard"]}
+    assert all(x["end"] <= y["start"] and x["heard_end"] <= y["heard_start"] for x, y in zip(rows, rows[1:], strict=False))
+    aligned = sum(r["end"] - r["start"] for r in rows)
+    assert aligned >= len(one[0]) - 3
+    correct = sum(r["end"] - r["start"] for r in rows if r["role"] == r["heard"])
+    got = {r["conv_id"]: (r["characters"], r["aligned"], r["correct"]) for r in conversations.alignment_accuracy(a, conversations.character_alignment(a, b)).collect()}
+    assert got == {1: (len(one[0]), aligned, correct), 2: (len("only here"), 0, 0)}
+
+
+def test_mismatch_spans(spark):
+    """The same words with other roles: each run of wrong turns is a span."""
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice("ab"), "x" * rng.randint(0, 30) + str(t)) for c in range(6) for t in range(12)]
+    other = [(c, t, "b" if rng.random() < 0.4 else r, x) for c, t, r, x in rows]
+    schema = "conv_id long, turn long, role string, text string"
+    aligned = conversations.character_alignment(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema))
+    want = []
+    for c in range(6):
+        wrong = "".join(("1" if a[2] != b[2] else "0") * len(a[3]) for a, b in zip(rows, other, strict=True) if a[0] == c)
+        at = 0
+        while at < len(wrong):
+            end = at
+            while end < len(wrong) and wrong[end] == wrong[at]:
+                end += 1
+            if wrong[at] == "1" and end - at >= 20:
+                want.append((c, at, end - at))
+            at = end
+    assert rows_of(conversations.mismatch_spans(aligned, 20).select("conv_id", "start", "characters")) == want and len(want) >= 5
+
+
+def test_overlap_corrections_and_repeats(spark):
+    df = spark.createDataFrame([(["one\ntwo", "three\nfour\nfive", "six"],), (["a" * 50, "b"],), ([],)], "c array<string>")
+    assert [r[0] for r in df.select(text.overlapping(F.col("c"), 10)).collect()] == [["one\ntwo", "one\ntwo\nthree\nfour\nfive", "four\nfive\nsix"], ["a" * 50, "b"], []]
+    assert [r[0] for r in df.select(text.overlapping(F.col("c"), 4)).collect()][0] == ["one\ntwo", "two\nthree\nfour\nfive", "five\nsix"]
+    t = spark.createDataFrame([("red [RED] red",), ("[RED]",), ("red",), ("",), (None,)], "t string")
+    assert [r[0] for r in t.select(text.correct_outside(F.col("t"), {"red": "blue"}, r"\\[[A-Z]+\\]")).collect()] == ["blue [RED] blue", "[RED]", "blue", "", None]
+    p = spark.createDataFrame([(["a", "", "b", "A", "", "a"],), ([],)], "p array<string>")
+    assert [r[0] for r in p.select(text.first_of_equals(F.col("p"), F.lower)).collect()] == [["a", "", "b", ""], []]
+
+
+def test_seeded_choices(spark):
+    df = spark.range(20_000)
+    share = {r["k"]: r["count"] / 20_000 for r in df.select(text.weighted_choice({"a": 0.4, "b": 0.35, "c": 0.25}, 3, "id").alias("k")).groupBy("k").count().collect()}
+    assert share == pytest.approx({"a": 0.4, "b": 0.35, "c": 0.25}, abs=0.02)
+    tiers = [("few", 40, 1), ("some", 35, 3), ("many", 18, 6), ("most", 7, 12)]
+    for total in (0, 100, 3333, 500):
+        got = assignment.tiered_counts(spark.range(101), "id", tiers, total, 1).collect()
+        assert len(got) == 101 and sum(r["calls"] for r in got) == total
+    days = spark.sql("SELECT date'2024-01-07' AS d")
+    assert [str(r[0]) for r in text.last_weekdays(days, "d", 3).collect()] == ["2024-01-05", "2024-01-04", "2024-01-03"]
+
+
+def test_resumed_load(spark, tmp_path):
+    df = spark.range(40).withColumn("step", F.col("id") % 4)
+    path, progress = str(tmp_path / "t"), str(tmp_path / "p")
+    files.resume(df, path, progress, "step", stop_after=2)
+    assert spark.read.parquet(path).count() == 20
+    df.filter("step = 2").limit(3).write.mode("append").partitionBy("step").parquet(path)  # written, but not noted
+    files.resume(df, path, progress, "step")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(40))
+    files.resume(df, path, progress, "step")
+    assert spark.read.parquet(path).count() == 40
+
+
+def test_line_packing_and_two_passes(spark):
+    lexical = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.2, 2), (2, 12, 0.9, 1), (2, 13, 0.85, 2), (3, 14, 0.1, 1)], "query long, doc long, score double, rank int")
+    vector = spark.createDataFrame([(q, d, r) for q in (1, 2, 3, 4) for r, d in ((1, 12), (2, 20))], "query long, doc long, rank int")
+    queries = spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "query long")
+    got = [(r["query"], r["doc"], r["place"]) for r in retrieval.two_passes(queries, lexical, vector, 0.35, 0.08).orderBy("query", "place").collect()]
+    assert got == [(1, 10, 1), (1, 11, 2), (2, 12, 1), (2, 13, 2), (2, 20, 3), (3, 14, 1), (3, 12, 2), (3, 20, 3), (4, 12, 1), (4, 20, 2)]
+
+
 # Assignment
 
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,64 @@ def without_fillers(c: Column, fillers: Sequence[str]) -> Column:
     return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
 
 
+def first_of_equals(parts: Column, key: Callable[[Column], Column] = lambda p: p) -> Column:
+    """Parts less those whose key an earlier one has; a part with an empty key stays."""
+    keyed = F.transform(parts, lambda p: F.struct(p.alias("p"), key(p).alias("k")))
+    # The outer transform binds the parts and their keys once for all of their numbers.
+    bound = F.transform(F.array(F.struct(keyed.alias("parts"), F.transform(parts, key).alias("keys"))), lambda b: F.filter(b["parts"], lambda x, i: (x["k"] == "") | (F.array_position(b["keys"], x["k"]) == i + 1)))[0]
+    return F.transform(bound, lambda x: x["p"])
+
+
+def focused_sections(c: Column, terms: Sequence[str]) -> Column:
+    """Blocks (at blank lines, and lines where there are none) that hold a term, each once, whatever its case, spaces and marks."""
+    blocks = F.filter(F.split(c, "\n[ \t]*\n+|\n"), lambda b: F.trim(b) != "")
+    hit = lambda b: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(b), t))
+    return first_of_equals(F.filter(blocks, hit), lambda b: F.regexp_replace(F.lower(b), r"[^\p{L}\p{N}]", ""))
+
+
+def correct_outside(c: Column, table: Mapping[str, str], protected: str) -> Column:
+    """replace_all() on what the pattern ``protected`` does not match; what it matches stays. The pattern has no groups."""
+    spans = F.regexp_extract_all(c, F.lit(f"({protected})"), F.lit(1))
+    between = F.split(c, protected, -1)
+    out = F.transform(between, lambda b, i: F.concat(replace_all(b, table), F.coalesce(F.get(spans, i), F.lit(""))))
+    return F.array_join(out, "")
+
+
+def overlapping(chunks: Column, size: int) -> Column:
+    """Chunks that begin with the last whole lines of the one before, as many as fit in ``size`` characters."""
+    empty = F.struct(F.lit("").alias("tail"), F.lit(True).alias("open"))
+
+    def longer(state: Column, line: Column) -> Column:
+        more = F.when(state["tail"] == "", line).otherwise(F.concat(line, F.lit("\n"), state["tail"]))
+        fits = state["open"] & (F.length(more) <= size)
+        return F.struct(F.when(fits, more).otherwise(state["tail"]).alias("tail"), fits.alias("open"))
+
+    tail = lambda t: F.aggregate(F.reverse(F.split(t, "\n")), empty, longer, lambda s: s["tail"])
+    return F.transform(chunks, lambda x, i: F.when((i == 0) | (tail(F.get(chunks, i - 1)) == ""), x).otherwise(F.concat(tail(F.get(chunks, i - 1)), F.lit("\n"), x)))
+
+
+def weighted_choice(weights: Mapping[str, float], seed: int, *columns: str) -> Column:
+    """A label by weight, from a hash of the seed and the columns: a row's choice does not depend on any other."""
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    out, total, last = F, 0.0, list(weights)[-1]
+    for label, weight in list(weights.items())[:-1]:
+        total += weight
+        out = out.when(number < total, label)
+    return out.otherwise(last)
+
+
+def last_weekdays(df: DataFrame, day: str, n: int) -> DataFrame:
+    """day: the n weekdays up to each date in a column of df."""
+    days = F.filter(F.sequence(F.date_sub(day, 2 * n + 4), F.col(day)), lambda x: F.weekday(x) < 5)
+    return df.select(F.explode(F.slice(F.reverse(days), 1, n)).alias("day"))
+
+
+def dates(c: str) -> Column:
+    """Dates in a text, in order, written with - or / or . between year, month and day; what is no date is left out."""
+    found = F.regexp_extract_all(F.col(c), F.lit(r"([0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2})"), F.lit(1))
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[/.]", "-").try_cast("date")), lambda x: x.isNotNull())
+
+
 REDACTIONS = (
     (r"https?://[^ \t\n]+", "[URL]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),

@@ -73,3 +73,24 @@ def match_in_rounds(clients: DataFrame, client: str, hosts: DataFrame, host: str
         left = cut(left.join(met, "client ", "left_anti"))
         slots = cut(slots.join(met, ["host ", "slot "], "left_anti"))
     return found.select(F.col("client ").alias(client), F.col("host ").alias(host), "round")
+
+
+def tiered_counts(df: DataFrame, key: str, tiers: Sequence[tuple[str, int, int]], total: int, seed: int) -> DataFrame:
+    """key, tier, calls: rows dealt to tiers (name, percent, calls) by a seeded hash, and the calls made up to ``total``.
+
+    What the tiers' calls fall short of the total, or exceed it by, is spread evenly; what that leaves goes to the first
+    rows in the hash's order, one each.
+    """
+    places = numbered(df.select(key, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("hash ")), [F.col("hash "), F.col(key)], "place ").drop("hash ")
+    n, share, tier, calls = places.count(), 0, F, F
+    for name, percent, size in tiers[:-1]:
+        share += percent
+        fits = F.col("place ") <= n * share // 100
+        tier, calls = tier.when(fits, name), calls.when(fits, size)
+    rows = cut(places.select(key, "place ", tier.otherwise(tiers[-1][0]).alias("tier"), calls.otherwise(tiers[-1][2]).alias("calls ")))
+    gap = total - (rows.agg(F.sum("calls ")).first()[0] or 0)
+    each = int(gap / n) if n else 0  # towards zero
+    left = gap - each * n
+    more = F.when(F.col("place ") <= abs(left), 1 if left > 0 else -1).otherwise(0)
+    return rows.select(key, "tier", (F.col("calls ") + each + more).cast("long").alias("calls"))
+

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.operators import assignment as A
 from tidewell.operators import relational as R
 from tidewell.operators import retrieval as V
 from tidewell.plans.registry import CONTACTS, contacts, query, table
+from tidewell.plans.relational import folder
 from tidewell.plans.retrieval import _INDEX, part_index
+from tidewell.sources import files
 from tidewell.streaming import conversations as S
 
 
@@ -261,3 +264,169 @@ def v08(spark, d):
     p = table(spark, d, "part")
     return R.union_sources({k: p.select("p_partkey", F.round(a * F.col("p_size") / 50.0 + b * F.col("p_retailprice") / 2000.0, 6).alias("score")) for k, (a, b) in presets.items()}).withColumnRenamed("origin", "preset").select("preset", "p_partkey", "score")
 
+
+def another_transcript(spark, d):
+    """Conversations, and the same ones as heard: words are missing, and some turns have other roles."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.filter(F.split("text", " "), lambda w, i: F.hash(w, i) % 9 != 0)
+    return c, c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.lit("other")).otherwise(F.col("role")).alias("role"), F.array_join(said, " ").alias("text"))
+
+
+@query("m06_character_accuracy")
+def m06_characters(spark, d):
+    """How much of each conversation was heard, character by character, and how much of that with the right role."""
+    said, heard = another_transcript(spark, d)
+    out = S.alignment_accuracy(said, S.character_alignment(said, heard))
+    return out.withColumns({"coverage": F.round("coverage", 6), "accuracy": F.round("accuracy", 6)})
+
+
+@query("m06_confusion", "SELECT role, CASE WHEN turn % 3 = 2 THEN 'other' ELSE role END AS heard, CAST(sum(length(text)) AS BIGINT) AS n FROM conversations GROUP BY ALL HAVING sum(length(text)) > 0")
+def m06_confusion(spark, d):
+    """Characters by role and role heard, where the words are the same ones."""
+    said, heard = another_transcript(spark, d)
+    heard = said.drop("role").join(heard.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    aligned = S.character_alignment(said, heard)
+    return aligned.groupBy("role", "heard").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+
+
+@query("w09_mismatch_spans")
+def w09_spans(spark, d):
+    """Spans of 20 characters or more that were heard with other roles."""
+    said, heard = another_transcript(spark, d)
+    return S.mismatch_spans(S.character_alignment(said, heard)).select("conv_id", "start", "characters", "turns")
+
+
+@query("t10_overlapping_chunks")
+def t10_overlapping(spark, d):
+    """Section chunks of about 600 tokens, each beginning with up to 240 characters of whole lines of the one before."""
+    chunks = X.overlapping(F.transform(X.section_chunks(F.col("text"), 600), lambda c: c["text"]), 240)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "text"))
+
+
+@query("t12_without_repeats", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, len(l) - len(list_filter(l, lambda x, i: trim(x) = '' OR list_position(list_transform(l, lambda y: trim(y)), trim(x)) = i)) AS gone, md5(array_to_string(list_filter(l, lambda x, i: trim(x) = '' OR list_position(list_transform(l, lambda y: trim(y)), trim(x)) = i), chr(10))) AS digest FROM l""")
+def t12_without(spark, d):
+    """Texts without the lines that an earlier line of them repeats."""
+    lines = F.split("text", "\n")
+    kept = X.first_of_equals(lines, F.trim)
+    t = table(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), kept.alias("kept"))
+    return t.select("doc_id", (F.col("n") - F.size("kept")).cast("long").alias("gone"), F.md5(F.array_join("kept", "\n")).alias("digest"))
+
+
+@query("t16_rich_and_random_sample", """WITH n AS (SELECT doc_id, lang, n_chars, least(20, greatest(3, count(*) OVER (PARTITION BY lang) // 10)) AS size FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= size * 6 // 10 AS rich FROM n),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang, rich ORDER BY md5('5:' || doc_id), doc_id) AS k FROM r)
+SELECT doc_id, lang, rich FROM s WHERE rich OR k <= size - size * 6 // 10""")
+def t16_mixed(spark, d):
+    """Of each language a tenth, 3 at least and 20 at most: six of ten by length, the others by a seeded hash among the rest."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    sizes = docs.groupBy(F.col("lang").alias("of")).agg(F.expr("least(20, greatest(3, count(*) div 10))").alias("size"))
+    rich = R.top_per_group(docs, ["lang"], [F.desc("n_chars"), "doc_id"], 20, "r").join(sizes, F.col("lang").eqNullSafe(F.col("of"))).filter(F.expr("r <= size * 6 div 10"))
+    rest = docs.join(rich.select("doc_id"), "doc_id", "left_anti")
+    drawn = R.top_per_group(rest, ["lang"], [F.md5(F.concat(F.lit("5:"), F.col("doc_id").cast("string"))), "doc_id"], 20, "r").join(sizes, F.col("lang").eqNullSafe(F.col("of"))).filter(F.expr("r <= size - size * 6 div 10"))
+    return rich.select("doc_id", "lang", F.lit(True).alias("rich")).unionByName(drawn.select("doc_id", "lang", F.lit(False).alias("rich")))
+
+
+@query("f14_protected_corrections", """WITH t AS (SELECT p_partkey, 'a ' || p_name || ' [RED] small ' || lower(p_type) || ' "small ring" red' AS t FROM part),
+s AS (SELECT p_partkey, regexp_split_to_array(t, '\\[[A-Z]+\\]|"[^"]*"') AS b, regexp_extract_all(t, '\\[[A-Z]+\\]|"[^"]*"') AS s FROM t)
+SELECT p_partkey, array_to_string(list_transform(b, lambda x, i: replace(replace(replace(x, 'small ring', 'ringlet'), 'widget', 'gadget'), 'red', 'crimson') || coalesce(s[i], '')), '') AS text FROM s""")
+def f14_protected(spark, d):
+    """Corrections that leave tags and quoted words alone."""
+    text = F.concat(F.lit("a "), "p_name", F.lit(" [RED] small "), F.lower("p_type"), F.lit(' "small ring" red'))
+    return table(spark, d, "part").select("p_partkey", X.correct_outside(text, {"red": "crimson", "small ring": "ringlet", "widget": "gadget"}, r'\[[A-Z]+\]|"[^"]*"').alias("text"))
+
+
+_NOTICE = "CASE id % 4 WHEN 0 THEN 'from ' || strftime(day, '%Y-%m-%d') || ' until ' || strftime(day + 5, '%Y-%m-%d') WHEN 1 THEN 'event of ' || strftime(day, '%Y/%m/%d') WHEN 2 THEN 'notice ' || strftime(day, '%Y.%m.%d') ELSE 'soon' END"
+
+
+@query("f22_notice_dates", f"""WITH {CONTACTS}, n AS (SELECT id, {_NOTICE} AS t FROM contacts), x AS (SELECT id, t, regexp_extract_all(t, '[0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}') AS f FROM n),
+b AS (SELECT id, t, coalesce(TRY_CAST(regexp_replace(f[1], '[/.]', '-', 'g') AS DATE), DATE '2024-01-01') AS first, TRY_CAST(regexp_replace(f[2], '[/.]', '-', 'g') AS DATE) AS last FROM x),
+e AS (SELECT id, first, coalesce(last, first + CASE WHEN contains(t, 'event') THEN 14 ELSE 7 END) AS last FROM b)
+SELECT id, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, DATE '2024-01-20' BETWEEN first AND last AS active FROM e""")
+def f22_notices(spark, d):
+    """First and last day of notices: dates in three ways of writing; without a last one 14 days for an event and 7 for all else."""
+    day, at = F.col("day"), F.col("id") % 4
+    write = lambda c, f: F.date_format(c, f)
+    text = F.when(at == 0, F.concat(F.lit("from "), write(day, "yyyy-MM-dd"), F.lit(" until "), write(F.date_add(day, 5), "yyyy-MM-dd"))).when(at == 1, F.concat(F.lit("event of "), write(day, "yyyy/MM/dd"))).when(at == 2, F.concat(F.lit("notice "), write(day, "yyyy.MM.dd"))).otherwise("soon")
+    n = contacts(spark, d).select("id", text.alias("t"))
+    found = n.select("id", "t", X.dates("t").alias("d"))
+    first = F.coalesce(F.get("d", F.lit(0)), F.lit("2024-01-01").cast("date"))
+    out = found.select("id", first.alias("first"), F.coalesce(F.get("d", F.lit(1)), F.date_add(first, F.when(F.contains("t", F.lit("event")), 14).otherwise(7))).alias("last"))
+    return out.select("id", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), F.lit("2024-01-20").cast("date").between(F.col("first"), F.col("last")).alias("active"))
+
+
+_TIERS = [("few", 40, 1), ("some", 35, 3), ("many", 18, 6), ("most", 7, 12)]
+
+
+@query("n04_exact_total", """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('3:' || c_custkey), c_custkey) AS place, count(*) OVER () AS n FROM customer),
+t AS (SELECT *, CASE WHEN place <= n * 40 // 100 THEN 'few' WHEN place <= n * 75 // 100 THEN 'some' WHEN place <= n * 93 // 100 THEN 'many' ELSE 'most' END AS tier FROM r),
+b AS (SELECT *, CASE tier WHEN 'few' THEN 1 WHEN 'some' THEN 3 WHEN 'many' THEN 6 ELSE 12 END AS calls FROM t),
+g AS (SELECT (SELECT count(*) FROM orders) - (SELECT sum(calls) FROM b) AS gap)
+SELECT c_custkey, tier, CAST(calls + gap // n + CASE WHEN place <= gap - gap // n * n THEN 1 ELSE 0 END AS BIGINT) AS calls FROM b, g""")
+def n04_exact(spark, d):
+    """Contacts for each customer by tiers of 40, 35, 18 and 7 %, made up to exactly as many as there are orders."""
+    c = table(spark, d, "customer").select("c_custkey")
+    total = table(spark, d, "orders").count()
+    return A.tiered_counts(c, "c_custkey", _TIERS, total, 3)
+
+
+@query("a19_best_and_worst", """WITH r AS (SELECT user_id, event_type, avg(least(100, CAST(trunc(value) AS BIGINT))) AS score FROM events GROUP BY user_id, event_type),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS best, row_number() OVER (PARTITION BY user_id ORDER BY score, event_type) AS worst FROM r)
+SELECT user_id, string_agg(event_type, ',' ORDER BY best) FILTER (best <= 3) AS best, string_agg(event_type, ',' ORDER BY worst) FILTER (worst <= 3) AS worst FROM n GROUP BY user_id""")
+def a19_best(spark, d):
+    """Each user's three best and three worst subjects by mean score."""
+    score = F.avg(F.least(F.lit(100), F.col("value").cast("long")))
+    r = table(spark, d, "events").groupBy("user_id", "event_type").agg(score.alias("score"))
+    three = lambda sign: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((sign * F.col("score")).alias("s"), "event_type"))), 1, 3), lambda x: x["event_type"]), ",")
+    return r.groupBy("user_id").agg(three(-1).alias("best"), three(1).alias("worst"))  # a row for each subject of a user
+
+
+@query("m05_overall", """WITH k AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type), ' ') AS o, list_distinct(o) AS w, ['red', 'ring', 'promo'] AS t FROM part),
+s AS (SELECT p_partkey, len(list_intersect(w, t)) / 3.0 AS coverage, len(list_intersect(w, t)) / len(list_distinct(list_concat(w, t))) AS jaccard, CAST(CASE WHEN list_position(o, 'red') < list_position(o, 'ring') THEN 1 ELSE 0 END AS DOUBLE) AS in_order FROM k)
+SELECT p_partkey, round(coverage, 6) AS coverage, round(jaccard, 6) AS jaccard, in_order, CAST(trunc(round((0.5 * coverage + 0.3 * in_order + 0.2 * jaccard) * 100, 6)) AS BIGINT) AS overall FROM s""")
+def m05_overall(spark, d):
+    """Coverage of terms, Jaccard similarity and order, and the whole percent of their weighted sum."""
+    w = F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " "))
+    t = F.array(*map(F.lit, ("red", "ring", "promo")))
+    at = lambda x: F.nullif(F.array_position("w", x), F.lit(0))
+    k = table(spark, d, "part").select("p_partkey", w.alias("w"))
+    s = k.select("p_partkey", (F.size(F.array_intersect("w", t)) / 3.0).alias("coverage"), V.jaccard(F.col("w"), t).alias("jaccard"), F.when(at("red") < at("ring"), 1.0).otherwise(0.0).alias("in_order"))
+    overall = F.round((0.5 * F.col("coverage") + 0.3 * F.col("in_order") + 0.2 * F.col("jaccard")) * 100, 6).cast("long")
+    return s.select("p_partkey", F.round("coverage", 6).alias("coverage"), F.round("jaccard", 6).alias("jaccard"), "in_order", overall.alias("overall"))
+
+
+@query("s05_json_arrays", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s05_arrays(spark, d):
+    """Files that hold a JSON array over several lines each, one for each region."""
+    path, n = folder(spark, "arrays"), table(spark, d, "nation").withColumn("region", F.col("n_regionkey"))
+    rows = F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))
+    n.groupBy("region").agg(F.replace(rows, F.lit("},{"), F.lit("},\n{")).alias("json")).write.partitionBy("region").text(path)
+    return files.read_json_array(spark, f"{path}/*", "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("s14_vector_sink", "SELECT vec_id, len(embedding) AS width, label FROM embeddings")
+def s14_sink(spark, d):
+    """Vectors written to a table by label, in two batches of which the second repeats the first's last rows, and read again."""
+    path, e = folder(spark, "vectors"), table(spark, d, "embeddings")
+    files.append_new(e.filter("vec_id % 3 < 2"), path, ["vec_id"])
+    files.append_new(e.filter("vec_id % 3 > 0"), path, ["vec_id"])
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("width"), "label")
+
+
+@query("s16_resumed_load", "SELECT event_id, event_type FROM events")
+def s16_resumed(spark, d):
+    """A load in steps that stopped after its second of four: it goes on behind what its progress table has, and gives all rows once."""
+    path, progress, e = folder(spark, "load"), folder(spark, "progress"), table(spark, d, "events").withColumn("step", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    files.resume(e, path, progress, "step", stop_after=2)
+    files.resume(e, path, progress, "step")
+    return spark.read.parquet(path).select("event_id", "event_type")
+
+
+@query("u10_catalog", "SELECT table_name AS name, column_name AS column, ordinal_position - 1 AS position FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'documents', 'conversations')")
+def u10(spark, d):
+    """Columns of tables, as the session's catalog has them."""
+    names = ("region", "nation", "customer", "documents", "conversations")
+    for name in names:
+        table(spark, d, name).createOrReplaceTempView(f"{name}_view")
+    return files.columns(spark, [f"{n}_view" for n in names]).select(F.regexp_replace("name", "_view$", "").alias("name"), "column", F.col("position").cast("int").alias("position"))
+

@@ -57,20 +57,29 @@ def s05(spark, d):
     return spark.read.text(path).select(F.inline(F.from_json("value", "array<struct<n_nationkey:int,n_name:string,n_regionkey:int>>")))
 
 
+#: Items of a file that a query writes for itself.
+FILE_ITEMS = 1_000
+
+
 @query("s06_section_scan", "SELECT item_id, 'body' AS title, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM benchmark")
 def s06(spark, d):
-    """Markdown files with a section each."""
+    """Markdown files with many sections each."""
     path, b = folder(spark, "md"), table(spark, d, "benchmark")
-    b.select("item_id", F.concat(F.lit("## body\n"), "text").alias("text")).repartition("item_id").write.partitionBy("item_id").text(path)
-    return files.read_sections(spark, f"{path}/*").select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "title", "body")
+    b.select(F.concat(F.lit("## body "), "item_id", F.lit("\n"), "text").alias("text")).repartition(-(-b.count() // FILE_ITEMS) + 1).write.text(path)
+    heading = r"^(\w+) (\d+)$"
+    return files.read_sections(spark, path).select(F.regexp_extract("title", heading, 2).cast("long").alias("item_id"), F.regexp_extract("title", heading, 1).alias("title"), "body")
 
 
-@query("s09_load_chunks", "SELECT item_id, CAST(row_number() OVER (ORDER BY CAST(item_id AS VARCHAR) || '/') + 99 AS BIGINT) AS id FROM benchmark")
+@query("s09_load_chunks", "SELECT item_id % 8 AS part, md5(regexp_replace(string_agg(text, '' ORDER BY item_id), '[ \\t\\n\\r]+', '', 'g')) AS digest, true AS packed, true AS in_a_row FROM benchmark GROUP BY item_id % 8")
 def s09(spark, d):
-    """A folder of texts as chunks with running ids from 100 on; here each text is one chunk."""
+    """A folder of texts as chunks of 500 characters with running ids from 100 on: each file's chunks hold its text, and their ids follow each other."""
     path, b = folder(spark, "txt"), table(spark, d, "benchmark")
-    b.select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
-    return files.load_chunks(spark, f"{path}/*", 1_000_000, 99).select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "id")
+    b.select("text", (F.col("item_id") % 8).alias("part"), "item_id").repartition("part").sortWithinPartitions("part", "item_id").select("text", "part").write.partitionBy("part").text(path)
+    chunks = R.cut(files.load_chunks(spark, f"{path}/*", 500, 99).withColumn("part", F.regexp_extract("path", r"part=(\d+)", 1).cast("long")))
+    whole = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), ""), r"[ \t\n\r]+", "")
+    one = F.size(X.sentences(F.col("text"))) <= 1  # a sentence that is longer is a chunk of its own
+    run = (F.max("id") - F.min("id") + 1 == F.count("*")) & (F.min("id") >= 100)
+    return chunks.groupBy("part").agg(F.md5(whole).alias("digest"), F.bool_and((F.length("text") <= 500) | one).alias("packed"), run.alias("in_a_row"))
 
 
 @query("s18_export", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0")
@@ -225,9 +234,10 @@ def p17(spark, d):
     return table(spark, d, "part").select("p_partkey", X.json_pruned(card).alias("card"))
 
 
-@query("p18_random_pick")
+@query("p18_random_pick", "SELECT * FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 1")
 def p18(spark, d):
-    return table(spark, d, "customer").orderBy(F.rand(7)).limit(1)
+    """One customer, by a seeded hash: the same one however the table is partitioned."""
+    return table(spark, d, "customer").orderBy(F.md5(F.concat(F.lit("7:"), F.col("c_custkey").cast("string"))), "c_custkey").limit(1)
 
 
 @query("j01_enrich", "SELECT o_orderkey, coalesce(c_name, 'unknown') AS who, coalesce(n_name, 'none') AS nation FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")

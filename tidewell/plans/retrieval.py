@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import dictionary as D
+from tidewell.functions import text as X
 from tidewell.operators import relational as R
 from tidewell.operators import retrieval as V
 from tidewell.operators import text_rank as T
@@ -279,7 +280,7 @@ def v25(spark, d):
     return table(spark, d, "documents").filter(F.col("text").contains(" the ")).select("doc_id", F.substring("text", at, F.lit(60)).alias("snippet"))
 
 
-@query("v26_rule_card")
+@query("v26_rule_card", """SELECT to_json({'id': p_partkey, 'title': array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), 'tags': [p_brand, p_type], 'body': p_name[1:200]}) AS card FROM part""")
 def v26(spark, d):
     return table(spark, d, "part").select(F.struct(F.col("p_partkey").alias("id"), F.initcap("p_name").alias("title"), F.array("p_brand", "p_type").alias("tags"), F.substring("p_name", 1, 200).alias("body")).alias("card")).select(F.to_json("card").alias("card"))
 
@@ -331,3 +332,86 @@ def m07(spark, d):
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     p95 = R.percentiles(e, "event_type", "value", {"p95": 0.95}).withColumn("p95", F.round("p95", 4))
     return e.groupBy("event_type").agg(F.round(F.avg((F.col("k") > 50).cast("int")), 6).alias("accuracy"), F.round(F.avg("value"), 4).alias("latency")).join(p95, "event_type")
+
+
+_SIM = "len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))"
+
+
+@query("v04_trigram_search", f"""WITH t AS (SELECT DISTINCT p_partkey AS query, unnest(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 3)[1:3]) AS term FROM part WHERE p_partkey % 50 = 0),
+a AS (SELECT query, term, {_TRI.format("term")} AS g FROM t), p AS (SELECT p_partkey AS doc, {_TRI.format("p_name")} AS x, {_TRI.format("p_type")} AS y, {_TRI.format("p_brand")} AS z FROM part),
+s AS (SELECT query, doc, term, greatest({_SIM.format("g", "x")}, {_SIM.format("g", "y")}, {_SIM.format("g", "z")}) AS s FROM a, p),
+b AS (SELECT query, doc, sum(s) AS score FROM s GROUP BY query, doc HAVING max(s) >= 0.3),
+r AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM b) SELECT * FROM r WHERE rank <= 10""")
+def v04_trigrams(spark, d):
+    """Each fiftieth part's name, word by word, against the names, types and brands of all parts."""
+    p = table(spark, d, "part")
+    q = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.split("p_name", " ").alias("terms"))
+    return V.trigram_search(p.select(F.col("p_partkey").alias("doc"), "p_name", "p_type", "p_brand"), ["p_name", "p_type", "p_brand"], q, 10).withColumn("score", F.round("score", 6))
+
+
+@query("v10_finalise", """WITH c AS (SELECT l_suppkey AS query, l_partkey AS doc, CAST(sum(l_quantity) AS DOUBLE) AS score FROM lineitem GROUP BY ALL),
+r AS (SELECT c.*, p_name AS title, p_brand || ' ' || p_type AS content, p_brand = 'Brand#' || (query % 25 + 1) AS gate, length(p_name) < 9 AS noisy FROM c JOIN part ON p_partkey = doc),
+g AS (SELECT *, bool_or(gate) OVER (PARTITION BY query) AS any_gate FROM r), h AS (SELECT * FROM g WHERE gate OR NOT any_gate),
+n AS (SELECT *, bool_or(NOT noisy) OVER (PARTITION BY query) AS any_left FROM h), m AS (SELECT * FROM n WHERE NOT noisy OR NOT any_left),
+t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query, title ORDER BY length(content) DESC, score DESC, doc) = 1),
+k AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM t) SELECT * FROM k WHERE rank <= 5""")
+def v10_finalise(spark, d):
+    """What is shown of each supplier's parts: of its own brand if it has any, without short names if others are left, each name once."""
+    sold = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("doc")).agg(F.sum("l_quantity").alias("score"))
+    rows = sold.join(table(spark, d, "part"), F.col("p_partkey") == F.col("doc")).select("query", "doc", "score", F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("content"), "p_brand")
+    own = F.col("p_brand") == F.concat(F.lit("Brand#"), (F.col("query") % 25 + 1).cast("string"))
+    return V.finalise(rows, own, F.length("title") < 9, 5).select("query", "doc", "score", "rank")
+
+
+_LANES = """q AS (SELECT p_partkey AS query, p_name, p_type, p_brand, CASE p_size % 3 WHEN 0 THEN ['name', 'type', 'brand'] WHEN 1 THEN ['brand', 'name', 'type'] ELSE ['type', 'brand', 'name'] END AS lanes FROM part WHERE p_partkey % 50 = 0),
+s AS (SELECT query, p.p_partkey AS doc, round(1.0 - abs(p.p_size - 25) / 50.0, 6) AS score, 'name' AS origin FROM q JOIN part p USING (p_name) UNION ALL
+SELECT query, p.p_partkey, round(0.5 - abs(p.p_size - 10) / 100.0, 6), 'type' FROM q JOIN part p USING (p_type) UNION ALL SELECT query, p.p_partkey, round(0.8 - abs(p.p_size - 40) / 60.0, 6), 'brand' FROM q JOIN part p USING (p_brand))"""
+
+
+@query("v12_call_budget", f"""WITH {_LANES}, c AS (SELECT query, lanes[i] AS origin, i AS call FROM q, (VALUES (1), (2)) t(i)),
+f AS (SELECT s.*, call FROM s JOIN c USING (query, origin) QUALIFY row_number() OVER (PARTITION BY query, origin ORDER BY score DESC, doc) <= 10),
+b AS (SELECT query, doc, score, origin FROM f QUALIFY row_number() OVER (PARTITION BY query, doc ORDER BY score DESC, call) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM b) SELECT query, doc, score, origin, rank FROM k WHERE rank <= 5""")
+def v12_budget(spark, d):
+    """Of three sources each query asks the first two of its policy."""
+    p = table(spark, d, "part")
+    lanes = lambda *n: F.array(*map(F.lit, n))
+    kind = F.col("p_size") % 3
+    q = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), "p_name", "p_type", "p_brand", F.when(kind == 0, lanes("name", "type", "brand")).when(kind == 1, lanes("brand", "name", "type")).otherwise(lanes("type", "brand", "name")).alias("lanes"))
+
+    def source(column, score):
+        return q.select("query", column).join(p.select(column, F.col("p_partkey").alias("doc"), "p_size"), column).select("query", "doc", F.round(score, 6).alias("score"))
+
+    z = F.col("p_size")
+    sources = {"name": source("p_name", 1.0 - F.abs(z - 25) / 50.0), "type": source("p_type", 0.5 - F.abs(z - 10) / 100.0), "brand": source("p_brand", 0.8 - F.abs(z - 40) / 60.0)}
+    return V.within_budget(q.select("query", "lanes"), sources, 2, 5)
+
+
+@query("v13_two_passes", f"""WITH {_KNN}, w AS (SELECT doc_id, list_distinct({_SEQ.format("text")}) AS w FROM documents),
+x AS (SELECT query, {_SEQ.format("text")}[1:3] AS t FROM q JOIN documents ON doc_id = query), l0 AS (SELECT query, doc_id AS doc, len(list_intersect(list_distinct(t), w)) / sqrt(len(w)) AS score FROM x, w WHERE doc_id <> query),
+l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM l0 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 5),
+a AS (SELECT query FROM l GROUP BY query HAVING coalesce(max(score) FILTER (rank = 1), 0) >= 0.35 AND coalesce(max(score) FILTER (rank = 1), 0) - coalesce(max(score) FILTER (rank = 2), 0) >= 0.02),
+m AS (SELECT query, doc, 'vector' AS origin, rank FROM r WHERE query NOT IN (SELECT query FROM a) AND (query, doc) NOT IN (SELECT (query, doc) FROM l)),
+u AS (SELECT query, doc, 'text' AS origin, rank FROM l UNION ALL SELECT * FROM m) SELECT query, doc, origin, row_number() OVER (PARTITION BY query ORDER BY origin, rank) AS place FROM u""")
+def v13_passes(spark, d):
+    """Documents by the words of a query first, and by its vector only where the best of those does not stand out."""
+    docs = table(spark, d, "documents").select("doc_id", F.array_distinct(D.words(F.col("text"))).alias("w"), D.words(F.col("text")).alias("all"))
+    q = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"))
+    terms = q.join(docs, F.col("doc_id") == F.col("query")).select("query", F.explode(F.array_distinct(F.slice("all", 1, 3))).alias("term"))
+    posted = docs.select(F.col("doc_id").alias("doc"), F.size("w").alias("n"), F.explode("w").alias("term"))
+    hits = terms.join(posted, "term").filter("doc != query").groupBy("query", "doc", "n").agg(F.count("*").alias("h"))
+    scored = hits.select("query", "doc", (F.col("h") / F.sqrt("n")).alias("score"))
+    lexical = R.top_per_group(scored, ["query"], [F.desc(F.round("score", 9)), "doc"], 5, "rank")
+    return V.two_passes(q, R.cut(lexical), nearest(spark, d), 0.35, 0.02)
+
+
+_TERMS_IN = "(contains(lower(b), 'the') OR contains(lower(b), 'und') OR contains(lower(b), 'que') OR contains(lower(b), 'les'))"
+
+
+@query("v23_focused_sections", f"""WITH b AS (SELECT doc_id, list_filter(list_filter(regexp_split_to_array(text, '\\n[ \\t]*\\n+|\\n'), lambda b: trim(b) <> ''), lambda b: {_TERMS_IN}) AS b FROM documents),
+k AS (SELECT doc_id, b, list_transform(b, lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS k FROM b)
+SELECT doc_id, md5(array_to_string(list_filter(b, lambda x, i: k[i] = '' OR list_position(k, k[i]) = i), chr(10))) AS digest FROM k""")
+def v23_focused(spark, d):
+    found = X.focused_sections(F.col("text"), ("the", "und", "que", "les"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(found, "\n")).alias("digest"))
+

@@ -380,10 +380,12 @@ def t17_validation(spark, d):
     return out.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
 
 
-@query("t18_seeded_rows")
+@query("t18_seeded_rows", """WITH u AS (SELECT c_custkey, n, CAST('0x' || substring(md5('11:' || c_custkey || ':' || n), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM customer, range(3) r(n))
+SELECT c_custkey, n, CASE WHEN u < 0.4 THEN 'a' WHEN u < 0.75 THEN 'b' ELSE 'c' END AS kind FROM u""")
 def t18(spark, d):
-    u = F.rand(11)
-    return spark.range(500).withColumn("u", u).select("id", F.when(F.col("u") < 0.4, "a").when(F.col("u") < 0.75, "b").otherwise("c").alias("kind"))
+    """Three made-up rows for each customer, of kinds with given weights, by a seeded hash: any task gives the same ones."""
+    rows = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("n"))
+    return rows.select("c_custkey", "n", X.weighted_choice({"a": 0.4, "b": 0.35, "c": 0.25}, 11, "c_custkey", "n").alias("kind"))
 
 
 @query("t19_structured_fields", "SELECT doc_id, regexp_extract(text, 'ersion ([0-9.]*[0-9])', 1) AS version, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents")
@@ -409,10 +411,13 @@ def n01(spark, d):
     return contacts(spark, d).select("id", F.coalesce(F.try_element_at(known, norm), X.first_label(F.col("category"), [("fault", ("err",))], "other")).alias("main"))
 
 
-@query("n03_business_days", f"SELECT CAST(x AS VARCHAR) AS day FROM (SELECT CAST(x AS DATE) AS x FROM generate_series(DATE '{AS_OF}' - 20, DATE '{AS_OF}', INTERVAL 1 DAY) t(x)) WHERE isodow(x) <= 5 ORDER BY x DESC LIMIT 10")
+@query("n03_business_days", f"""WITH {CONTACTS}, l AS (SELECT max(day) AS last FROM contacts), x AS (SELECT CAST(unnest(generate_series(last - 20, last, INTERVAL 1 DAY)) AS DATE) AS x FROM l),
+b AS (SELECT x FROM x WHERE isodow(x) <= 5 ORDER BY x DESC LIMIT 10) SELECT CAST(x AS VARCHAR) AS day, count(id) AS n FROM b LEFT JOIN contacts ON day = x GROUP BY x""")
 def n03(spark, d):
-    days = spark.range(1).select(F.explode(F.sequence(F.date_sub(as_of(), 20), as_of())).alias("x"))
-    return days.filter(F.weekday("x") < 5).orderBy(F.desc("x")).limit(10).select(F.col("x").cast("string").alias("day"))
+    """The last ten weekdays up to the last contact, and the contacts of each."""
+    daily = contacts(spark, d).groupBy("day").agg(F.count("*").alias("n"))
+    days = X.last_weekdays(daily.agg(F.max("day").alias("last")), "last", 10).join(daily, "day", "left")
+    return days.select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("n05_timeline", "SELECT event_id, i, CAST(trunc(value) AS BIGINT) * i // 4 AS at FROM events, range(0, 4) t(i)")

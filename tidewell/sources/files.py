@@ -59,9 +59,32 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     new.write.mode("append").parquet(path)
 
 
+def resume(df: DataFrame, path: str, progress: str, step: str, stop_after: int | None = None) -> None:
+    """Append df step by step, the values of a column in their order, and note each that is done; steps noted are not done again.
+
+    A step that was written but not noted, as the load stopped between, replaces what it has written.
+    """
+    spark = df.sparkSession
+    try:
+        done = {r[0] for r in spark.read.parquet(progress).collect()}
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = set()
+    for value in sorted(r[0] for r in df.select(step).distinct().collect() if r[0] not in done)[:stop_after]:
+        df.filter(F.col(step) == F.lit(value)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(step).parquet(path)
+        spark.createDataFrame([(value,)], df.select(step).schema).write.mode("append").parquet(progress)
+
+
+def columns(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
+    """name, column, kind, position of the columns of tables and views, as the session's catalog has them."""
+    rows = [(t, c.name, c.dataType, i) for t in tables for i, c in enumerate(spark.catalog.listColumns(t))]
+    return spark.createDataFrame(rows, "name string, column string, kind string, position int")
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """Tables and views of the current database."""
     return spark.createDataFrame([(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables()], "name string, kind string, temporary boolean")
 
 
-__all__ = ["append_new", "catalog", "load_chunks", "read_binary", "read_csv", "read_json_array", "read_sections", "read_texts", "write_csv"]
+__all__ = ["append_new", "catalog", "columns", "load_chunks", "read_binary", "read_csv", "read_json_array", "read_sections", "read_texts", "resume", "write_csv"]

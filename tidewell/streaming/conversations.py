@@ -7,12 +7,15 @@ stream it keeps its state from batch to batch, over a table it goes through each
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import pairwise
 from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -308,6 +311,73 @@ def alignment(said: DataFrame, heard: DataFrame) -> DataFrame:
     return said.groupBy("conv_id").cogroup(heard.groupBy("conv_id")).applyInPandas(run, "conv_id long, role string, heard string, n long")
 
 
+def aligned_places(a: str, b: str) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of equal stretches: of words first, then of characters in what lies between them."""
+    words = [[(m.start(), m.end()) for m in re.finditer(r"\S+|\s+", t)] for t in (a, b)]
+    texts = [[t[i:j] for i, j in w] for t, w in zip((a, b), words, strict=True)]
+    place = lambda side, k: words[side][k][0] if k < len(words[side]) else len((a, b)[side])
+    out = []
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, *texts, autojunk=False).get_opcodes():
+        i, j = place(0, i1), place(1, j1)
+        if tag == "equal":
+            out.append((i, j, place(0, i2) - i))
+        elif tag == "replace":
+            x, y = a[i : place(0, i2)], b[j : place(1, j2)]
+            out += [(i + m.a, j + m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
+    return out
+
+
+def stretches(said: Sequence[tuple[str, str]], heard: Sequence[tuple[str, str]]) -> list[tuple]:
+    """(start, end, heard start, heard end, role, heard role, turn, heard turn) of aligned characters, cut where a role, turn or the alignment changes; ends are one behind."""
+    texts = ["".join(t for _, t in x) for x in (said, heard)]
+    begins = [np.cumsum([0, *(len(t) for _, t in x)]) for x in (said, heard)]
+    out: list[tuple] = []
+    for i, j, size in aligned_places(*texts):
+        at = {i, i + size, *(k for k in begins[0].tolist() if i < k < i + size), *(k - j + i for k in begins[1].tolist() if j < k < j + size)}
+        for lo, hi in pairwise(sorted(at)):
+            x, y = (int(np.searchsorted(b, p, side="right")) - 1 for b, p in ((begins[0], lo), (begins[1], lo - i + j)))
+            out.append((lo, hi, lo - i + j, hi - i + j, said[x][0], heard[y][0], x, y))
+    return out
+
+
+STRETCHES = "conv_id {kind}, start long, end long, heard_start long, heard_end long, role string, heard string, turn long, heard_turn long"
+
+
+def character_alignment(said: DataFrame, heard: DataFrame) -> DataFrame:
+    """Stretches of equal characters of two transcripts (conv_id, turn, role, text) of each conversation, with both roles.
+
+    An alignment needs both transcripts of a conversation in one task. A null role or text is empty.
+    """
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        turns = [[(r.role or "", r.text or "") for r in x.sort_values("turn").itertuples()] for x in (a, b)]
+        rows = [(a["conv_id"].iloc[0], *s) for s in stretches(*turns)] if len(a) and len(b) else []
+        return pd.DataFrame(rows, columns=["conv_id", "start", "end", "heard_start", "heard_end", "role", "heard", "turn", "heard_turn"])
+
+    said, heard = (x.select(*(F.col(c).alias(c) for c in ("conv_id", "turn", "role", "text"))) for x in (said, heard))
+    kind = dict(said.dtypes)["conv_id"]
+    return said.groupBy("conv_id").cogroup(heard.groupBy("conv_id")).applyInPandas(run, STRETCHES.format(kind=kind))
+
+
+def alignment_accuracy(said: DataFrame, aligned: DataFrame) -> DataFrame:
+    """conv_id, characters, aligned, correct, coverage, accuracy of each conversation: how much was heard, and how much of that with the right role."""
+    size = F.col("end") - F.col("start")
+    found = aligned.groupBy("conv_id").agg(F.sum(size).alias("aligned"), F.sum(F.when(F.col("role") == F.col("heard"), size).otherwise(0)).alias("correct"))
+    total = said.groupBy("conv_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("characters")).join(found, "conv_id", "left").fillna(0, ["aligned", "correct"])
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
+    return total.select("conv_id", "characters", "aligned", "correct", share("aligned", "characters").alias("coverage"), share("correct", "aligned").alias("accuracy"))
+
+
+def mismatch_spans(aligned: DataFrame, least: int = 20) -> DataFrame:
+    """conv_id, start, end, heard_start, characters, turns of spans heard with other roles: neighbouring stretches, ``least`` characters or more in all."""
+    w = Window.partitionBy("conv_id").orderBy("start")
+    wrong = aligned.filter(F.col("role") != F.col("heard"))
+    goes_on = (F.lag("end").over(w) == F.col("start")) & (F.lag("heard_end").over(w) == F.col("heard_start"))
+    spans = wrong.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("span", F.sum("new").over(w))
+    found = spans.groupBy("conv_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("heard_start").alias("heard_start"), F.count_distinct("turn").alias("turns"))
+    return found.withColumn("characters", F.col("end") - F.col("start")).filter(F.col("characters") >= least).drop("span")
+
+
 def upsert_sink(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each batch gives a new version of a table under ``path``; a batch that is run again gives the same one."""
 
