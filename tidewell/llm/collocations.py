@@ -37,6 +37,9 @@ RANGE_BYTES = 8_000_000
 #: Suffixes of the documents that are looked at for each cut, and most in all.
 LOOKS, MOST_LOOKS = 20, 1_000_000
 
+#: Groups of a language's phrases whose best ones are found apart.
+GROUPS = 16
+
 SENT = "shard long, lang string, words binary, ids binary, counts binary"
 FOUND = "lang string, phrase binary, size int, n long"
 
@@ -254,8 +257,10 @@ def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, absorbed:
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: span(F.col("words"), i, m)))))
     longer = candidates.filter("size > 2").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left = scored.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < absorbed * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    # First the best of each group of phrases: a language's last window then sees GROUPS * most rows, whatever its size.
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    best_by = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*order))).filter(F.col("rank") <= most)
+    best = best_by(best_by(left.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))), "group"))
     all_words = counts.filter("size = 0").select("lang", "n")
     return best.join(all_words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("long").alias("score"))
 
