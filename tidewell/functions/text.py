@@ -152,6 +152,13 @@ def dates(c: str) -> Column:
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[/.]", "-").try_cast("date")), lambda x: x.isNotNull())
 
 
+def snippet(c: Column, terms: Sequence[str], before: int = 20, length: int = 60) -> Column:
+    """A stretch of the text around the first occurrence of any of the terms, whatever its case; null where there is none."""
+    places = [F.nullif(F.instr(F.lower(c), F.lit(t.lower())), F.lit(0)) for t in terms]
+    first = F.least(*places) if len(places) > 1 else places[0]
+    return F.when(first.isNotNull(), F.substring(c, F.greatest(F.lit(1), first - before), F.lit(length)))
+
+
 REDACTIONS = (
     (r"https?://[^ \t\n]+", "[URL]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),

@@ -62,6 +62,15 @@ def format_duration(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), (seconds % 60).cast("int"))
 
 
+#: Rows of a side that may be sent to all tasks.
+SEND_ROWS = 10_000
+
+
+def sent_if_small(df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
+    """df, broadcast if a count finds ``most`` rows at most; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def contains_any(columns: Sequence[str], terms: Sequence[str]) -> Column:
     """Some term in some column, whatever the case."""
     return reduce(or_, (F.contains(F.lower(F.col(c)), F.lit(t.lower())) for c in columns for t in terms), F.lit(False))
@@ -100,10 +109,10 @@ def first_filled(*columns: str) -> Column:
 
 
 def keep_if_none(df: DataFrame, group: str, predicate: Column) -> DataFrame:
-    """Rows that fit; all rows of a group in which none does."""
-    w = Window.partitionBy(group)
+    """Rows that fit; all rows of a group in which none does. Groups are aggregated and joined: none is one task's."""
     marked = df.withColumn("fit ", F.coalesce(predicate, F.lit(False)))
-    return marked.withColumn("some ", F.max("fit ").over(w)).filter(F.col("fit ") | ~F.col("some ")).drop("fit ", "some ")
+    some = marked.groupBy(F.col(group).alias("group ")).agg(F.max("fit ").alias("some "))
+    return marked.join(some, F.col(group).eqNullSafe(F.col("group "))).filter(F.col("fit ") | ~F.col("some ")).drop("fit ", "some ", "group ")
 
 
 def floor_but_one(df: DataFrame, group: str, score: str, least: float, tie: str) -> DataFrame:

@@ -178,7 +178,7 @@ def n21(spark, d):
     q = spark.createDataFrame([(1, "red"), (2, "nowhere")], "query int, term string")
     first = q.join(part_index(spark, d), "term").select("query", "doc")
     failed = q.join(first.select("query").distinct(), "query", "left_anti").select("query")
-    return first.unionByName(table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("doc")).crossJoin(F.broadcast(failed)))
+    return first.unionByName(table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("doc")).crossJoin(R.sent_if_small(failed)))
 
 
 @query("n22_predicted_document", f"WITH {_INDEX}, q(query, term) AS (VALUES (1, 'red'), (2, 'ring')) SELECT query, min(doc) AS doc FROM q JOIN ix USING (term) JOIN part ON p_partkey = doc WHERE contains(p_name, term) GROUP BY query")

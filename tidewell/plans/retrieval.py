@@ -280,6 +280,15 @@ def v25(spark, d):
     return table(spark, d, "documents").filter(F.col("text").contains(" the ")).select("doc_id", F.substring("text", at, F.lit(60)).alias("snippet"))
 
 
+_AT = "nullif(instr(lower(text), '{0}'), 0)"
+
+
+@query("v25_snippet_of_terms", f"WITH a AS (SELECT doc_id, text, least({_AT.format(' und ')}, {_AT.format(' que ')}, {_AT.format(' les ')}, {_AT.format(' and ')}) AS place FROM documents) SELECT doc_id, substring(text, greatest(1, place - 20), 60) AS snippet FROM a WHERE place IS NOT NULL")
+def v25_terms(spark, d):
+    """Around the first of several terms."""
+    return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text"), (" und ", " que ", " les ", " and ")).alias("snippet")).filter("snippet IS NOT NULL")
+
+
 @query("v26_rule_card", """SELECT to_json({'id': p_partkey, 'title': array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), 'tags': [p_brand, p_type], 'body': p_name[1:200]}) AS card FROM part""")
 def v26(spark, d):
     return table(spark, d, "part").select(F.struct(F.col("p_partkey").alias("id"), F.initcap("p_name").alias("title"), F.array("p_brand", "p_type").alias("tags"), F.substring("p_name", 1, 200).alias("body")).alias("card")).select(F.to_json("card").alias("card"))
