@@ -161,6 +161,59 @@ def deduplicate(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_
     return checked.unionByName(single).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def digests(rows: DataFrame) -> DataFrame:
+    """A row for each different text of (id, text): digest, key, id (the largest), n and text."""
+    each = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    return each.groupBy("digest").agg(F.max("id").alias("id"), F.count("*").alias("n"), F.first("text").alias("text")).withColumn("key", F.xxhash64("digest"))
+
+
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> None:
+    """Write an immutable snapshot of docs once: its exact table under ``path``/exact, sorted by bucket, and a filter for each bucket under ``path``/filters.
+
+    The number of buckets follows from this snapshot's texts and is stored with its filters. Null texts count as empty.
+    """
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    exact = digests(rows)
+    buckets = max(1, -(-rows.select(F.xxhash64("text")).distinct().count() // bucket_keys))
+    exact = exact.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    exact.repartition("bucket").sortWithinPartitions("bucket", "digest").write.parquet(f"{path}/exact")
+    keys = docs.sparkSession.read.parquet(f"{path}/exact").select(F.lit(0).alias("snapshot"), "bucket", "key")
+    keys.groupBy("bucket", "snapshot").applyInPandas(build_filter, FILTER_SCHEMA).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def screen_batch(batch: DataFrame, snapshots: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, group_size, known_in, known_id, kept, text_sha256 of each row of a batch, against snapshots written before.
+
+    The batch's own copies are grouped first. A text that a snapshot's filters let through is compared, byte by byte, with
+    its exact table; known_in is the number of the last snapshot that has it, known_id its id there, and both are null for
+    a new text. Of a new text the row with the largest id stays; rows that repeat it all do. A snapshot without a text
+    that passes its filters is not read beyond these.
+    """
+    spark = batch.sparkSession
+    rows = batch.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    own = cut(digests(rows))
+    kind, met = dict(own.dtypes)["id"], None
+    for number, path in enumerate(snapshots):
+        filters = spark.read.parquet(f"{path}/filters")
+        first = filters.select("buckets").first()
+        if first is None:  # a snapshot of no texts
+            continue
+        asked = own.select("digest", "key", F.lit(1).alias("snapshot"), F.lit("").alias("keep"), "n", F.pmod("key", F.lit(first[0])).cast("int").alias("bucket"))
+        passed = asked.groupBy("bucket").cogroup(filters.drop("buckets").groupBy("bucket")).applyInPandas(screen, SCREENED.format(id="string"))
+        passed = cut(passed.select("digest"))
+        if passed.isEmpty():
+            continue
+        exact = spark.read.parquet(f"{path}/exact").select("digest", F.col("id").cast(kind).alias("known_id"), F.col("text").alias("known"))
+        same = exact.join(passed, "digest").join(own.select("digest", "text"), "digest").filter(F.col("known") == F.col("text"))
+        same = same.select("digest", F.struct(F.lit(number).alias("known_in"), "known_id").alias("at"))
+        met = same if met is None else met.unionByName(same)
+    at = own.select("digest", F.lit(None).cast(f"struct<known_in:int,known_id:{kind}>").alias("at")) if met is None else own.select("digest").join(met.groupBy("digest").agg(F.max("at").alias("at")), "digest", "left")
+    groups = own.select("digest", F.col("id").alias("largest"), "n").join(at, "digest")
+    out = rows.select("id", F.unhex(F.sha2("text", 256)).alias("digest")).join(groups, "digest")
+    kept = F.isnull("at") & F.col("id").eqNullSafe(F.col("largest"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("group_size"), "at.known_in", "at.known_id", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of the id deals documents to two snapshots and the new batch."""
     return deduplicate(read(spark, sf_dir, "documents"), snapshot=F.pmod(F.xxhash64("doc_id"), F.lit(3)))
