@@ -539,3 +539,15 @@ def test_table_functions(spark):
     assert [tuple(r) for r in s.sql("SELECT days_ago, relevance, recent FROM profile_relevance(2)").collect()] == [(190, "outdated", 0)]
     assert [r["days_ago"] for r in s.sql("SELECT * FROM similar_contacts(1, 'a') ORDER BY place").collect()] == [0, 7, 8, 30]  # 30 days by default
     assert s.sql("SELECT * FROM similar_contacts(1, 'a', 100)").filter("came_back").count() == 4
+
+
+def test_candidate_cascade(spark):
+    names = spark.createDataFrame([("테디카드",), ("Gold Card",), ("gold",), ("",), (None,), ("silver card plus",)], "name string")
+    asked = spark.createDataFrame([(1, "gold card"), (2, "데디 카드"), (3, "card with silver, plus"), (4, "card plus silver"), (5, None), (6, " "), (1, "gold")], "query long, text string")
+    got = {(r["query"], r["rank"]): (r["name"], r["step"], round(r["score"], 4)) for r in fuzzy.candidate_cascade(asked.filter("NOT (query = 1 AND text = 'gold')"), names).collect()}
+    assert got[1, 1] == ("Gold Card", "exact", 1.0) and got[1, 2] == ("gold", "contains", 0.89)
+    assert got[2, 1] == ("테디카드", "sound", 0.875)
+    assert got[4, 1] == ("silver card plus", "words", 0.75)
+    assert not {k for k in got if k[0] in (5, 6)}
+    with pytest.raises(ValueError, match="10000"):
+        fuzzy.candidate_cascade(asked, spark.range(10_001).selectExpr("cast(id as string) as name"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import sound_similarity
 from tidewell.operators.relational import top_per_group
 
 #: Shorter texts match nothing: a pair of letters says too little about them.
@@ -105,3 +106,36 @@ def fuzzy_matches(queries: DataFrame, candidates: DataFrame, least: float, score
     scored = met.withColumn("score", scores(scorer)("text", "name")).filter(F.col("score") >= least)
     named = q.join(scored, "text").join(c, "name").select("query", "term", "score")
     return top_per_group(named, ["query"], [F.desc("score"), "term"], top, "rank")
+
+
+#: Names that a cascade compares every text with: their table goes to all tasks.
+MOST_NAMES = 10_000
+
+
+def candidate_cascade(queries: DataFrame, names: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
+    """query, name, score, step, rank: the ``top`` names of each query by the best of four steps, of ``least`` or more.
+
+    The steps are: equal but for spaces and case, 1; one within the other, 0.80 to 0.98 by their lengths; all words of
+    the name in the text, in any order, 0.75; and the similarity of their letters (syllables taken apart). Equal scores
+    rank by name. queries: query, text; names: name, MOST_NAMES different ones at most, which is counted: more are
+    refused, as then ``fuzzy_matches`` has an index. Each different text is compared once.
+    """
+    known = names.select("name").filter("name IS NOT NULL").distinct()
+    if known.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} names")
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    known = known.select("name", plain(F.col("name")).alias("n"), F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != "")).alias("words")).filter("n != ''")
+    asked = queries.select("text").distinct().select("text", plain(F.col("text")).alias("t"), F.split(F.lower("text"), r"\s+").alias("has")).filter("t != ''")
+    met = asked.crossJoin(F.broadcast(known))
+    t, n = F.col("t"), F.col("n")
+    inside = t.contains(n) | n.contains(t)
+    steps = F.array(
+        F.struct(F.when(t == n, 1.0).alias("score"), F.lit("exact").alias("step")),
+        F.struct(F.when(inside, 0.80 + 0.18 * F.least(F.length("t"), F.length("n")) / F.greatest(F.length("t"), F.length("n"))).alias("score"), F.lit("contains").alias("step")),
+        F.struct(F.when(F.size(F.array_except("words", "has")) == 0, 0.75).alias("score"), F.lit("words").alias("step")),
+        F.struct(sound_similarity(t, n).alias("score"), F.lit("sound").alias("step")),
+    )
+    best = met.withColumn("best", F.array_max(F.transform(steps, lambda s: F.struct(F.coalesce(s["score"], F.lit(-1.0)).alias("score"), s["step"].alias("step")))))
+    scored = best.select("text", "name", "best.score", "best.step").filter(F.col("score") >= least)
+    return top_per_group(queries.select("query", "text").join(scored, "text").drop("text"), ["query"], [F.desc(F.round("score", 9)), "name"], top, "rank")
+
