@@ -115,7 +115,7 @@ MOST_NAMES = 10_000
 def candidate_cascade(queries: DataFrame, names: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
     """query, name, score, step, rank: the ``top`` names of each query by the best of four steps, of ``least`` or more.
 
-    The steps are: equal but for spaces and case, 1; one within the other, 0.80 to 0.98 by their lengths; all words of
+    The steps, of which the first counts at equal scores, are: equal but for spaces and case, 1; one within the other, 0.80 to 0.98 by their lengths; all words of
     the name in the text, in any order, 0.75; and the similarity of their letters (syllables taken apart). Equal scores
     rank by name. queries: query, text; names: name, MOST_NAMES different ones at most, which is counted: more are
     refused, as then ``fuzzy_matches`` has an index. Each different text is compared once.
@@ -135,7 +135,7 @@ def candidate_cascade(queries: DataFrame, names: DataFrame, least: float = 0.6,
         F.struct(F.when(F.size(F.array_except("words", "has")) == 0, 0.75).alias("score"), F.lit("words").alias("step")),
         F.struct(sound_similarity(t, n).alias("score"), F.lit("sound").alias("step")),
     )
-    best = met.withColumn("best", F.array_max(F.transform(steps, lambda s: F.struct(F.coalesce(s["score"], F.lit(-1.0)).alias("score"), s["step"].alias("step")))))
+    best = met.withColumn("best", F.array_max(F.transform(steps, lambda s, i: F.struct(F.coalesce(s["score"], F.lit(-1.0)).alias("score"), (-i).alias("order"), s["step"].alias("step")))))
     scored = best.select("text", "name", "best.score", "best.step").filter(F.col("score") >= least)
     return top_per_group(queries.select("query", "text").join(scored, "text").drop("text"), ["query"], [F.desc(F.round("score", 9)), "name"], top, "rank")
 

@@ -139,8 +139,8 @@ def f10(spark, d):
 
 @query("f10_cascade", """WITH q AS (SELECT p_partkey AS query, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' of ' || lower(p_type) WHEN 2 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name[1:p_partkey % 4] || p_name[p_partkey % 4 + 2:] END AS text FROM part),
 n AS (SELECT DISTINCT p_name AS name FROM part), m AS (SELECT query, name, replace(lower(text), ' ', '') AS t, replace(name, ' ', '') AS n, string_split(lower(text), ' ') AS has, string_split(name, ' ') AS words FROM q, n),
-s AS (SELECT query, name, list_max([{'score': CASE WHEN t = n THEN 1.0::DOUBLE ELSE -1 END, 'step': 'exact'}, {'score': CASE WHEN contains(t, n) OR contains(n, t) THEN 0.8::DOUBLE + 0.18::DOUBLE * least(length(t), length(n)) / greatest(length(t), length(n)) ELSE -1 END, 'step': 'contains'},
-  {'score': CASE WHEN list_has_all(has, words) THEN 0.75::DOUBLE ELSE -1 END, 'step': 'words'}, {'score': 1 - levenshtein(t, n) / greatest(length(t), length(n))::DOUBLE, 'step': 'sound'}]) AS b FROM m),
+s AS (SELECT query, name, list_max([{'score': CASE WHEN t = n THEN 1.0::DOUBLE ELSE -1 END, 'o': 4, 'step': 'exact'}, {'score': CASE WHEN contains(t, n) OR contains(n, t) THEN 0.8::DOUBLE + 0.18::DOUBLE * least(length(t), length(n)) / greatest(length(t), length(n)) ELSE -1 END, 'o': 3, 'step': 'contains'},
+  {'score': CASE WHEN list_has_all(has, words) THEN 0.75::DOUBLE ELSE -1 END, 'o': 2, 'step': 'words'}, {'score': 1 - levenshtein(t, n) / greatest(length(t), length(n))::DOUBLE, 'o': 1, 'step': 'sound'}]) AS b FROM m),
 r AS (SELECT query, name, round(b.score, 6) AS score, b.step AS step, row_number() OVER (PARTITION BY query ORDER BY round(b.score, 9) DESC, name) AS rank FROM s WHERE b.score >= 0.6) SELECT query, name, score, step, rank FROM r WHERE rank <= 3""")
 def f10_cascade(spark, d):
     """Names in capitals, with more words, turned round and misspelt, against all names: the best three by any of four steps."""
