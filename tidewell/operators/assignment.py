@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.relational import cut, numbered, running_before
+from tidewell.operators.relational import cut, numbered, running_before, sent_if_small
+
+#: Places of a block, at most.
+BLOCK = 10_000
 
 
 def least_loaded(items: DataFrame, item: str, agents: DataFrame, agent: str, load: str, order: Sequence[Column] = ()) -> DataFrame:
@@ -32,14 +35,14 @@ def least_loaded(items: DataFrame, item: str, agents: DataFrame, agent: str, loa
     placed = numbered(items.select(item, *(o.alias(f"o{i} ") for i, o in enumerate(order))), [F.col(f"o{i} ") for i in range(len(order))] or [F.col(item)], "place ")
     placed = placed.select(item, (F.col("place ") - 1).alias("place "))
 
-    # Places and stretches meet by blocks of places: about two rows for each stretch.
+    # Places and stretches meet by blocks of places: few enough to a block, and about two rows for each stretch.
     n, m = placed.count(), starts.count()
-    width = max(1, n // max(m, 1))
+    width = max(1, min(BLOCK, n // max(m, 1)))
     blocks = F.sequence(F.expr(f"`start ` div {width}"), F.expr(f"least(`end ` - 1, {max(n - 1, 0)}) div {width}"))
     spread = starts.filter((F.col("start ") < n) & (F.col("end ") > F.col("start "))).select("start ", "end ", "active ", F.explode(blocks).alias("block "))
     met = placed.withColumn("block ", F.expr(f"`place ` div {width}")).join(spread, "block ").filter((F.col("place ") >= F.col("start ")) & (F.col("place ") < F.col("end ")))
     seat = (F.col("place ") - F.col("start ")) % F.col("active ") + 1
-    return met.select(item, seat.alias("seat ")).join(ranks, "seat ").select(item, F.col("agent ").alias(agent))
+    return met.select(item, seat.alias("seat ")).join(sent_if_small(ranks), "seat ").select(item, F.col("agent ").alias(agent))
 
 
 def balance(assigned: DataFrame, agents: DataFrame, agent: str, load: str, most_deviation: float, most_range: int) -> DataFrame:
