@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import heapq
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dictionary, text
 from tidewell.operators import assignment, fuzzy, retrieval, text_rank, vector_index
+from tidewell import plans
 from tidewell.plans import sql_functions
 from tidewell.sources import files
 from tidewell.streaming import conversations, retro, stores
 
-LARGE = Path("/root/testdata/sf0.1")
+LARGE, SMALL = Path("/root/testdata/sf0.1"), Path("/root/testdata/sf0.001")
 
 
 def rows_of(df):
@@ -551,3 +553,33 @@ def test_candidate_cascade(spark):
     assert not {k for k in got if k[0] in (5, 6)}
     with pytest.raises(ValueError, match="10000"):
         fuzzy.candidate_cascade(asked, spark.range(10_001).selectExpr("cast(id as string) as name"))
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_line_packing(spark):
+    """Lines wrapped at 80 characters and packed to 280 behind a heading, one by one."""
+    items = spark.read.parquet(str(SMALL / "benchmark.parquet")).collect()
+    want = []
+    for r in items:
+        parts = [m for line in (r["text"] or "").split("\n") for m in re.findall(r"[^\n\r\u0085\u2028\u2029]{1,80}", line)]
+        chunks, held = [], None
+        for part in parts:
+            if held is not None and len(held) + 1 + len(part) > 280:
+                chunks.append(held)
+                held = part
+            else:
+                held = part if held is None else f"{held}\n{part}"
+        want += [(r["item_id"], k, f"# item {r['item_id']}\n{x}") for k, x in enumerate([*chunks, held] if held is not None else [])]
+    got = plans.QUERIES["n29_line_packing"](spark, str(SMALL))
+    assert rows_of(got) == sorted(want)
+
+
+def test_fragments(spark):
+    texts = [("x" * n, str(n)) for n in (1, 9, 10, 500, 3000)] + [("é" * 77, "e")]
+    got = spark.createDataFrame(texts, "t string, k string").select("t", text.fragments(F.col("t"), F.col("k")).alias("f")).collect()
+    sizes = []
+    for r in got:
+        assert "".join(f["text"] for f in r["f"]) == r["t"] and [f["fragment"] for f in r["f"]] == list(range(len(r["f"])))
+        assert all(10 <= len(f["text"]) <= 60 for f in r["f"][:-1])
+        sizes += [len(f["text"]) for f in r["f"][:-1]]
+    assert 30 < np.mean(sizes) < 40 and np.std(sizes) > 5

@@ -140,6 +140,26 @@ def weighted_choice(weights: Mapping[str, float], seed: int, *columns: str) -> C
     return out.otherwise(last)
 
 
+def gaussian(key: Column, mean: float, deviation: float) -> Column:
+    """A number drawn from a normal distribution by a hash of the key (a text): two uniform numbers from its digits, turned by Box and Muller."""
+    part = lambda at: F.conv(F.substring(F.md5(key), at, 8), 16, 10).cast("long")
+    one, two = (part(1) + 1) / F.lit(4294967297.0), part(9) / F.lit(4294967296.0)
+    return mean + deviation * F.sqrt(-2 * F.ln(one)) * F.cos(2 * F.pi() * two)
+
+
+def fragments(c: Column, seed: Column, least: int = 10, most: int = 60) -> Column:
+    """(fragment, text): a text cut after lengths from a normal distribution, clipped to ``least`` and ``most`` characters."""
+    number = F.sequence(F.lit(0), F.floor(F.length(c) / least).cast("int"))
+    size = lambda i: F.greatest(F.lit(least), F.least(F.lit(most), F.floor(gaussian(F.concat_ws(":", seed, i.cast("string")), (least + most) / 2, (most - least) / 4)))).cast("int")
+    start = F.struct(F.lit(0).alias("before"), F.array().cast("array<struct<fragment:int,text:string>>").alias("out"))
+
+    def step(s: Column, i: Column) -> Column:
+        more = F.array_append(s["out"], F.struct(i.alias("fragment"), F.substring(c, s["before"] + 1, size(i)).alias("text")))
+        return F.when(s["before"] >= F.length(c), s).otherwise(F.struct((s["before"] + size(i)).alias("before"), more.alias("out")))
+
+    return F.aggregate(number, start, step, lambda s: s["out"])
+
+
 def last_weekdays(df: DataFrame, day: str, n: int) -> DataFrame:
     """day: the n weekdays up to each date in a column of df."""
     days = F.filter(F.sequence(F.date_sub(day, 2 * n + 4), F.col(day)), lambda x: F.weekday(x) < 5)

@@ -144,6 +144,18 @@ def n16(spark, d):
     return c.select("conv_id", "turn", F.posexplode(F.expr("transform(sequence(1, length(text), n), i -> substring(text, i, n))")).alias("fragment", "text"))
 
 
+@query("n16_gaussian_fragments", """WITH t AS (SELECT conv_id, turn, text, unnest(range(0, length(text) // 10 + 1)) AS i FROM conversations WHERE length(text) > 0),
+k AS (SELECT *, md5(conv_id || ':' || turn || ':' || i) AS k FROM t), u AS (SELECT *, (CAST('0x' || substring(k, 1, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE AS a, CAST('0x' || substring(k, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE AS b FROM k),
+n AS (SELECT *, CAST(greatest(10, least(60, floor(35 + 12.5::DOUBLE * sqrt(-2 * ln(a)) * cos(2 * pi() * b)))) AS BIGINT) AS n FROM u),
+s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT conv_id, turn, CAST(i AS INT) AS fragment, substring(text, CAST(before AS BIGINT) + 1, n) AS text FROM s WHERE before < length(text)""")
+def n16_gaussian(spark, d):
+    """A fragment stream for tests: lengths from a normal distribution, clipped to 10 and 60, by a hash of conversation, turn and number."""
+    c = table(spark, d, "conversations").filter("length(text) > 0")
+    seed = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return c.select("conv_id", "turn", F.inline(X.fragments(F.col("text"), seed)))
+
+
 @query("n18_residual_words", "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda w: NOT contains('red ring', w)), ' ') AS rest FROM part")
 def n18(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.filter(F.split("p_name", " "), lambda w: ~F.contains(F.lit("red ring"), w)), " ").alias("rest"))
