@@ -65,9 +65,9 @@ def history_view(spark, d):
     return session(spark, d).sql("SELECT id, customer, days_ago, came_back FROM contact_history")
 
 
-@query("q02_customer_activity_view", f"{_HISTORY} SELECT customer, max(day) AS last_day, CAST(min(days_ago) AS INT) AS days_ago, count(*) FILTER (days_ago <= 90) AS recent, count(*) AS total, count(*) FILTER (came_back) AS reopened FROM h GROUP BY customer")
+@query("q02_customer_activity_view", f"{_HISTORY} SELECT customer, CAST(max(day) AS VARCHAR) AS last_day, CAST(min(days_ago) AS INT) AS days_ago, count(*) FILTER (days_ago <= 90) AS recent, count(*) AS total, count(*) FILTER (came_back) AS reopened FROM h GROUP BY customer")
 def activity_view(spark, d):
-    return session(spark, d).sql("SELECT * FROM customer_activity")
+    return session(spark, d).sql("SELECT customer, string(last_day) AS last_day, days_ago, recent, total, reopened FROM customer_activity")
 
 
 @query("q03_contact_relevance_function", f"""{_HISTORY} SELECT customer, id, CAST(days_ago AS INT) AS days_ago, CASE WHEN days_ago <= 7 THEN 'high' WHEN days_ago <= 30 THEN 'medium' WHEN days_ago <= 90 THEN 'low' ELSE 'none' END AS level,

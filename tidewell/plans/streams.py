@@ -133,6 +133,6 @@ def j07_stream(spark, d):
     return streamed(spark, d).select("id", "resolved")
 
 
-@query("x07_customer_counters", f"{_RESOLVED} SELECT customer, count(*) AS total, count(*) FILTER (resolved) AS resolved_first, max(day) AS last_day FROM r GROUP BY customer")
+@query("x07_customer_counters", f"{_RESOLVED} SELECT customer, count(*) AS total, count(*) FILTER (resolved) AS resolved_first, CAST(max(day) AS VARCHAR) AS last_day FROM r GROUP BY customer")
 def x07_counters(spark, d):
-    return retro.counters(streamed(spark, d))
+    return retro.counters(streamed(spark, d)).withColumn("last_day", F.col("last_day").cast("string"))
