@@ -308,6 +308,12 @@ def test_overlap_corrections_and_repeats(spark):
     assert [r[0] for r in p.select(text.first_of_equals(F.col("p"), F.lower)).collect()] == [["a", "", "b", ""], []]
 
 
+def test_repeats_by_a_key_with_options(spark):
+    """trim takes characters beside the text: a line's number is none of them."""
+    p = spark.createDataFrame([(["call 10", " 1 at 1", "1 at 1 ", "call 10"],)], "p array<string>")
+    assert [r[0] for r in p.select(text.first_of_equals(F.col("p"), F.trim)).collect()] == [["call 10", " 1 at 1"]]
+
+
 def test_seeded_choices(spark):
     df = spark.range(20_000)
     share = {r["k"]: r["count"] / 20_000 for r in df.select(text.weighted_choice({"a": 0.4, "b": 0.35, "c": 0.25}, 3, "id").alias("k")).groupBy("k").count().collect()}

@@ -98,7 +98,7 @@ def first_of_equals(parts: Column, key: Callable[[Column], Column] = lambda p: p
     """Parts less those whose key an earlier one has; a part with an empty key stays."""
     keyed = F.transform(parts, lambda p: F.struct(p.alias("p"), key(p).alias("k")))
     # The outer transform binds the parts and their keys once for all of their numbers.
-    bound = F.transform(F.array(F.struct(keyed.alias("parts"), F.transform(parts, key).alias("keys"))), lambda b: F.filter(b["parts"], lambda x, i: (x["k"] == "") | (F.array_position(b["keys"], x["k"]) == i + 1)))[0]
+    bound = F.transform(F.array(F.struct(keyed.alias("parts"), F.transform(parts, lambda p: key(p)).alias("keys"))), lambda b: F.filter(b["parts"], lambda x, i: (x["k"] == "") | (F.array_position(b["keys"], x["k"]) == i + 1)))[0]
     return F.transform(bound, lambda x: x["p"])
 
 

@@ -320,7 +320,7 @@ SELECT doc_id, len(l) - len(list_filter(l, lambda x, i: trim(x) = '' OR list_pos
 def t12_without(spark, d):
     """Texts without the lines that an earlier line of them repeats."""
     lines = F.split("text", "\n")
-    kept = X.first_of_equals(lines, F.trim)
+    kept = X.first_of_equals(lines, lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+$", ""))  # as trim() of the SQL: any kind of blank
     t = table(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), kept.alias("kept"))
     return t.select("doc_id", (F.col("n") - F.size("kept")).cast("long").alias("gone"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
