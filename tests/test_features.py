@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import dictionary, text
@@ -608,3 +609,52 @@ def test_fragments(spark):
         assert all(10 <= len(f["text"]) <= 60 for f in r["f"][:-1])
         sizes += [len(f["text"]) for f in r["f"][:-1]]
     assert 30 < np.mean(sizes) < 40 and np.std(sizes) > 5
+
+
+def test_lookup_of_alike_documents(spark, monkeypatch):
+    """Many documents of few kinds and many queries of few sets: one of each meets, and all queries get their best."""
+    entries = [(t, n, float(r)) for n in range(200) for t, r in (("red", 1), ("ring", n % 2), (f"kind{n % 3}", 0.5))]
+    asked = [(q, t) for q in range(90) for t in (("redring",) if q % 3 else ("red", f"kind{q % 2}"))] + [(90, None), (90, "ring")]
+    index, terms = spark.createDataFrame(entries, "term string, doc long, relevance double"), spark.createDataFrame(asked, "query long, term string")
+    sizes, plain = [], retrieval.lookup
+    monkeypatch.setattr(retrieval, "lookup", lambda i, t: sizes.append((i.select("doc").distinct().count(), t.select("query").distinct().count())) or plain(i, t))
+    got = rows_of(retrieval.lookup_or_split(index, terms, 4).select("query", "doc", "score", "rank"))
+    assert sizes == [(6, 4)]
+    parts = spark.createDataFrame([(q, p) for q, t in asked for p in (("red", "ring") if t == "redring" else (t,))], "query long, term string")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    assert got == rows_of(plain(index, parts).withColumn("rank", F.row_number().over(w)).filter("rank <= 4"))
+
+
+def test_trigram_search_of_alike_documents(spark, monkeypatch):
+    """Queries of few sets against documents of few kinds, one with two rows; few pairs are scored, and all queries get their best."""
+    rng = random.Random(8)
+    names = ["small ring", "small rings", "red bolt", "old plate", "ring"]
+    docs = [(n, rng.choice(names), rng.choice(["red", "ring", None])) for n in range(150)] + [(3, "small ringlet", "old")]
+    queries = [(q, rng.choice([["small", "rings", "of", "red", "plate"], ["plate"], ["ring", "ring"], ["of"], ["absent"]])) for q in range(40)]
+    d, q = spark.createDataFrame(docs, "doc long, name string, kind string"), spark.createDataFrame(queries, "query long, terms array<string>")
+
+    def grams(t):
+        return {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+
+    texts = {}
+    for n, *row in docs:
+        texts.setdefault(n, set()).update(t for t in row if t)
+    want = []
+    for i, terms in queries:
+        found = []
+        for n, own in texts.items():
+            s = [max(len(grams(t) & grams(x)) / len(grams(t) | grams(x)) for x in own) for t in {t for t in [t for t in terms if len(t) >= 3][:3]}]
+            found += [(-round(sum(s), 9), n)] if s and max(s) >= 0.3 else []
+        want += [(i, n, round(-s, 6), r) for r, (s, n) in enumerate(sorted(found)[:5], 1)]
+    kinds, plain = [], retrieval.first_of_alike
+    monkeypatch.setattr(retrieval, "first_of_alike", lambda *a: kinds.append(plain(*a).filter("place = 1").count()) or plain(*a))
+    assert rows_of(retrieval.trigram_search(d, ["name", "kind"], q, 5).select("query", "doc", F.round("score", 6), "rank")) == sorted(want)
+    assert kinds == [len({frozenset(t) for t in texts.values()})] and kinds[0] <= 16
+
+
+def test_sources_of_a_budget_are_bounded(spark, monkeypatch):
+    """What a query's call may give meets it, not every part of its type or brand."""
+    most, plain = [], retrieval.within_budget
+    monkeypatch.setattr(retrieval, "within_budget", lambda q, sources, *a: most.extend(df.groupBy("query").count().agg(F.max("count")).first()[0] for df in sources.values()) or plain(q, sources, *a))
+    assert plans.QUERIES["v12_call_budget"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(most) == 3 and max(most) <= retrieval.call_rows(5) == 10
