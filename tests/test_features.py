@@ -318,6 +318,26 @@ def test_mismatch_spans(spark):
     assert rows_of(conversations.mismatch_spans(aligned, 20).select("conv_id", "start", "characters")) == want and len(want) >= 5
 
 
+def test_alignment_by_runs(monkeypatch):
+    """Equal runs are difflib's, with few pairs held too; of long texts only short stretches are left to difflib."""
+    rng = random.Random(4)
+    plain, met = conversations.SequenceMatcher, []
+    monkeypatch.setattr(conversations, "SequenceMatcher", lambda _, a, b, autojunk: met.append(len(a) * len(b)) or plain(None, a, b, autojunk=autojunk))
+    for k in range(600):
+        monkeypatch.setattr(conversations, "RUN_PAIRS", 1 if k % 3 == 0 else 64)
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        a = [rng.choice(letters) for _ in range(rng.randint(0, 60))]
+        b = [rng.choice(letters) if rng.random() < 0.1 else x for x in a if rng.random() < 0.9]
+        assert conversations.matching_blocks(a, b) == [tuple(m) for m in plain(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    said = [f"w{rng.randint(0, 300)}" for _ in range(3000)]
+    heard = [w for w in said if rng.random() < 0.9]
+    met.clear()
+    found = conversations.aligned_places(" ".join(said), " ".join(heard))
+    assert sum(n for _, _, n in found) > 0.98 * len(" ".join(heard)) and max(met) < 2000
+    met.clear()
+    assert conversations.aligned_places(" ".join(said), " ".join(said)) == [(0, 0, len(" ".join(said)))] and not met
+
+
 def test_overlap_corrections_and_repeats(spark):
     df = spark.createDataFrame([(["one\ntwo", "three\nfour\nfive", "six"],), (["a" * 50, "b"],), ([],)], "c array<string>")
     assert [r[0] for r in df.select(text.overlapping(F.col("c"), 10)).collect()] == [["one\ntwo", "one\ntwo\nthree\nfour\nfive", "four\nfive\nsix"], ["a" * 50, "b"], []]

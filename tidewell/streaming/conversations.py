@@ -311,19 +311,88 @@ def alignment(said: DataFrame, heard: DataFrame) -> DataFrame:
     return said.groupBy("conv_id").cogroup(heard.groupBy("conv_id")).applyInPandas(run, "conv_id long, role string, heard string, n long")
 
 
+#: Neighbouring parts by which equal runs are found; shorter runs only count where there is none of this length.
+RUN = 3
+#: Pairs of equal parts that are held at once, for each part of the two texts.
+RUN_PAIRS = 64
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray | None:
+    """(place in a, place in b, length) of the longest equal runs at their places, of ``size`` or more; None if there are too many pairs."""
+    if min(len(a), len(b)) < size:
+        return np.zeros((0, 3), dtype=np.int64)
+    x, y, parts = a, b, max(a.max(), b.max()) + 1
+    for k in range(1, size):  # grams of one part more, numbered anew
+        codes = np.unique(np.concatenate([c[:-1] * parts + t[k:] for c, t in ((x, a), (y, b))]), return_inverse=True)[1]
+        x, y = codes[: len(a) - k], codes[len(a) - k :]
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x), np.searchsorted(y[order], x, side="right")
+    n = high - low
+    if n.sum() > RUN_PAIRS * (len(a) + len(b)):
+        return None
+    i = np.repeat(np.arange(len(x)), n)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    by = np.lexsort((i, i - j))  # along each diagonal
+    i, j = i[by], j[by]
+    first = np.ones(len(i), dtype=bool)
+    first[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    at = np.flatnonzero(first)
+    return np.stack([i[at], j[at], np.diff(np.append(at, len(i))) + size - 1], axis=1)
+
+
+def matching_blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of equal runs, as difflib's SequenceMatcher (without junk) gives them.
+
+    It takes the longest run, of several the first in a, then in b, and goes on left and right of it. Runs of RUN parts and
+    more are found once, by their grams; a stretch without such a run is left to difflib, as are texts that repeat so much
+    that the runs would not fit in memory.
+    """
+    if list(a) == list(b):
+        return [(0, 0, len(a))] if len(a) else []
+    number: dict = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in t], dtype=np.int64) for t in (a, b))
+    runs = equal_runs(x, y, RUN)
+    todo, out = [(0, len(a), 0, len(b), runs)], []
+    while todo:
+        alo, ahi, blo, bhi, held = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        if held is not None and len(held):
+            skip = np.maximum(0, np.maximum(alo - held[:, 0], blo - held[:, 1]))
+            size = np.minimum(held[:, 2], np.minimum(ahi - held[:, 0], bhi - held[:, 1])) - skip
+            keep = size >= RUN
+            held, size, skip = held[keep], size[keep], skip[keep]
+        if held is None or not len(held):
+            out += [(alo + m.a, blo + m.b, m.size) for m in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks() if m.size]
+            continue
+        longest = np.flatnonzero(size == size.max())
+        i, j = min(zip((held[longest, 0] + skip[longest]).tolist(), (held[longest, 1] + skip[longest]).tolist(), strict=True))
+        n = int(size.max())
+        out.append((i, j, n))
+        todo += [(alo, i, blo, j, held[(held[:, 0] < i) & (held[:, 1] < j)]), (i + n, ahi, j + n, bhi, held[(held[:, 0] + held[:, 2] > i + n) & (held[:, 1] + held[:, 2] > j + n)])]
+    joined: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(out):
+        if joined and joined[-1][0] + joined[-1][2] == i and joined[-1][1] + joined[-1][2] == j:
+            i, j, n = joined[-1][0], joined[-1][1], joined.pop()[2] + n
+        joined.append((i, j, n))
+    return joined
+
+
 def aligned_places(a: str, b: str) -> list[tuple[int, int, int]]:
     """(place in a, place in b, length) of equal stretches: of words first, then of characters in what lies between them."""
+    if a == b:
+        return [(0, 0, len(a))] if a else []
     words = [[(m.start(), m.end()) for m in re.finditer(r"\S+|\s+", t)] for t in (a, b)]
     texts = [[t[i:j] for i, j in w] for t, w in zip((a, b), words, strict=True)]
     place = lambda side, k: words[side][k][0] if k < len(words[side]) else len((a, b)[side])
-    out = []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, *texts, autojunk=False).get_opcodes():
+    out, at = [], (0, 0)
+    for i1, j1, n in [*matching_blocks(*texts), (len(texts[0]), len(texts[1]), 0)]:
         i, j = place(0, i1), place(1, j1)
-        if tag == "equal":
-            out.append((i, j, place(0, i2) - i))
-        elif tag == "replace":
-            x, y = a[i : place(0, i2)], b[j : place(1, j2)]
-            out += [(i + m.a, j + m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
+        if at[0] < i and at[1] < j:
+            out += [(at[0] + x, at[1] + y, m) for x, y, m in matching_blocks(a[at[0] : i], b[at[1] : j])]
+        at = (place(0, i1 + n), place(1, j1 + n))
+        if n:
+            out.append((i, j, at[0] - i))
     return out
 
 
