@@ -348,6 +348,19 @@ def test_overlap_corrections_and_repeats(spark):
     assert [r[0] for r in p.select(text.first_of_equals(F.col("p"), F.lower)).collect()] == [["a", "", "b", ""], []]
 
 
+def test_texts_are_read_once(spark):
+    """Letters of a text, and the chunks that overlap, are worked out once, however often they are read."""
+    df = spark.createDataFrame([("ab", "ba")], "a string, b string")
+    plan = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString()
+    assert plan(text.sound_similarity(F.upper("a"), F.upper("b"))).count("upper(a#") == 1
+    assert plan(text.overlapping(F.split("a", "-"), 10)).count("split(a#") == 1
+
+
+def test_syllables(spark):
+    got = [r[0] for r in spark.range(text.SYLLABLES).select(text.syllable(F.col("id"))).collect()]
+    assert got == [chr(text.FIRST_SYLLABLE + i) for i in range(text.SYLLABLES)]
+
+
 def test_repeats_by_a_key_with_options(spark):
     """trim takes characters beside the text: a line's number is none of them."""
     p = spark.createDataFrame([(["call 10", " 1 at 1", "1 at 1 ", "call 10"],)], "p array<string>")

@@ -80,10 +80,16 @@ def letters(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), apart), "")
 
 
+def syllable(n: Column) -> Column:
+    """The syllable of a number from 0, by its code: no table is read for it."""
+    return F.decode(F.unhex(F.hex((n + FIRST_SYLLABLE).cast("long"))), "UTF-16BE")
+
+
 def sound_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance of letters over the longer length; white space and case do not count, and two empty texts are alike."""
     plain = lambda c: letters(F.lower(F.regexp_replace(c, r"\s+", "")))
-    return similarity(plain(a), plain(b))
+    # The transform binds the letters, which lengths and distance read.
+    return F.transform(F.array(F.struct(plain(a).alias("a"), plain(b).alias("b"))), lambda p: similarity(p["a"], p["b"]))[0]
 
 
 def without_fillers(c: Column, fillers: Sequence[str]) -> Column:

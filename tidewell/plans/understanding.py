@@ -37,7 +37,6 @@ def f04(spark, d):
 
 
 _DICTIONARY = "k(term, label) AS (VALUES ('small ring', 'jewel'), ('ring', 'round'), ('red', 'colour'), ('blue', 'colour'), ('widget', 'thing'))"
-SYLLABLES = "".join(chr(X.FIRST_SYLLABLE + i) for i in range(X.SYLLABLES))
 DICTIONARY = [("small ring", "jewel"), ("ring", "round"), ("red", "colour"), ("blue", "colour"), ("widget", "thing")]
 
 
@@ -124,7 +123,7 @@ _FINAL = "chr(CASE n % 28 " + " ".join(f"WHEN {i + 1} THEN {33 + X.INITIALS.inde
     + _APART.format("a, b", _FINAL) + " AS x, " + _APART.format("c, b", _FINAL) + " AS y FROM s) SELECT p_partkey, length(x) AS n, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS score FROM l")
 def f09_letters(spark, d):
     """Names of two syllables that the part's numbers give, against nearly the same ones, letter by letter."""
-    syllable = lambda n: F.substring(F.lit(SYLLABLES), (n % X.SYLLABLES).cast("int") + 1, F.lit(1))
+    syllable = lambda n: X.syllable(n % X.SYLLABLES)
     k, z = F.col("p_partkey"), F.col("p_size")
     x, y = F.concat(syllable(k * 37), F.lit(" "), syllable(z * 113)), F.concat(syllable(k * 37 + 28 * (z % 3) + z % 2), syllable(z * 113))
     n = F.length(X.letters(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
