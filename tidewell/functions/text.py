@@ -133,7 +133,10 @@ def overlapping(chunks: Column, size: int) -> Column:
         return F.struct(F.when(fits, more).otherwise(state["tail"]).alias("tail"), fits.alias("open"))
 
     tail = lambda t: F.aggregate(F.reverse(F.split(t, "\n")), empty, longer, lambda s: s["tail"])
-    return F.transform(chunks, lambda x, i: F.when((i == 0) | (tail(F.get(chunks, i - 1)) == ""), x).otherwise(F.concat(tail(F.get(chunks, i - 1)), F.lit("\n"), x)))
+    # The outer transforms bind the chunks, and then their tails, once for all of their numbers.
+    tailed = lambda x, t: F.when(F.coalesce(t, F.lit("")) == "", x).otherwise(F.concat(t, F.lit("\n"), x))
+    both = F.transform(F.array(chunks), lambda all_: F.struct(all_.alias("chunks"), F.transform(all_, lambda x: tail(x)).alias("tails")))
+    return F.transform(both, lambda b: F.transform(b["chunks"], lambda x, i: tailed(x, F.when(i > 0, F.get(b["tails"], i - 1)))))[0]
 
 
 def weighted_choice(weights: Mapping[str, float], seed: int, *columns: str) -> Column:
