@@ -348,6 +348,18 @@ def test_overlap_corrections_and_repeats(spark):
     assert [r[0] for r in p.select(text.first_of_equals(F.col("p"), F.lower)).collect()] == [["a", "", "b", ""], []]
 
 
+def test_nearest_cells_in_parts(monkeypatch):
+    """Distances are held for a few vectors at once, and the cells are those of all at once."""
+    rng = np.random.default_rng(3)
+    v, centroids = rng.normal(size=(1000, 8)), rng.normal(size=(50, 8))
+    held, plain = [], np.argsort
+    monkeypatch.setattr(vector_index.np, "argsort", lambda d, **k: held.append(len(d)) or plain(d, **k))
+    got = {n: vector_index.nearest_cells(v, centroids, n) for n in (1, 7, 50)}
+    assert max(held) <= 256
+    want = plain((centroids**2).sum(axis=1)[None, :] - 2 * (v @ centroids.T), axis=1, kind="stable")
+    assert all((got[n] == want[:, :n]).all() for n in got) and vector_index.nearest_cells(v[:0], centroids, 7).shape == (0, 7)
+
+
 def test_texts_are_read_once(spark):
     """Letters of a text, and the chunks that overlap, are worked out once, however often they are read."""
     df = spark.createDataFrame([("ab", "ba")], "a string, b string")

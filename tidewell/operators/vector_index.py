@@ -29,6 +29,10 @@ MOST_CELLS = 4096
 LIST_ROWS = 8192
 #: Queries that meet a list in one task.
 QUERY_ROWS = 1024
+#: Vectors whose distances to all centroids are held at once.
+ROWS_AT_ONCE = 256
+#: Rows of a query and a cell that leave a task at once, each with the query's vector.
+ROWS_OUT = 8192
 
 
 @dataclass(frozen=True)
@@ -52,8 +56,13 @@ def matrix(vectors: pa.Array | pd.Series, width: int) -> np.ndarray:
 
 def nearest_cells(v: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     """The n cells nearest to each row, nearest first; equal distances in the order of cells."""
-    d = (centroids**2).sum(axis=1)[None, :] - 2 * (v @ centroids.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+    length = (centroids**2).sum(axis=1)[None, :]
+
+    def part(v: np.ndarray) -> np.ndarray:
+        d = length - 2 * (v @ centroids.T)
+        return d.argmin(axis=1)[:, None] if n == 1 and d.shape[1] else np.argsort(d, axis=1, kind="stable")[:, :n]
+
+    return np.concatenate([part(v[at : at + ROWS_AT_ONCE]) for at in range(0, max(1, len(v)), ROWS_AT_ONCE)])
 
 
 def fit_centroids(sample: DataFrame, cells: int, rounds: int, width: int) -> np.ndarray:
@@ -157,11 +166,13 @@ def asked_cells(index: Index, queries: DataFrame, choose) -> DataFrame:
     extra = "least" in queries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             v = matrix(batch.column("qv"), centroids.shape[1]) if len(centroids) else np.zeros((0, 1))
             least = batch.column("least").to_numpy(zero_copy_only=False) if extra else None
             rows, cells = choose(v, least) if len(v) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(rows)), batch.column("qv").take(pa.array(rows)), pa.array(cells.astype(np.int32))], names=["query", "qv", "cell"])
+            for at in range(0, len(rows), ROWS_OUT):
+                some = pa.array(rows[at : at + ROWS_OUT])
+                yield pa.RecordBatch.from_arrays([batch.column("query").take(some), batch.column("qv").take(some), pa.array(cells[at : at + ROWS_OUT].astype(np.int32))], names=["query", "qv", "cell"])
 
     return queries.mapInArrow(run, f"query {kind}, qv array<double>, cell int")
 
@@ -211,7 +222,7 @@ def probes_for(index: Index, queries: DataFrame, k: int, id_col: str, vector_col
     met = exact.join(lists_of(index, queries.sparkSession).select("id", "cell"), "id").join(asking, "query").select("qv", "cell")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             v = matrix(batch.column("qv"), centroids.shape[1]) if len(centroids) else np.zeros((0, 1))
             at = np.argsort(nearest_cells(v, centroids, len(centroids)), axis=1)[np.arange(len(v)), batch.column("cell").to_numpy()] if len(v) else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())], names=["place"])
